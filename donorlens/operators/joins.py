@@ -1,0 +1,22 @@
+"""Join helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A dimension is broadcast only when it is proven to have at most this many
+# rows; above it the join stays a shuffle (sort-merge) join and AQE may still
+# switch to broadcast once the real size is known.
+DEFAULT_BROADCAST_ROWS = 2_000_000
+
+
+def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Mark ``df`` for broadcast only if it has at most ``max_rows`` rows.
+
+    The check is a bounded job (``limit(max_rows + 1).count()``): it stops
+    reading as soon as the bound is exceeded, so it costs little for both a
+    small and a huge dimension.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

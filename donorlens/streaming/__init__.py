@@ -1,0 +1,6 @@
+"""Streaming operators.
+
+The reference workflow has none: no watermark, event-time window, state or
+late data occurs in it, and every input is a whole file. Nothing is built here;
+the batch plans read whole tables.
+"""
