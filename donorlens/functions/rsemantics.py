@@ -57,7 +57,7 @@ def paste(*parts, sep: str = "") -> Column:
 
 def ymd(key) -> Column:
     """lubridate ``ymd`` on an int ``yyyyMMdd`` key; unparsable keys give NULL."""
-    return F.try_to_date(_c(key).cast("string"), F.lit("yyyyMMdd"))
+    return F.try_to_date(_c(key).cast("string"), "yyyyMMdd")
 
 
 def as_numeric(x) -> Column:
