@@ -41,31 +41,44 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
             .groupBy("v").agg(F.count(F.lit(1)).alias("c")))
 
 
+def ordered_prefix_sums(vc: DataFrame, key: str, cols: list[str], buckets: int | None = None) -> DataFrame:
+    """Add ``<c>_before`` = sum of ``c`` over all rows with a smaller ``key``.
+
+    ``vc`` must have distinct ``key`` values (e.g. a ``groupBy(key)`` result).
+    The keys are cut into contiguous ranges with ``approxQuantile`` bounds;
+    per-range totals (one row per range) give offsets, and a running sum runs
+    inside each range only. No task sees more than about 1/buckets of the keys.
+    """
+    spark = vc.sparkSession
+    nb = buckets or _buckets(spark)
+    bounds = sorted(set(b for b in vc.approxQuantile(key, [i / nb for i in range(1, nb)], 1.0 / (4 * nb))
+                        if b is not None))
+    bucket = F.lit(0)
+    if bounds:
+        arr = F.array(*[F.lit(float(b)) for b in bounds])
+        bucket = F.size(F.filter(arr, lambda b: b < F.col(key)))
+    bv = vc.withColumn("_bk", bucket)
+    totals = bv.groupBy("_bk").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
+    # offsets over at most `nb` rows: a window over this tiny table is fine
+    before = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_bk", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}")
+                                    for c in cols])
+    w = Window.partitionBy("_bk").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    out = bv.join(F.broadcast(offsets), "_bk")
+    for c in cols:
+        out = out.withColumn(f"{c}_before", F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(w), F.lit(0)))
+    return out.drop("_bk", *[f"_o_{c}" for c in cols])
+
+
 def order_statistics(df: DataFrame, col: str, ranks: list[int], buckets: int | None = None,
                      vc: DataFrame | None = None) -> dict[int, float]:
     """Values at the given 1-based ranks of the sorted non-null ``col``."""
     ranks = sorted(set(int(r) for r in ranks))
     if not ranks:
         return {}
-    spark = df.sparkSession
     vc = vc if vc is not None else value_counts(df, col)
-    nb = buckets or _buckets(spark)
-    bounds = sorted(set(vc.approxQuantile("v", [i / nb for i in range(1, nb)], 1.0 / (4 * nb))))
-    # bucket = number of bounds strictly below v (contiguous ranges, in order)
-    bucket = F.lit(0)
-    if bounds:
-        arr = F.array(*[F.lit(float(b)) for b in bounds])
-        bucket = F.size(F.filter(arr, lambda b: b < F.col("v")))
-    bv = vc.withColumn("b", bucket)
-    totals = bv.groupBy("b").agg(F.sum("c").alias("bt"))
-    # offsets over at most `nb` rows: a window over this tiny table is fine
-    offsets = totals.withColumn(
-        "off", F.coalesce(F.sum("bt").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)),
-                          F.lit(0)))
-    w = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = (bv.join(F.broadcast(offsets.select("b", "off")), "b")
-             .withColumn("hi", F.col("off") + F.sum("c").over(w))
-             .withColumn("lo", F.col("hi") - F.col("c") + 1))
+    cum = (ordered_prefix_sums(vc, "v", ["c"], buckets)
+           .withColumn("lo", F.col("c_before") + 1).withColumn("hi", F.col("c_before") + F.col("c")))
     wanted = F.array(*[F.lit(r) for r in ranks])
     hits = (cum.filter(F.exists(wanted, lambda r: (r >= F.col("lo")) & (r <= F.col("hi"))))
                .select("v", "lo", "hi").collect())

@@ -44,16 +44,18 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    Read from ``spark.checkpoint.dir``; only when the session has none (tests,
-    a laptop) is ``fallback`` set as the checkpoint folder.
+    Read from ``spark.checkpoint.dir``. Only when the session has none is a
+    folder chosen here: ``fallback`` if given, else -- and only for a
+    ``local`` master, where the machine *is* the cluster -- a folder under
+    the system temp dir. A cluster without the setting is an error.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        sc_dir = spark.sparkContext.getCheckpointDir()
-        d = sc_dir
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
         if fallback is None:
-            raise RuntimeError("spark.checkpoint.dir is not set; pass a shared folder")
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir is not set; name a shared folder")
+            import tempfile
+            fallback = tempfile.mkdtemp(prefix="donorlens-ckpt-")
         d = fallback
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -69,3 +71,8 @@ def cut_lineage(df, spark: SparkSession | None = None):
     spark = spark or df.sparkSession
     checkpoint_dir(spark, fallback=os.environ.get("DONORLENS_CHECKPOINT_DIR"))
     return df.checkpoint(eager=True)
+
+
+def materialize(df):
+    """Cut a plan that several actions reuse (model inputs, kNN points): a reliable checkpoint."""
+    return cut_lineage(df)

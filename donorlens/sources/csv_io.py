@@ -54,7 +54,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder."""
-    base = checkpoint_dir(spark, fallback="/tmp/donorlens-checkpoints")
+    base = checkpoint_dir(spark)
     return f"{base.rstrip('/')}/donorlens-{name}-{uuid.uuid4().hex[:12]}"
 
 
