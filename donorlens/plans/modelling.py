@@ -248,7 +248,8 @@ def partial_dependence(model, df: DataFrame, var: str, predictors: list[str],
         lo, hi = float(st["lo"]), float(st["hi"])
         grid = [lo + (hi - lo) * i / (grid_size - 1) for i in range(grid_size)]
     dtype = df.schema[var].dataType
-    g = df.withColumn(var, F.explode(F.array(*[F.lit(v) for v in grid])).cast(dtype))
+    g = (df.withColumn("_grid", F.explode(F.array(*[F.lit(float(v)) for v in grid])))
+           .withColumn(var, F.col("_grid").cast(dtype)).drop("_grid"))
     scored = model.transform(g)
     return (scored.groupBy(F.col(var).cast("double").alias("value"))
                   .agg(F.avg(vector_to_array("prob_vec")[1]).alias("yhat")))
