@@ -1,13 +1,12 @@
 """Donation tables and the labelled per-program datasets.
 
-``program_dataset`` (A6-A9) is the flagship. Its plan reads the payment fact
-once for everything keyed by donor: the window features, the per-program
-totals, the overall totals and the label all come from a single
-``groupBy(donor)`` with conditional aggregates (:func:`donor_program_aggregate`),
-so the totals tables of the reference are never materialised and joined back.
-Only the features with another key (host, payment-type mode, instance
-counts) are separate aggregates; every join is then between tables that are
-unique per donor.
+``program_dataset`` (A6-A9) is the flagship. Its plan reads and shuffles the
+payment fact ONCE for the whole table: a single aggregate with six grouping
+sets (:func:`payment_profile`) yields every partial result keyed by donor or
+host; the window features, host counts, payment-method mode, per-program and
+overall totals and the label are all derived from that small result
+(:func:`base_from_profile`). The reference's ten feature tables and their ten
+joins never exist; the only other input is the commitments table.
 """
 
 from __future__ import annotations
@@ -15,9 +14,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from donorlens.functions import date_as_number, n_distinct, na_sum, paste
+from donorlens.functions import date_as_number, na_sum
 from donorlens.plans import features as ft
 from donorlens.plans.features import DONOR, FEATURE_YEAR, RECENT_LITERAL, SENTINEL_DATE
+from donorlens.session import materialize
 
 # --- fixed values: the four modelled programs and their column suffixes ------
 PROGRAMS = {
@@ -110,91 +110,168 @@ def donor_donations(pe: DataFrame, programs: list | None = None,
     return wide.select(*cols)
 
 
-def donor_program_aggregate(pe: DataFrame, programs: dict | None = None,
-                            year: int = FEATURE_YEAR, label_year: int = LABEL_YEAR,
-                            as_of_year: int | None = None) -> DataFrame:
-    """Window features, program totals, overall totals and labels in ONE aggregate.
+def program_dataset(spark: SparkSession, sf_dir: str, program: str = "Regular Giving",
+                    suffix: str | None = None, label_year: int = LABEL_YEAR,
+                    as_of_year: int | None = None, year: int = FEATURE_YEAR,
+                    last_3_variant: str = "literal", pe: DataFrame | None = None) -> DataFrame:
+    """The base table plus program totals, overall totals and the label.
 
-    Input rows: payments in the feature window or processed (sentinel donors
-    removed). Output: one row per donor with a payment in the window.
-    For each program ``p`` (suffix ``s``): ``total_amt_s``, ``count_s`` (0 for a
-    donor with processed payments but none for ``p``, NULL for a donor without
-    processed payments) and ``status_s`` (1 if a processed payment for ``p``
-    falls in ``label_year``).
+    ``as_of_year=None`` keeps the reference's totals over all years (they
+    include the label year: leakage); ``as_of_year=label_year`` gives the
+    leak-free form.
+    """
+    suffix = suffix or PROGRAMS.get(program) or program.lower().replace(" ", "_")
+    base = donor_base(spark, sf_dir, {program: suffix}, year, label_year, as_of_year, last_3_variant, pe)
+    return base.select(*ft.CONST_BASE_COLUMNS, f"total_amt_{suffix}", f"count_{suffix}",
+                       "total_donated", "total_count",
+                       F.col(f"status_{suffix}").cast("int").alias("status"))
+
+
+def const_base(spark: SparkSession, sf_dir: str, year: int = FEATURE_YEAR, last_3_variant: str = "literal",
+               pe: DataFrame | None = None) -> DataFrame:
+    """the donor base table (row set: donors with a payment in the window)."""
+    base = donor_base(spark, sf_dir, {}, year, LABEL_YEAR, None, last_3_variant, pe)
+    return base.select(*ft.CONST_BASE_COLUMNS)
+
+
+# -- one pass over the payments for the whole base table ----------------------
+
+_L1_COLS = ["_donor", "_type", "_prog", "_year", "_mo", "_yr", "_inst", "_host"]
+_SETS = {
+    "type": ["_donor", "_type"],
+    "prog": ["_donor", "_prog"],
+    "year": ["_donor", "_year"],
+    "card": ["_donor", "_mo", "_yr"],
+    "inst": ["_donor", "_inst"],
+    "host": ["_host"],
+}
+
+
+def _gid(cols: list[str]) -> int:
+    """``grouping_id()`` of a grouping set: bit set for every column not grouped."""
+    n = len(_L1_COLS)
+    return sum(1 << (n - 1 - i) for i, c in enumerate(_L1_COLS) if c not in cols)
+
+
+GID = {k: _gid(v) for k, v in _SETS.items()}
+
+
+def payment_profile(pe: DataFrame, year: int = FEATURE_YEAR, label_year: int = LABEL_YEAR,
+                    as_of_year: int | None = None) -> DataFrame:
+    """Level 1: ONE aggregate over the payments with six grouping sets.
+
+    (donor, method), (donor, program), (donor, year), (donor, card month,
+    card year), (donor, instance), (host). A distinct count of x per donor is
+    then the number of (donor, x) rows with a window payment -- NA forms its
+    own group, exactly R's ``n_distinct`` -- and every other feature is a sum /
+    min / max of these partial results. Spark expands each payment into the
+    six sets before the map-side partial aggregate, so the fact is scanned and
+    shuffled once for the whole base table.
     """
-    programs = programs if programs is not None else PROGRAMS
     d = F.col("DonationDateSKey")
     win = F.coalesce(ft.in_feature_window(year), F.lit(False))
-    proc = _processed() & F.coalesce(_before(as_of_year), F.lit(False) if as_of_year else F.lit(True))
+    proc = _processed() & (F.coalesce(_before(as_of_year), F.lit(False)) if as_of_year else F.lit(True))
     amt = F.col("PaymentAmount")
-    prog = F.col("ProgramName")
-
-    def wdistinct(x):
-        # n_distinct over window rows only (NA counts as a value)
-        return (F.count_distinct(F.when(win, x))
-                + F.coalesce(F.max(F.when(win & x.isNull(), 1)), F.lit(0))).cast("long")
+    rows = pe.filter(win | _processed()).select(
+        F.col("DonorConstituentID").alias("_donor"), F.col("PaymentMethodType").alias("_type"),
+        F.col("ProgramName").alias("_prog"), F.year(d).alias("_year"),
+        F.col("CreditCardExpirationMonth").alias("_mo"), F.col("CreditCardExpirationYear").alias("_yr"),
+        F.col("InstanceDetailSKey").alias("_inst"), F.col("PrimaryConstituentID").alias("_host"),
+        d.alias("_d"), win.alias("_win"), proc.alias("_proc"), _processed().alias("_processed"),
+        F.col("PaymentStatus").alias("_status"), amt.alias("_amt"))
+    dd, w, pr = F.col("_d"), F.col("_win"), F.col("_proc")
+    valid = F.when(w & (dd != F.lit(SENTINEL_DATE).cast("date")), dd)
+    return (rows.groupingSets([_SETS[k] for k in _SETS], *_L1_COLS)
+            .agg(F.grouping_id().alias("_g"),
+                 F.count_if(w).alias("n_win"),
+                 F.count_if(w & (F.col("_status") == "Error")).alias("n_fail"),
+                 F.count_if(w & F.col("_processed")).alias("n_succ"),
+                 F.min(valid).alias("min_valid"), F.max(valid).alias("max_valid"),
+                 F.max(F.when(w, dd)).alias("max_win"),
+                 F.count_if(pr).alias("n_proc"),
+                 F.count_if(pr & F.col("_amt").isNull()).alias("n_proc_null"),
+                 F.sum(F.when(pr, F.col("_amt"))).alias("sum_proc"),
+                 F.count_if(F.col("_processed") & (F.year(dd) == label_year)).alias("n_label")))
+
+
+def base_from_profile(prof: DataFrame, programs: dict | None = None) -> DataFrame:
+    """Level 2: one row per donor with a window payment (sentinels dropped).
+
+    Columns: the base-table features (except host counts, mode and instance
+    counts), both recency flags, overall processed totals and, per program
+    suffix ``s``: ``total_amt_s``, ``count_s``, ``status_s``.
+    """
+    programs = programs if programs is not None else PROGRAMS
+    g = F.col("_g")
+    t, pg = g == GID["type"], g == GID["prog"]
+    nw = F.col("n_win")
 
-    valid = F.when(win & (d != F.lit(SENTINEL_DATE).cast("date")), d)
-    wd = F.when(win, d)
-    card = paste("CreditCardExpirationMonth", F.lit("-"), "CreditCardExpirationYear")
-    fails = F.count_if(win & (F.col("PaymentStatus") == "Error"))
-    succ = F.count_if(win & _processed())
-    n_proc = F.count_if(proc)
+    def on(cond, c):
+        return F.when(cond, F.col(c) if isinstance(c, str) else c)
 
+    n_proc_all = F.sum(on(t, "n_proc"))
+    max_win = F.max(on(t, "max_win"))
     aggs = [
-        F.count_if(win).alias("_n_win"),
-        wdistinct(prog).alias("dist_events"),
-        F.datediff(F.max(valid), F.min(valid)).alias("tenure"),
-        wdistinct(F.year(d)).alias("yrs_donated"),
-        wdistinct(card).alias("dist_cards"),
-        wdistinct(F.col("InstanceDetailSKey")).alias("paid_instances"),
-        F.count_if(win).alias("participated_events"),
-        F.when(date_as_number(F.max(wd)) > RECENT_LITERAL, 1).otherwise(0).alias("last_3"),
-        F.when(F.year(F.max(wd)) > RECENT_LITERAL, 1).otherwise(0).alias("last_3_recent"),
-        F.coalesce(F.try_divide(fails, succ), F.lit(0.0)).cast("double").alias("fail_ratio"),
-        # overall processed totals (NULL for donors without processed payments)
-        F.when(n_proc > 0, F.when(F.count_if(proc & amt.isNull()) == 0,
-                                  F.sum(F.when(proc, amt)))).alias("total_donated"),
-        F.when(n_proc > 0, n_proc).alias("total_count"),
+        F.sum(on(t, "n_win")).alias("_n_win"),
+        F.count_if(pg & (nw > 0)).alias("dist_events"),
+        F.datediff(F.max(on(t, "max_valid")), F.min(on(t, "min_valid"))).alias("tenure"),
+        F.count_if((g == GID["year"]) & (nw > 0)).alias("yrs_donated"),
+        F.count_if((g == GID["card"]) & (nw > 0)).alias("dist_cards"),
+        F.count_if((g == GID["inst"]) & (nw > 0)).alias("paid_instances"),
+        F.sum(on(t, "n_win")).alias("participated_events"),
+        F.when(date_as_number(max_win) > RECENT_LITERAL, 1).otherwise(0).alias("last_3"),
+        F.when(F.year(max_win) > RECENT_LITERAL, 1).otherwise(0).alias("last_3_recent"),
+        F.coalesce(F.try_divide(F.sum(on(t, "n_fail")), F.sum(on(t, "n_succ"))), F.lit(0.0))
+         .cast("double").alias("fail_ratio"),
+        F.when(n_proc_all > 0, F.when(F.sum(on(t, "n_proc_null")) == 0, F.sum(on(t, "sum_proc"))))
+         .alias("total_donated"),
+        F.when(n_proc_all > 0, n_proc_all).alias("total_count"),
     ]
     for p, s in programs.items():
-        in_p = proc & (prog == p)
-        n_p = F.count_if(in_p)
-        p_amt = F.when(F.count_if(in_p & amt.isNull()) == 0, F.sum(F.when(in_p, amt)))
+        is_p = pg & (F.col("_prog") == p)
+        amt_p = F.when(F.coalesce(F.sum(on(is_p, "n_proc_null")), F.lit(0)) == 0, F.sum(on(is_p, "sum_proc")))
         aggs += [
-            F.when(n_proc > 0, F.coalesce(p_amt, F.lit(0.0))).alias(f"total_amt_{s}"),
-            F.when(n_proc > 0, n_p).alias(f"count_{s}"),
-            F.max(F.when(_processed() & (prog == p) & (F.year(d) == label_year), 1))
-             .alias(f"_label_{s}"),
+            F.when(n_proc_all > 0, F.coalesce(amt_p, F.lit(0.0))).alias(f"total_amt_{s}"),
+            F.when(n_proc_all > 0, F.coalesce(F.sum(on(is_p, "n_proc")), F.lit(0))).alias(f"count_{s}"),
+            F.coalesce(F.max(F.when(is_p & (F.col("n_label") > 0), 1)), F.lit(0)).alias(f"status_{s}"),
         ]
-    rows = pe.filter(ft._not_sentinel("DonorConstituentID") & (win | proc | (_processed())))
-    out = rows.groupBy(F.col("DonorConstituentID").alias(DONOR)).agg(*aggs)
-    out = out.filter(F.col("_n_win") > 0).drop("_n_win")
-    for s in programs.values():
-        out = out.withColumn(f"status_{s}", F.coalesce(F.col(f"_label_{s}"), F.lit(0))).drop(f"_label_{s}")
-    return out
+    donors = prof.filter((g != GID["host"]) & ft._not_sentinel("_donor"))
+    return (donors.groupBy(F.col("_donor").alias(DONOR)).agg(*aggs)
+                  .filter(F.col("_n_win") > 0).drop("_n_win"))
 
 
-def program_dataset(spark: SparkSession, sf_dir: str, program: str = "Regular Giving",
-                    suffix: str | None = None, label_year: int = LABEL_YEAR,
-                    as_of_year: int | None = None, year: int = FEATURE_YEAR,
-                    last_3_variant: str = "literal", pe: DataFrame | None = None) -> DataFrame:
-    """The base table plus program totals, overall totals and the label.
+def mode_from_profile(prof: DataFrame) -> DataFrame:
+    """F10 from the (donor, method) rows: most window payments, ties to the first method, NA last."""
+    rows = prof.filter((F.col("_g") == GID["type"]) & (F.col("n_win") > 0) & ft._not_sentinel("_donor"))
+    best = F.min(F.struct((-F.col("n_win")).alias("k1"), F.col("_type").isNull().alias("k2"),
+                          F.col("_type").alias("k3")))
+    return rows.groupBy(F.col("_donor").alias(DONOR)).agg(best["k3"].alias("pay_type"))
 
-    ``as_of_year=None`` keeps the reference's totals over all years (they
-    include the label year: leakage); ``as_of_year=label_year`` gives the
-    leak-free form.
+
+def hosts_from_profile(prof: DataFrame) -> DataFrame:
+    """F7 from the (host) rows: window payments per host."""
+    return (prof.filter((F.col("_g") == GID["host"]) & (F.col("n_win") > 0) & ft._not_sentinel("_host"))
+                .select(F.col("_host").alias(DONOR), F.col("n_win").alias("hosted_events")))
+
+
+def donor_base(spark: SparkSession, sf_dir: str, programs: dict | None = None, year: int = FEATURE_YEAR,
+               label_year: int = LABEL_YEAR, as_of_year: int | None = None,
+               last_3_variant: str = "literal", pe: DataFrame | None = None) -> DataFrame:
+    """Base table + program columns from one pass over the payments (plus the commitments).
+
+    The level-1 result feeds three consumers (donor aggregate, method mode,
+    host counts) that each need different columns, so Spark could not share
+    its shuffle; it is written once to the shared checkpoint folder instead
+    (reliable checkpoint: survives executor loss, cuts the lineage) and the
+    consumers read it.
     """
-    suffix = suffix or PROGRAMS.get(program) or program.lower().replace(" ", "_")
     pe = pe if pe is not None else ft.pay_events(spark, sf_dir)
-    agg = donor_program_aggregate(pe, {program: suffix}, year, label_year, as_of_year)
+    prof = materialize(payment_profile(pe, year, label_year, as_of_year))
+    base = base_from_profile(prof, programs)
     if last_3_variant == "recent":
-        agg = agg.drop("last_3").withColumnRenamed("last_3_recent", "last_3")
+        base = base.drop("last_3").withColumnRenamed("last_3_recent", "last_3")
     else:
-        agg = agg.drop("last_3_recent")
-    joined = (agg.join(ft.feat_hosted_events(pe, year), DONOR, "left")
-                 .join(ft.feat_pay_type(pe, year), DONOR, "left")
-                 .join(ft.feat_instance_count(spark, sf_dir), DONOR, "left"))
-    return joined.select(*ft.CONST_BASE_COLUMNS, f"total_amt_{suffix}", f"count_{suffix}",
-                         "total_donated", "total_count",
-                         F.col(f"status_{suffix}").cast("int").alias("status"))
+        base = base.drop("last_3_recent")
+    return (base.join(hosts_from_profile(prof), DONOR, "left")
+                .join(mode_from_profile(prof), DONOR, "left")
+                .join(ft.feat_instance_count(spark, sf_dir), DONOR, "left"))

@@ -1,11 +1,10 @@
 """Donor features (one row per donor) built from payments.
 
-Every feature of the reference is available as its own function (``feat_*``),
-and :func:`const_base` assembles all of them. The features that share the
-donor key and the date window are computed by **one** ``groupBy(donor)``
-(:func:`donor_window_aggregate`) instead of one aggregate per feature joined
-back together: one scan of the payment fact, one shuffle by donor, partial
-aggregation on the map side.
+Every feature of the reference is available as its own function (``feat_*``,
+one aggregate each, for use on its own). The base table of all features,
+:func:`const_base`, does not join these back together: it is derived from ONE
+grouping-sets aggregate over the payments (``datasets.payment_profile``), so
+the payment fact is scanned and shuffled once for all of them.
 
 Skew: a single donor may own a large share of all payments. Every aggregate
 here is algebraic (partial + final), and the distinct counts go through
@@ -193,19 +192,6 @@ CONST_BASE_COLUMNS = ["donor", "dist_events", "tenure", "yrs_donated", "dist_car
 
 def const_base(spark: SparkSession, sf_dir: str, year: int = FEATURE_YEAR,
                last_3_variant: str = "literal", pe: DataFrame | None = None) -> DataFrame:
-    """the donor base table.
-
-    Row set: donors with a payment in the window (minus sentinels). The other
-    per-key results are left-joined on donor; each side is unique per key, and
-    all of them come out of aggregates hash-partitioned by that key.
-    """
-    pe = pe if pe is not None else pay_events(spark, sf_dir)
-    base = donor_window_aggregate(pe, year)
-    if last_3_variant == "recent":
-        base = base.drop("last_3").withColumnRenamed("last_3_recent", "last_3")
-    else:
-        base = base.drop("last_3_recent")
-    out = (base.join(feat_hosted_events(pe, year), DONOR, "left")
-               .join(feat_pay_type(pe, year), DONOR, "left")
-               .join(feat_instance_count(spark, sf_dir), DONOR, "left"))
-    return out.select(*CONST_BASE_COLUMNS)
+    """the donor base table, from the one-pass plan in :mod:`donorlens.plans.datasets`."""
+    from donorlens.plans import datasets
+    return datasets.const_base(spark, sf_dir, year, last_3_variant, pe)
