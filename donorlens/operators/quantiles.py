@@ -25,6 +25,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from donorlens.session import materialize
+
 DEFAULT_BUCKETS = 64
 
 
@@ -51,6 +53,8 @@ def ordered_prefix_sums(vc: DataFrame, key: str, cols: list[str], buckets: int |
     """
     spark = vc.sparkSession
     nb = buckets or _buckets(spark)
+    # read by two jobs (the bounds, then the sums): computed once, from the shared checkpoint
+    vc = materialize(vc)
     bounds = sorted(set(b for b in vc.approxQuantile(key, [i / nb for i in range(1, nb)], 1.0 / (4 * nb))
                         if b is not None))
     bucket = F.lit(0)

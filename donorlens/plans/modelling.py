@@ -43,6 +43,7 @@ RAW_FOREST_VARS = ("pay_type", "fail_ratio", "dist_events", "count_{s}", "dist_c
 # variables of the three partial dependence plots
 PDP_VARS = ("count_{s}", "dist_cards", "yrs_donated")
 PDP_GRID = 51
+MAX_DEPTH = 15
 # ------------------------------------------------------------------------------
 
 NOT_PREDICTORS = ("donor", "status", "pred")
@@ -125,9 +126,15 @@ def logit_scores(model, df: DataFrame, split_name: str) -> DataFrame:
 
 
 def fit_forest(train: DataFrame, predictors: list[str], n_trees: int = N_TREES, seed: int = SEED,
-               max_depth: int = 20):
-    """Random forest classifier, sqrt(p) candidate features per split."""
+               max_depth: int = MAX_DEPTH):
+    """Random forest classifier, sqrt(p) candidate features per split.
+
+    R grows every tree until its leaves are pure; Spark trees need a depth
+    limit. Each extra level costs a full distributed pass over the data, so the
+    default is 15 (about 3x faster than 20 at sf0.1, with leaves of a few rows).
+    """
     rfc = RandomForestClassifier(numTrees=n_trees, featureSubsetStrategy="sqrt", maxDepth=max_depth,
+                                 maxMemoryInMB=512,
                                  minInstancesPerNode=1, seed=seed, featuresCol="features", labelCol="label",
                                  probabilityCol="prob_vec", rawPredictionCol="raw", predictionCol="pred_label")
     return _with_names(Pipeline(stages=[_rformula(predictors), rfc]).fit(train), train)
