@@ -35,6 +35,7 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from donorlens.operators.joins import sized_broadcast
 from donorlens.operators.sampling import sample_with_replacement, u01
 from donorlens.session import materialize
 
@@ -143,7 +144,8 @@ def knn(minority: DataFrame, numeric, nominal, k: int = 5, seed: int = 1, bucket
     band = bad.join(F.broadcast(edges), overlap, "inner").select("_vid", F.col("_b").alias("_pb"))
     selfs2 = selfs.join(bad.select("_vid"), "_vid", "left_semi")
     second = _knn_from_pairs(pairs_for(band).unionByName(selfs2), k)
-    return good.unionByName(second), pts
+    # at most k rows per point, read by several joins: written once
+    return materialize(good.unionByName(second)), pts
 
 
 def smote(train: DataFrame, label: str, numeric: list[str], nominal: list[str], perc_over: int = 1600,
@@ -159,7 +161,11 @@ def smote(train: DataFrame, label: str, numeric: list[str], nominal: list[str],
     majority = train.filter(F.col(label) != min_cls)
     n_new = int(perc_over / 100)
     nn, pts = knn(minority, numeric, nominal, k, seed)
-    nn = nn.select("_vid", "_nvid", "_before", "_nm")
+    # Neighbour lists (<= k rows per distinct vector) and representatives are
+    # broadcast when their size is proven small: many identical minority rows
+    # share one vector id, which would be a hot join key. Above the bound the
+    # joins stay shuffle joins and AQE splits the skewed partitions.
+    nn = sized_broadcast(nn.select("_vid", "_nvid", "_before", "_nm"))
     # draws: each minority case x n_new, neighbour position j in 1..k, gap, nominal coin
     rows = minority.withColumn("_vid", _vector_key(numeric, nominal))
     draws = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_new))).alias("_n"))
@@ -170,7 +176,7 @@ def smote(train: DataFrame, label: str, numeric: list[str], nominal: list[str],
     pick = draws.join(nn, (draws["_vid"] == nn["_vid"]) & (F.col("_j") > F.col("_before"))
                       & (F.col("_j") <= F.col("_before") + F.col("_nm")), "inner").drop(nn["_vid"])
     # neighbour values: one representative row per neighbour vector
-    rep = (rows.groupBy(F.col("_vid").alias("_nvid"))
+    rep = sized_broadcast(rows.groupBy(F.col("_vid").alias("_nvid"))
                .agg(*[F.first(F.col(c)).alias(f"_nb_{c}") for c in numeric + nominal]))
     syn = pick.join(rep, "_nvid")
     out_cols = []
@@ -207,6 +213,7 @@ def neighbour_distances(train: DataFrame, label: str, numeric, nominal, k: int =
     nn, _ = knn(minority, numeric, nominal, k, seed)
     rows = minority.select(key, _vector_key(numeric, nominal).alias("_vid"))
     ranks = rows.select(key, "_vid", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("rank"))
+    nn = sized_broadcast(nn)
     j = ranks.join(nn, (ranks["_vid"] == nn["_vid"]) & (F.col("rank") > F.col("_before"))
                    & (F.col("rank") <= F.col("_before") + F.col("_nm")))
     return j.select(F.col(key), F.col("rank").cast("int").alias("rank"), F.col("_d2").alias("distance"))
