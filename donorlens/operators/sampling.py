@@ -19,7 +19,9 @@ TWO32 = 4294967296.0
 def hash32(key, seed) -> F.Column:
     """32-bit unsigned hash of ``key|seed`` (first 8 hex digits of md5) as bigint."""
     k = key if isinstance(key, F.Column) else F.col(key)
-    s = F.concat(k.cast("string"), F.lit("|"), seed if isinstance(seed, F.Column) else F.lit(str(seed)))
+    # a NULL key hashes like a fixed token, so such rows are never lost
+    k = F.coalesce(k.cast("string"), F.lit("\u0000NA"))
+    s = F.concat(k, F.lit("|"), seed if isinstance(seed, F.Column) else F.lit(str(seed)))
     return F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("long")
 
 

@@ -63,3 +63,20 @@ def roundtrip(spark: SparkSession, df: DataFrame, name: str = "table") -> DataFr
     path = scratch_path(spark, name)
     write_table(df, path)
     return read_table(spark, path, df.schema)
+
+
+def write_sorted(df: DataFrame, path: str, key: str = "donor", fmt: str = "parquet",
+                 partitions: int | None = None, mode: str = "overwrite") -> None:
+    """Write a table ordered by ``key`` (the reference's ``order by`` on every result).
+
+    One sort at write time only: rows are range-partitioned on ``key`` (Spark
+    samples the bounds) and sorted inside each partition, so the part files
+    read in order form the sorted table; no single task sorts everything.
+    ``fmt`` is ``parquet`` or ``rtable`` (R ``write.table`` text).
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(n, key).sortWithinPartitions(key)
+    if fmt == "rtable":
+        write_table(ordered, path, mode)
+    else:
+        ordered.write.mode(mode).parquet(path)

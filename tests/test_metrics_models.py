@@ -135,3 +135,20 @@ def test_knn_second_pass_with_small_buckets(spark):
             others += [d2] * (q["_mult"] - (1 if q["_vid"] == p["_vid"] else 0))
         assert sorted(vid_d[p["_vid"]])[:4] == pytest.approx(sorted(others)[:4], abs=1e-12)
     assert ru and rv
+
+
+def test_split_keeps_null_keys(spark):
+    df = spark.createDataFrame([(None,), ("a",), ("b",), ("c",)], "donor string")
+    a, b = exact_split(df, "donor", 0.5, 3)
+    assert a.count() == 2 and b.count() == 2
+
+
+def test_write_sorted_roundtrip(spark):
+    from donorlens.sources import csv_io
+    df = spark.createDataFrame([(f"Const-{i}", i * 1.5) for i in (5, 3, 9, 1, 7)], "donor string, x double")
+    path = csv_io.scratch_path(spark, "sorted")
+    csv_io.write_sorted(df, path, "donor", fmt="rtable", partitions=2)
+    back = csv_io.read_table(spark, path, df.schema)
+    assert sorted(r["donor"] for r in back.collect()) == sorted(r["donor"] for r in df.collect())
+    parts = spark.read.text(path).collect()
+    assert parts[0][0].startswith('"donor"')
