@@ -45,11 +45,32 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, sep: str =
     return df
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",",
+# separators tried when none is given, in order of preference on ties
+SEPARATORS = (",", "\t", "|", ";", " ")
+
+
+def detect_separator(spark: SparkSession, path: str, n_columns: int) -> str:
+    """``fread``-style separator detection from the header line only.
+
+    Picks the candidate that splits the header into ``n_columns`` fields (the
+    schema is explicit), else the most frequent candidate. Reads one line.
+    """
+    first = spark.read.text(path).limit(1).collect()
+    if not first:
+        return ","
+    head = first[0][0]
+    for sep in SEPARATORS:
+        if len(head.split(sep)) == n_columns:
+            return sep
+    return max(SEPARATORS, key=head.count)
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str | None = None,
              null_value: str = "NA") -> DataFrame:
-    """Plain CSV scan with header (``fread`` on a comma-separated file)."""
+    """CSV scan with header and an explicit schema (``fread``); ``sep=None`` detects it."""
+    sep = sep or detect_separator(spark, path, len(schema.fields))
     return (spark.read.option("header", True).option("sep", sep).option("nullValue", null_value)
-            .schema(schema).csv(path))
+            .option("quote", '"').schema(schema).csv(path))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -152,3 +152,13 @@ def test_write_sorted_roundtrip(spark):
     assert sorted(r["donor"] for r in back.collect()) == sorted(r["donor"] for r in df.collect())
     parts = spark.read.text(path).collect()
     assert parts[0][0].startswith('"donor"')
+
+
+def test_read_csv_detects_separator(spark):
+    from donorlens.sources import csv_io
+    df = spark.createDataFrame([("Const-1", 2.5, None), ("Const-2", None, "x y")], "a string, b double, c string")
+    for sep in ("\t", ";", ","):
+        path = csv_io.scratch_path(spark, "csv")
+        df.write.option("header", True).option("sep", sep).option("nullValue", "NA").csv(path)
+        back = csv_io.read_csv(spark, path, df.schema)
+        assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
