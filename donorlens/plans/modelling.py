@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from donorlens.operators import metrics as M
 from donorlens.operators.sampling import exact_split, hash32, u01
 from donorlens.plans import datasets as ds
-from donorlens.session import materialize
+from donorlens.session import checkpoint_dir, materialize
 
 # --- fixed values of the workflow ---------------------------------------------
 SEED = 1287
@@ -133,8 +133,12 @@ def fit_forest(train: DataFrame, predictors: list[str], n_trees: int = N_TREES,
     limit. Each extra level costs a full distributed pass over the data, so the
     default is 15 (about 3x faster than 20 at sf0.1, with leaves of a few rows).
     """
+    # node ids cached per row instead of shipping every tree to the executors
+    # each level (about 2x faster for deep trees); the cache is checkpointed
+    # every 10 levels to the shared checkpoint folder
+    checkpoint_dir(train.sparkSession)
     rfc = RandomForestClassifier(numTrees=n_trees, featureSubsetStrategy="sqrt", maxDepth=max_depth,
-                                 maxMemoryInMB=512,
+                                 maxMemoryInMB=512, cacheNodeIds=True, checkpointInterval=10,
                                  minInstancesPerNode=1, seed=seed, featuresCol="features", labelCol="label",
                                  probabilityCol="prob_vec", rawPredictionCol="raw", predictionCol="pred_label")
     return _with_names(Pipeline(stages=[_rformula(predictors), rfc]).fit(train), train)
