@@ -21,9 +21,22 @@ from donorlens.operators.joins import sized_broadcast
 RAW_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
-def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One raw parquet table of the test data (``<sf_dir>/<name>.parquet``)."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def raw(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """One raw parquet table of the test data (``<sf_dir>/<name>.parquet``).
+
+    ``spread`` (used for the fact tables): when the scan yields fewer input
+    partitions than the cluster has task slots -- a small file written as one
+    parquet row group is read by a single task -- the rows are dealt
+    round-robin over all slots so the CPU-heavy stages that follow (joins,
+    the grouping-sets expansion) use every core. A large input always has
+    more splits than slots, so nothing is added there.
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if spread:
+        slots = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < slots:
+            df = df.repartition(slots)
+    return df
 
 
 def _const_id(c) -> F.Column:
@@ -53,7 +66,7 @@ def payment(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``DonationDateSKey`` is delivered already parsed to a date (the reference
     parses it with ``ymd`` right after loading).
     """
-    li = raw(spark, sf_dir, "lineitem")
+    li = raw(spark, sf_dir, "lineitem", spread=True)
     o = raw(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
     j = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
     return j.select(
@@ -138,7 +151,7 @@ def constituent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def instance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FactInstance: one commitment per order; RG amounts are text with "NULL"."""
-    o = raw(spark, sf_dir, "orders")
+    o = raw(spark, sf_dir, "orders", spread=True)
     cid = _const_id(F.col("o_custkey"))
     rg = (F.floor(F.col("o_totalprice") / 1000).cast("int") % 20)
     urgent = F.col("o_orderpriority") == "1-URGENT"
