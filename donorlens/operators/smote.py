@@ -102,9 +102,10 @@ def knn(minority: DataFrame, numeric, nominal, k: int = 5, seed: int = 1, bucket
     neighbour cases closer in the order (a point's own duplicates come first,
     at distance 0), and the weighted points.
     """
-    ranges_row = minority.agg(*[(F.max(c) - F.min(c)).cast("double").alias(c) for c in numeric]).collect()[0]
+    ranges_row = minority.agg(F.count(F.lit(1)).alias("_n"),
+                              *[(F.max(c) - F.min(c)).cast("double").alias(c) for c in numeric]).collect()[0]
     ranges = {c: (ranges_row[c] or 0.0) for c in numeric}
-    n_min = minority.count()
+    n_min = ranges_row["_n"]
     bucket_size = max(bucket_size, math.ceil(n_min / max_buckets))
     pts, edges = _points(minority, numeric, nominal, ranges, seed, bucket_size)
     nb_max = edges.agg(F.max("_b")).collect()[0][0] or 0
@@ -193,7 +194,7 @@ def smote(train: DataFrame, label: str, numeric: list[str], nominal: list[str],
         else:
             out_cols.append(F.col(c))
     synthetic = syn.select(*out_cols)
-    n_syn = minority.count() * n_new
+    n_syn = counts[min_cls] * n_new
     drawn = sample_with_replacement(majority, int(perc_under / 100 * n_syn), seed, key)
     drawn = drawn.withColumn(key, F.concat_ws("#", F.col(key), F.lit("draw"), F.col("_draw").cast("string")))
     base_types = {c: ("double" if c in numeric else train.schema[c].dataType) for c in train.columns}

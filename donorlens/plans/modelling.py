@@ -176,14 +176,14 @@ def forest_gini_importance(model) -> DataFrame:
                                  "variable string, mean_decrease_gini double")
 
 
-def _permuted(df: DataFrame, col: str, seed: int, rows_per_bucket: int = 1_000_000) -> DataFrame:
+def _permuted(df: DataFrame, col: str, seed: int, n_rows: int, rows_per_bucket: int = 1_000_000) -> DataFrame:
     """``df`` with the values of ``col`` randomly permuted among rows.
 
     Rows are dealt into hash buckets of bounded size; inside a bucket two
     independent hash orders pair each row with the row whose value it takes.
     No global sort, no single task holding all rows.
     """
-    n_b = max(1, -(-df.count() // rows_per_bucket))
+    n_b = max(1, -(-n_rows // rows_per_bucket))
     d = df.withColumn("_pb", F.pmod(hash32(F.col("donor"), f"{seed}:bucket"), F.lit(n_b)))
     wa = Window.partitionBy("_pb").orderBy(u01(F.col("donor"), f"{seed}:a"), "donor")
     wb = Window.partitionBy("_pb").orderBy(u01(F.col("donor"), f"{seed}:{col}"), "donor")
@@ -199,9 +199,10 @@ def permutation_importance(model, df: DataFrame, predictors: list[str], seed: in
     All permuted copies are unioned and scored by one ``transform``, then one
     aggregate per variant gives the accuracies.
     """
+    n_rows = df.count()
     variants = [df.withColumn("_variant", F.lit("(none)"))]
     for p in predictors:
-        variants.append(_permuted(df, p, seed).select(*df.columns).withColumn("_variant", F.lit(p)))
+        variants.append(_permuted(df, p, seed, n_rows).select(*df.columns).withColumn("_variant", F.lit(p)))
     allv = reduce(DataFrame.unionByName, variants)
     scored = model.transform(allv)
     acc = scored.groupBy("_variant").agg(
