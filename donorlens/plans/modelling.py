@@ -169,8 +169,8 @@ def forest_gini_importance(model) -> DataFrame:
     names = getattr(model, "_feature_names", None) or [f"f{i}" for i in range(len(imp))]
     by_var = {}
     for n, v in zip(names, imp):
-        base = n.split("_", 1)[0] if n.startswith("pay_type_") else n
-        base = "pay_type" if n.startswith("pay_type") else base
+        # one-hot parts of a factor are named <factor>_<level>: sum them back
+        base = next((f for f in FACTORS if n.startswith(f + "_")), n)
         by_var[base] = by_var.get(base, 0.0) + float(v)
     return spark.createDataFrame(sorted(by_var.items(), key=lambda kv: -kv[1]),
                                  "variable string, mean_decrease_gini double")
