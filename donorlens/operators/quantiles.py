@@ -55,8 +55,10 @@ def ordered_prefix_sums(vc: DataFrame, key: str, cols: list[str], buckets: int |
     nb = buckets or _buckets(spark)
     # read by two jobs (the bounds, then the sums): computed once, from the shared checkpoint
     vc = materialize(vc)
-    bounds = sorted(set(b for b in vc.approxQuantile(key, [i / nb for i in range(1, nb)], 1.0 / (4 * nb))
-                        if b is not None))
+    bounds = []
+    if nb > 1:  # one range needs no bounds
+        bounds = sorted(set(b for b in vc.approxQuantile(key, [i / nb for i in range(1, nb)], 1.0 / (4 * nb))
+                            if b is not None))
     bucket = F.lit(0)
     if bounds:
         arr = F.array(*[F.lit(float(b)) for b in bounds])
