@@ -62,3 +62,29 @@ def test_exact_split_size_and_order(spark, n, frac, seed):
     ta = {r[0] for r in a.collect()}
     tb = {r[0] for r in b.collect()}
     assert len(ta) == math.floor(frac * n) and len(ta) + len(tb) == n and not ta & tb
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(pts=st.lists(st.tuples(st.integers(0, 5), st.integers(0, 5), st.sampled_from(["a", "b"])),
+                    min_size=3, max_size=40),
+       k=st.integers(min_value=1, max_value=4), bucket_size=st.integers(min_value=1, max_value=5))
+def test_knn_equals_brute_force(spark, pts, k, bucket_size):
+    from donorlens.operators import smote as S
+    rows = [(f"p{i}", float(u), float(v), c) for i, (u, v, c) in enumerate(pts)]
+    df = spark.createDataFrame(rows, "donor string, u double, v double, c string")
+    nn, points = S.knn(df, ["u", "v"], ["c"], k=k, seed=11, bucket_size=bucket_size)
+    got = {}
+    for r in nn.collect():
+        got.setdefault(r["_vid"], []).extend([r["_d2"]] * int(r["_nm"]))
+    ru = (max(u for _, u, _, _ in rows) - min(u for _, u, _, _ in rows)) or None
+    rv = (max(v for _, _, v, _ in rows) - min(v for _, _, v, _ in rows)) or None
+
+    def z(x, r):
+        return x / r if r else 0.0
+    for p in points.collect():
+        mine = [row for row in rows if z(row[1], ru) == p["z_u"] and z(row[2], rv) == p["z_v"] and row[3] == p["n_c"]]
+        a = mine[0]
+        ds = sorted((z(a[1], ru) - z(b[1], ru)) ** 2 + (z(a[2], rv) - z(b[2], rv)) ** 2 + (a[3] != b[3])
+                    for b in rows if b[0] != a[0])
+        want = ds[:k]
+        assert sorted(got.get(p["_vid"], []))[:k] == want
