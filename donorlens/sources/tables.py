@@ -21,21 +21,30 @@ from donorlens.operators.joins import sized_broadcast
 RAW_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
+# Small-input spreading (see ``raw``): at most this many input splits (~1 GB at
+# the default 128 MB split size) are spread, over at most this many partitions.
+SPREAD_MAX_SPLITS = 8
+SPREAD_MAX_PARTITIONS = 64
+
+
 def raw(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
     """One raw parquet table of the test data (``<sf_dir>/<name>.parquet``).
 
-    ``spread`` (used for the fact tables): when the scan yields fewer input
-    partitions than the cluster has task slots -- a small file written as one
-    parquet row group is read by a single task -- the rows are dealt
-    round-robin over all slots so the CPU-heavy stages that follow (joins,
-    the grouping-sets expansion) use every core. A large input always has
-    more splits than slots, so nothing is added there.
+    ``spread`` (used for the fact tables): a small file written as one parquet
+    row group is read by a single task, and with a broadcast join after it the
+    whole CPU-heavy pipeline (join, grouping-sets expansion, partial
+    aggregation) would run in that task. When the scan has at most
+    ``SPREAD_MAX_SPLITS`` splits and fewer than the task slots, its rows are
+    dealt round-robin over ``min(slots, SPREAD_MAX_PARTITIONS)`` partitions --
+    a cheap shuffle for such an input. Larger inputs keep their own splits
+    (and the shuffles of their joins), so nothing is added at scale.
     """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     if spread:
-        slots = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < slots:
-            df = df.repartition(slots)
+        target = min(spark.sparkContext.defaultParallelism, SPREAD_MAX_PARTITIONS)
+        splits = df.rdd.getNumPartitions()
+        if splits < target and splits <= SPREAD_MAX_SPLITS:
+            df = df.repartition(target)
     return df
 
 
