@@ -256,3 +256,24 @@ def column_profile(spark, sf):
 def head(spark, sf, n: int = 6):
     """First rows (``head``) of the appeal contact table."""
     return _appeals(spark, sf).limit(n)
+
+
+def mapping_uniqueness(spark, sf):
+    """E8-E10 comments ("mapping isn't unique"): keys that map to more than one value.
+
+    One row: sub-regions with several regions, LGAs with several regions,
+    LGAs with several sub-regions (NA is a key and a value, as in ``group_by``).
+    Each count comes from the pair table of its mapping.
+    """
+    c = _const(spark, sf)
+
+    def multi(a, b, name):
+        pairs = c.select(a, b).distinct()
+        per_key = pairs.groupBy(a).agg(F.count(F.lit(1)).alias("_n"))
+        return per_key.agg(F.count_if(F.col("_n") > 1).alias(name))
+    sr = multi("ConstituentSubRegion", "ConstituentRegion", "n_subregion_multi_region")
+    lr = multi("LGA", "ConstituentRegion", "n_lga_multi_region")
+    ls = multi("LGA", "ConstituentSubRegion", "n_lga_multi_subregion")
+    one = F.lit(1).alias("_one")
+    return (sr.select("*", one).join(lr.select("*", one), "_one")
+              .join(ls.select("*", one), "_one").drop("_one"))
