@@ -101,6 +101,16 @@ def logit_coefficients(model) -> DataFrame:
                                        "z_value double, p_value double")
 
 
+def logit_fit_stats(model) -> DataFrame:
+    """M5 (rest of ``summary(glm)``): deviances, degrees of freedom, AIC, iterations."""
+    spark = SparkSession.getActiveSession()
+    s = model.stages[-1].summary
+    row = (float(s.nullDeviance), int(s.residualDegreeOfFreedomNull), float(s.deviance),
+           int(s.residualDegreeOfFreedom), float(s.aic), int(s.numIterations))
+    return spark.createDataFrame([row], "null_deviance double, null_df long, residual_deviance double, "
+                                        "residual_df long, aic double, iterations int")
+
+
 def _f(x):
     return None if x is None else float(x)
 

@@ -84,6 +84,11 @@ def logit_coefficients(spark, sf):
     return md.logit_coefficients(m)
 
 
+def logit_fit_stats(spark, sf):
+    m, *_ = logit_fit(spark, sf)
+    return md.logit_fit_stats(m)
+
+
 def logit_metrics(spark, sf):
     m, train, test, _ = logit_fit(spark, sf)
     tr = md.scored_metrics(md.logit_scores(m, train, "train")).withColumn("split", F.lit("train"))
