@@ -53,3 +53,17 @@ def test_sized_broadcast_respects_the_bound(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_data_queries_read_whole_tables(spark, sf):
+    """No registered data query caps or samples rows (``head`` is the only limit: it is the feature)."""
+    import __spark_entry__ as E
+    qs = E.queries()
+    names = (["const_base", "ads_regular_giving", "ads_abmt", "model_input", "split_train", "split_test",
+              "threshold_scores", "roc_auc", "confusion_counts"]
+             + list(E.FEATURE_QUERIES) + list(E.PROFILE_QUERIES))
+    for name in names:
+        plan = _plan(qs[name](spark, sf))
+        for op in ("GlobalLimit", "LocalLimit", "CollectLimit", "TakeOrderedAndProject", "Sample "):
+            assert op not in plan, (name, op)
+    assert "Limit" in _plan(qs["head"](spark, sf))
