@@ -279,12 +279,19 @@ def partial_dependence(model, df: DataFrame, var: str, predictors: list[str],
 
 # -- workflow glue -------------------------------------------------------------
 
-def prepared(spark: SparkSession, sf_dir: str, program: str = "Regular Giving", seed: int = SEED):
-    """Model input for a program, split into (train, test), with the suffix."""
+def prepared(spark: SparkSession, sf_dir: str, program: str = "Regular Giving", seed: int = SEED,
+             materialize_parts: bool = True):
+    """Model input for a program, split into (train, test), with the suffix.
+
+    The parts are checkpointed for the model fits, which read them many
+    times; a caller that only writes one part passes ``materialize_parts=False``.
+    """
     suffix = ds.PROGRAMS.get(program) or program.lower().replace(" ", "_")
     mi = materialize(model_input(ds.program_dataset(spark, sf_dir, program)))
     train, test = split(mi, seed)
-    return materialize(train), materialize(test), suffix
+    if materialize_parts:
+        train, test = materialize(train), materialize(test)
+    return train, test, suffix
 
 
 def index_levels(df: DataFrame, col: str = "pay_type") -> DataFrame:

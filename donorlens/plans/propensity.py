@@ -30,11 +30,11 @@ def model_input(spark, sf, program=PROGRAM):
 
 
 def split_train(spark, sf, program=PROGRAM):
-    return _prep(spark, sf, program)[0]
+    return md.prepared(spark, sf, program, materialize_parts=False)[0]
 
 
 def split_test(spark, sf, program=PROGRAM):
-    return _prep(spark, sf, program)[1]
+    return md.prepared(spark, sf, program, materialize_parts=False)[1]
 
 
 def index_pay_type(spark, sf, program=PROGRAM):
