@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from donorlens.llm import simhash
+from donorlens.llm import simhash, toxicity
 from donorlens.llm.common import documents
 
 
@@ -14,9 +14,14 @@ def op2_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op9_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash_bk_trees": op2_simhash_bk_trees,
+        "op9_zstd_toxicity": op9_zstd_toxicity,
     }
 
 
