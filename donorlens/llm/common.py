@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from donorlens.session import checkpoint_dir
@@ -43,3 +43,24 @@ def ascii_lower(col):
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def word_count(col):
+    """Number of words ``[^\\x20\\x09-\\x0D]+`` of a text (null: 0)."""
+    return F.coalesce(F.regexp_count(col, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
+    """Add the 0-based position of each row in the given total order.
+
+    The rows are dealt by range, numbered inside each range and shifted by the
+    ranges' row counts: no task sees more than its own range.
+    """
+    parts = shuffle_partitions(df.sparkSession)
+    ranged = staged(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # one row per range
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return (ranged.withColumn(name, inside).join(F.broadcast(starts), "_part")
+            .withColumn(name, F.col(name) + F.col("_start") - 1).drop("_part", "_start"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from donorlens.llm import simhash, toxicity
+from donorlens.llm import mixing, simhash, toxicity
 from donorlens.llm.common import documents
 
 
@@ -18,9 +19,16 @@ def op9_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op10_mixing_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mixture(documents(spark, sf_dir))
+    return mix.select("doc_id", "size", "source_size", "target",
+                      (F.col("size") * F.col("copies")).alias("taken"), "copies", "shards")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash_bk_trees": op2_simhash_bk_trees,
+        "op10_mixing_tree": op10_mixing_tree,
         "op9_zstd_toxicity": op9_zstd_toxicity,
     }
 
