@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from donorlens.llm import mixing, simhash, toxicity
+from donorlens.llm import mixing, packing, simhash, toxicity
 from donorlens.llm.common import documents
 
 
@@ -25,10 +25,15 @@ def op10_mixing_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("size") * F.col("copies")).alias("taken"), "copies", "shards")
 
 
+def op7_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash_bk_trees": op2_simhash_bk_trees,
         "op10_mixing_tree": op10_mixing_tree,
+        "op7_certified_packing": op7_certified_packing,
         "op9_zstd_toxicity": op9_zstd_toxicity,
     }
 
