@@ -3,27 +3,56 @@
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and
 returns a DataFrame. ``run`` writes every stage's result as Parquet below the
 shared checkpoint folder and gives it to the next stage. All stages but the
-last return the columns of ``documents``.
+last return the columns of ``documents``; the last returns the packed pieces.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from donorlens.llm import simhash
+from donorlens.llm import mixing, packing, simhash, surrogates, toxicity
 from donorlens.llm.common import documents, staged
 
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the compression-distance classifier calls toxic."""
+    return toxicity.reject_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each SimHash group."""
+    """Keeps one document of each SimHash group, that of the smallest id."""
     return simhash.keep_one(docs)
 
 
+def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by surrogates; ``n_chars``, where there is one, follows the new text."""
+    made = surrogates.pseudonymised(docs)
+    if "n_chars" in docs.columns:
+        new_length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        made = made.withColumn("n_chars", F.when(F.col("n_entities") > 0, new_length).otherwise(F.col("n_chars")))
+    return made.select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes every source to its target: a row appears as often as the mix takes it."""
+    return mixing.mixed_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs all rows into sequences of at most 2048 tokens."""
+    return packing.pack_documents(docs)
+
+
 STAGES = [
+    ("toxicity", reject_toxic),
     ("simhash near-dedup", near_duplicates),
+    ("pii surrogates", pseudonymise),
+    ("mixing", mix_sources),
+    ("best-fit packing", pack),
 ]
 
-#: SQL has no SimHash and no tokenizer: tests hold the stages against brute force.
+#: SQL has no SimHash, no zstandard and no tokenizer: tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
