@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from donorlens.llm import mixing, packing, simhash, surrogates, toxicity, vafile
+from donorlens.llm import licenses, mixing, packing, simhash, surrogates, toxicity, vafile
 from donorlens.llm.common import documents
 
 
@@ -53,12 +53,17 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
 
+def op4_license_rare_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii_surrogates": op1_pii_surrogates,
         "op2_simhash_bk_trees": op2_simhash_bk_trees,
         "op10_mixing_tree": op10_mixing_tree,
         "op3_va_file_top_k": op3_va_file_top_k,
+        "op4_license_rare_tokens": op4_license_rare_tokens,
         "op7_certified_packing": op7_certified_packing,
         "op9_zstd_toxicity": op9_zstd_toxicity,
     }
@@ -67,4 +72,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_va_file_top_k": OP3_SQL,
+        "op4_license_rare_tokens": licenses.oracle_sql(),
     }
