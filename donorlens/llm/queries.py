@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from donorlens.llm import licenses, mixing, packing, simhash, surrogates, toxicity, vafile
+from donorlens.llm import (licenses, mixing, packing, repetition, simhash, surrogates, toxicity, urlfilter,
+                           vafile)
 from donorlens.llm.common import documents
 
 
@@ -57,6 +58,46 @@ def op4_license_rare_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op5_suffix_array_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the longest repeat decides within the operator; SQL checks it by its limit
+    return repetition.quality(documents(spark, sf_dir)).drop("longest_repeat")
+
+
+OP5_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), win AS (
+  SELECT r, l, i, array_to_string(w[i + 1:i + l], ' ') AS g
+  FROM d, (VALUES (3), ({repetition.MIN_REPEAT}), ({repetition.MAX_REPEAT + 1})) v(l),
+    unnest(range(greatest(len(w) - l + 1, 0))) u(i)
+), rep AS (
+  SELECT r, l, i FROM (SELECT r, l, i, count(*) OVER (PARTITION BY r, l, g) AS c FROM win) WHERE c > 1
+), cov AS (SELECT r, l, count(DISTINCT i + k) AS n FROM rep, unnest(range(l)) u(k) GROUP BY r, l),
+lines AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
+dup AS (
+  SELECT r, count(*) - count(DISTINCT line) AS n FROM lines
+  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY r
+), c AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum([length(x) FOR x IN w]), 0)::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,
+    coalesce((SELECT n FROM cov WHERE cov.r = d.r AND l = 3), 0) AS n_repeat_words,
+    coalesce((SELECT n FROM cov WHERE cov.r = d.r AND l = {repetition.MIN_REPEAT}), 0) AS n_covered_words,
+    EXISTS (SELECT 1 FROM rep WHERE rep.r = d.r AND l = {repetition.MAX_REPEAT + 1}) AS long_repeat
+  FROM d LEFT JOIN dup USING (r)
+), f AS (SELECT *, n_words < {repetition.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_covered_words, base_failed,
+  NOT base_failed AND NOT long_repeat AND n_covered_words <= {repetition.MAX_COVERED} * n_words AS kept
+FROM f
+"""
+
+
+def op8_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    judged = urlfilter.judge(urlfilter.dated_captures(pages), urlfilter.list_changes(pages))
+    return judged.withColumn("fetched_on", F.col("fetched_on").cast("string"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii_surrogates": op1_pii_surrogates,
@@ -64,6 +105,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_mixing_tree": op10_mixing_tree,
         "op3_va_file_top_k": op3_va_file_top_k,
         "op4_license_rare_tokens": op4_license_rare_tokens,
+        "op5_suffix_array_repetition": op5_suffix_array_repetition,
+        "op8_temporal_url_filter": op8_temporal_url_filter,
         "op7_certified_packing": op7_certified_packing,
         "op9_zstd_toxicity": op9_zstd_toxicity,
     }
@@ -73,4 +116,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_va_file_top_k": OP3_SQL,
         "op4_license_rare_tokens": licenses.oracle_sql(),
+        "op5_suffix_array_repetition": OP5_SQL,
+        "op8_temporal_url_filter": urlfilter.SQL,
     }
