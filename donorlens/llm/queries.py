@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from donorlens.llm import (licenses, mixing, packing, repetition, simhash, surrogates, toxicity, urlfilter,
-                           vafile)
+from donorlens.llm import (licenses, mixing, packing, repetition, simhash, suffixfamily, surrogates, toxicity,
+                           urlfilter, vafile)
 from donorlens.llm.common import documents
 
 
@@ -92,6 +92,10 @@ FROM f
 """
 
 
+def op6_suffix_array_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixfamily.remove_repeats(documents(spark, sf_dir))
+
+
 def op8_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     judged = urlfilter.judge(urlfilter.dated_captures(pages), urlfilter.list_changes(pages))
@@ -106,6 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_va_file_top_k": op3_va_file_top_k,
         "op4_license_rare_tokens": op4_license_rare_tokens,
         "op5_suffix_array_repetition": op5_suffix_array_repetition,
+        "op6_suffix_array_family": op6_suffix_array_family,
         "op8_temporal_url_filter": op8_temporal_url_filter,
         "op7_certified_packing": op7_certified_packing,
         "op9_zstd_toxicity": op9_zstd_toxicity,
@@ -117,5 +122,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_va_file_top_k": OP3_SQL,
         "op4_license_rare_tokens": licenses.oracle_sql(),
         "op5_suffix_array_repetition": OP5_SQL,
+        "op6_suffix_array_family": op6_suffix_array_family,
         "op8_temporal_url_filter": urlfilter.SQL,
     }
