@@ -8,9 +8,8 @@ Blocks: a keyed hash of the row permutes each source's documents and cuts them
 into ``BLOCKS`` blocks. A source is taken ``floor(target / size)`` whole times;
 of the rest, whole blocks are taken in order and the last block is cut at a
 hash value found by two more levels of exact sums; what is then still open is
-filled by the largest documents that fit. The words taken stay at or under the
-target, by less than the smallest document that was left out, or by a gap that
-``FILL_ROUNDS`` documents could not close.
+filled by the largest document that fits, ``FILL_ROUNDS`` times, and at last by
+the one document that comes nearest, if the target is then missed by less.
 
 Output shards: a source's block quota is the number of blocks it takes, repeats
 counted. A binary tree over the shards splits the vector of all quotas: each
@@ -38,7 +37,7 @@ BLOCK_BITS = 10
 BLOCKS = 1 << BLOCK_BITS
 GROUPS = 4096
 SHARDS = 16
-FILL_ROUNDS = 4
+FILL_ROUNDS = 3
 SEED = 10
 _PRIME = 1_000_003  # larger than any quota of one source, so multiplying by it permutes the blocks
 
@@ -129,19 +128,22 @@ def _cuts(rows: DataFrame, src: DataFrame) -> DataFrame:
                    (F.col("want") - F.coalesce("used", F.lit(0))).alias("gap")))
     a = tau.withColumnRenamed("source", "s")
     # a source without words takes no row: it has no boundary, and tau 0
-    cuts = (want.join(a, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "want")
-            .withColumn("tau", F.coalesce("tau", F.lit(0).cast("long")))
+    cuts = (want.join(a, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+            .withColumn("tau", F.when(F.col("want") > 0, F.coalesce("tau", F.lit(0).cast("long"))).otherwise(0))
+            .drop("want")
             .withColumn("gap", F.coalesce("gap", F.lit(0.0))).withColumn("extra", F.array().cast("array<bigint>"))
             .withColumn("quota", F.col("whole") * BLOCKS
                         + F.when(F.col("tau") > 0, F.coalesce("b1", F.lit(0)) + 1).otherwise(0)))
     # what the cut left open is filled by the largest document that fits, a few times over
-    for _ in range(FILL_ROUNDS):
+    for k in range(FILL_ROUNDS + 1):
         cuts = staged(cuts, "cuts")
         c = cuts.select(F.col("source").alias("s"), "tau", "gap", "extra")
-        fit = (rows.filter("size > 0").join(c, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") <= F.col("gap"))
-                                            & (F.col("h") >= F.col("tau")))
-               .filter(~F.array_contains("extra", F.col("h")))
-               .groupBy("source").agg(F.max(F.struct("size", "h")).alias("best"))
+        off = F.abs(F.col("size") - F.col("gap"))
+        fits, best = (F.col("size") <= F.col("gap"), F.max(F.struct("size", "h"))) if k < FILL_ROUNDS else (
+            off < F.col("gap"), F.min(F.struct(off.alias("off"), "size", "h")))
+        fit = (rows.filter("size > 0")
+               .join(c, F.col("source").eqNullSafe(F.col("s")) & fits & (F.col("h") >= F.col("tau")))
+               .filter(~F.array_contains("extra", F.col("h"))).groupBy("source").agg(best.alias("best"))
                .select(F.col("source").alias("s"), F.col("best.size").alias("got"), F.col("best.h").alias("h")))
         cuts = cuts.join(fit, F.col("source").eqNullSafe(F.col("s")), "left").select(
             "source", "whole", "b1", "tau", "quota", (F.col("gap") - F.coalesce("got", F.lit(0))).alias("gap"),
@@ -150,16 +152,19 @@ def _cuts(rows: DataFrame, src: DataFrame) -> DataFrame:
     return cuts.drop("gap")
 
 
-def mixture(docs: DataFrame, shards: int = SHARDS, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """``docs`` with ``size, source_size, target, copies, shards`` beside its columns.
+def mixture(docs: DataFrame, shards: int = SHARDS, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS,
+            carry: list[str] | None = None) -> DataFrame:
+    """``(row, size, source_size, target, copies, shards)`` for every row of ``docs``.
 
-    ``copies`` is how often the mix takes the row, ``shards`` the output shard of
-    each copy. Needs the columns ``doc_id, source, text``; nulls are allowed in
-    all (null text: size 0; null source: the last source). Exact repeats of a row
-    are taken alike; a source without any word takes no row. An empty table
-    gives no row.
+    ``row`` is a struct of the columns ``carry`` (all of them by default, under
+    whatever names), ``copies`` is how often the mix takes the row, ``shards`` the
+    output shard of each copy. Needs the columns ``doc_id, source, text``; nulls are
+    allowed in all (null text: size 0; null source: the last source). Exact
+    repeats of a row are taken alike; a source without any word takes no row. An
+    empty table gives no row.
     """
     spark = docs.sparkSession
+    docs = docs.select(F.struct(*(carry or docs.columns)).alias("row"), "doc_id", "source", "text")
     # exact repeats of a row share their hash and are one entry
     rows = staged(docs.select("source", word_count(F.col("text")).alias("size"), _hash().alias("h"))
                   .groupBy("source", "h").agg(F.sum("size").alias("size")), "sizes")
@@ -171,15 +176,11 @@ def mixture(docs: DataFrame, shards: int = SHARDS, weights=WEIGHTS, max_epochs:
                      Window.partitionBy("g").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)),
                      F.lit(0))), "quotas")
     groups = per.groupBy("g").agg(F.sum("quota").alias("q")).orderBy("g").collect()  # at most GROUPS rows
-    if groups:
-        runs = splitting_tree(np.array([r["q"] for r in groups]), shards).cumsum(1)
-        ends = [(r["g"], run) for r, run in zip(groups, runs.tolist())]
-    else:
-        ends = []
-    ends = spark.createDataFrame(ends, "g long, run_ends array<long>")
-    per = staged(per.join(ends, "g").drop("g", "rank", "b1"), "per-source").withColumnRenamed("source", "_s")
-    out = (docs.withColumn("size", word_count(F.col("text"))).withColumn("h", _hash())
-           .join(per, F.col("source").eqNullSafe(F.col("_s"))).drop("_s"))
+    runs = splitting_tree(np.array([r["q"] for r in groups], np.int64), shards).cumsum(1).tolist()
+    ends = spark.createDataFrame([(r["g"], run) for r, run in zip(groups, runs)], "g long, run_ends array<long>")
+    per = staged(per.join(ends, "g").drop("g", "rank", "b1"), "per-source").withColumnRenamed("source", "s")
+    out = (docs.select("row", "source", word_count(F.col("text")).alias("size"), _hash().alias("h"))
+           .join(per, F.col("source").eqNullSafe(F.col("s"))))
     once_more = (F.col("h") < F.col("tau")) | F.array_contains("extra", F.col("h"))
     out = out.withColumn("copies", F.col("whole") + F.when(once_more, 1).otherwise(0))
     place = F.when(F.col("copies") > 0, F.transform(
@@ -187,15 +188,13 @@ def mixture(docs: DataFrame, shards: int = SHARDS, weights=WEIGHTS, max_epochs:
         lambda p: F.col("offset") + F.pmod((p * BLOCKS + _block(1)) * _PRIME, F.greatest(F.col("quota"), F.lit(1)))))
     shard = F.transform(F.coalesce(place, F.array().cast("array<bigint>")),
                         lambda j: F.size(F.filter("run_ends", lambda end: end <= j)))
-    return out.withColumn("shards", shard).drop("whole", "tau", "extra", "quota", "offset", "run_ends", "h")
+    return out.select("row", "size", "source_size", "target", "copies", shard.alias("shards"), "h")
 
 
 def mixed_documents(docs: DataFrame, shards: int = SHARDS, lanes: int = 8, **kw) -> DataFrame:
     """The mix itself: each row as often as it is taken, dealt to its shards
     (in ``lanes`` parts each) and there in random order; the columns of ``docs``."""
-    mix = mixture(docs, shards, **kw)
-    taken = mix.withColumn("_shard", F.explode("shards"))
-    order = F.xxhash64(F.lit(SEED + 1), "doc_id", "text", "_shard")
-    taken = taken.withColumn("_order", order).withColumn("_lane", F.pmod("_order", F.lit(lanes)))
-    return (taken.repartition(F.col("_shard"), F.col("_lane")).sortWithinPartitions("_shard", "_order")
-            .select(docs.columns))
+    taken = mixture(docs, shards, **kw).withColumn("shard", F.explode("shards"))
+    taken = taken.withColumn("order", F.xxhash64(F.lit(SEED + 1), "h", "shard"))
+    taken = taken.withColumn("lane", F.pmod("order", F.lit(lanes)))
+    return taken.repartition("shard", "lane").sortWithinPartitions("shard", "order").select("row.*")

@@ -21,8 +21,8 @@ def op9_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mix = mixing.mixture(documents(spark, sf_dir))
-    return mix.select("doc_id", "size", "source_size", "target",
+    mix = mixing.mixture(documents(spark, sf_dir), carry=["doc_id"])
+    return mix.select("row.doc_id", "size", "source_size", "target",
                       (F.col("size") * F.col("copies")).alias("taken"), "copies", "shards")
 
 
@@ -31,7 +31,8 @@ def op7_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.pseudonymised(documents(spark, sf_dir)).select("doc_id", "text", "n_entities", "entity_types")
+    made = surrogates.pseudonymised(documents(spark, sf_dir).select("doc_id", "text"))
+    return made.select("row.doc_id", "text", "n_entities", "entity_types")
 
 
 def op3_va_file_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

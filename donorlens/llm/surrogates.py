@@ -51,30 +51,39 @@ CYRILLIC_ENDS = {"M": ["ан", "ей", "ий", "слав"], "F": ["ана", "и
                  "S": ["енко", "ич", "ских", "чук"]}
 
 _NAME = r"\p{Lu}[\p{L}'’-]*\p{L}"
-_TITLE = "(?iu:" + "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True)) + r")\.?"
+_TITLES = sorted({t for w in MALE + FEMALE + NEUTRAL for t in (w, w.upper())}, key=lambda w: (-len(w), w))
+_TITLE = "(?:" + "|".join(_TITLES) + r")\.?"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_ALONE = r"(?<![\p{L}\p{N}])"  # no letter or digit before
+_ASSIGN = r"(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Aa]pi_?[Kk]ey|API_?KEY)\s{0,2}[=:]\s{0,2}[\"']?"
+# Every pattern starts with a look at one character, so that the many places
+# where nothing can start are left at once.
 PATTERNS = {
-    "EMAIL": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
-    "IPV4": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
-    "IBAN": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "SECRET": r"(?<![\p{L}\p{N}])[0-9a-f]{32,128}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])AKIA[0-9A-Z]{16}(?![\p{L}\p{N}])"
-              r"|(?<=(?:token|secret|password|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_=-]{8,128}",
-    "PHONE": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)"
-             r"|(?<!\d)\(\d{3}\) ?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
-    "SSN": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "CARD": r"(?<!\d)(?:\d{13,19}|\d{4}(?: \d{4}){2} \d{1,4}|\d{4}(?:-\d{4}){2}-\d{1,4}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
-    "PERSON": rf"(?<![\p{{L}}\p{{N}}]){_TITLE}[  ]{_NAME}(?: {_NAME})?",
+    "EMAIL": r"(?<![^\s@<>(),;:\"'])[^\s@<>(),;:\"']++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
+    "IPV4": rf"(?=\d)(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
+    "IBAN": rf"(?=[A-Z]){_ALONE}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?(?![\p{{L}}\p{{N}}])",
+    "ASSIGNED": rf"(?=[tspaTSPA]){_ALONE}{_ASSIGN}[A-Za-z0-9+/_=-]{{8,128}}",
+    "SECRET": rf"(?=[0-9a-f]){_ALONE}[0-9a-f]{{32,128}}(?![\p{{L}}\p{{N}}])"
+              rf"|(?=A){_ALONE}AKIA[0-9A-Z]{{16}}(?![\p{{L}}\p{{N}}])",
+    "PHONE": r"(?=\+)(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)"
+             r"|(?=\()(?<!\d)\(\d{3}\) ?\d{3}[ .-]?\d{4}(?!\d)"
+             r"|(?=\d)(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
+    "SSN": r"(?=\d)(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    "CARD": r"(?=\d)(?<!\d)(?:\d{13,19}|\d{4}(?: \d{4}){2} \d{1,4}|\d{4}(?:-\d{4}){2}-\d{1,4}"
+            r"|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
+    "PERSON": rf"(?=[{''.join(sorted({t[0] for t in _TITLES}))}]){_ALONE}{_TITLE}[  ]{_NAME}(?: {_NAME})?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: A text without a match of this cheap expression has no match of ``ANY``.
+HINT = rf"[0-9@]|{PATTERNS['ASSIGNED']}|{PATTERNS['PERSON']}"
 
 
 def _type(m: Column) -> Column:
     out = F.lit("CARD")
-    for name in ("SSN", "PHONE", "SECRET", "IBAN", "IPV4", "EMAIL", "PERSON"):
-        out = F.when(m.rlike(f"^(?:{PATTERNS[name]})$"), name).otherwise(out)
-    # an assigned secret is only known by what stands before it
-    return F.when(m.rlike(r"^[A-Za-z0-9+/_=-]{8,128}$") & ~m.rlike(r"^\d[\d-]{11,}$") & ~m.rlike(
-        r"^\d{3}[.-]\d{2,3}[.-]\d{4}$") & ~m.rlike(f"^{PATTERNS['IBAN']}$"), "SECRET").otherwise(out)
+    for name in reversed(PATTERNS):
+        if name != "CARD":
+            out = F.when(m.rlike(f"^(?:{PATTERNS[name]})$"), name).otherwise(out)
+    return out
 
 
 def _digest(kind: Column, canon: Column, attempt: Column) -> Column:
@@ -139,7 +148,9 @@ def _surrogate() -> Column:
     digest = _digest(kind, canon, attempt)
     domain = F.substring_index(canon, "@", -1)
     labels = F.regexp_extract(domain, r"^(.*)\.([^.]+)$", 1)
-    email = F.concat(_fill(F.substring_index(canon, "@", 1), digest), F.lit("@"),
+    # a crowded domain gets longer names: a letter more with every eighth attempt
+    more = F.substring(_fill(F.lit("a" * 8), F.reverse(digest)), F.lit(1), F.floor(attempt / 8).cast("int"))
+    email = F.concat(_fill(F.substring_index(canon, "@", 1), digest), more, F.lit("@"),
                      _fill(labels, _digest(F.lit("DOMAIN"), domain, F.lit(0))), F.lit("."),
                      F.substring_index(domain, ".", -1))
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)),
@@ -159,6 +170,7 @@ def _entities(mentions: DataFrame) -> DataFrame:
     """``(m)`` -> ``(m, part, kind, canon)``: the entities of each mention, in order."""
     m, kind = F.col("m"), F.col("kind")
     bare = F.regexp_replace(m, "[^A-Za-z0-9]", "")
+    assigned = F.struct(F.lit("SECRET").alias("kind"), F.regexp_replace(m, f"^{_ASSIGN}", "").alias("canon"))
     names = F.split(F.regexp_replace(m, rf"^{_TITLE}[  ]", ""), " ")
     title = F.regexp_extract(m, rf"^({_TITLE})[  ]", 1)
     title = F.regexp_replace(title, r"\.$", "")
@@ -169,8 +181,8 @@ def _entities(mentions: DataFrame) -> DataFrame:
     canon = (F.when(kind == "EMAIL", F.lower(m)).when(kind.isin("IPV4", "SECRET"), m)
              .when(kind == "PHONE", F.substring(bare, F.greatest(F.length(bare) - 9, F.lit(1)), F.lit(10)))
              .otherwise(bare))
-    parts = F.when(kind == "PERSON", F.when(F.size(names) > 1, F.array(first, last)).otherwise(F.array(last))).otherwise(
-        F.array(F.struct(kind.alias("kind"), canon.alias("canon"))))
+    parts = F.when(kind == "PERSON", F.when(F.size(names) > 1, F.array(first, last)).otherwise(F.array(last))).when(
+        kind == "ASSIGNED", F.array(assigned)).otherwise(F.array(F.struct(kind.alias("kind"), canon.alias("canon"))))
     return (mentions.withColumn("kind", _type(m)).withColumn("parts", parts)
             .select("m", F.posexplode("parts").alias("part", "e")).select("m", "part", "e.kind", "e.canon"))
 
@@ -222,31 +234,46 @@ def replacements(mentions: DataFrame) -> DataFrame:
     name = F.when((own == F.upper(own)) & (own != F.lower(own)), F.upper(name)).otherwise(name)
     email = F.when(m == F.upper(m), F.upper(value)).otherwise(value)
     text = (F.when(person, F.concat(title, name)).when(kind == "EMAIL", email)
-            .when(kind.isin("IPV4", "SECRET"), value).otherwise(_laid_out(m, value)))
+            .when(kind == "SECRET", F.concat(F.regexp_extract(m, f"^({_ASSIGN})?", 0), value))
+            .when(kind == "IPV4", value).otherwise(_laid_out(m, value)))
     return got.select("m", F.when(person, "PERSON").otherwise(kind).alias("kind"), text.alias("replacement"))
 
 
 def pseudonymised(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with surrogates in ``text_col`` and the columns ``n_entities``
-    (mentions replaced) and ``entity_types`` (distinct, sorted, comma-joined).
+    """``(row, text, n_entities, entity_types)`` for every row of ``docs``.
 
-    Null and empty texts stay as they are, with 0 and "". Repeated rows are
-    treated alike. Other columns, nulls included, pass through.
+    ``row`` is a struct of the other columns, whatever their names and nulls,
+    ``text`` the text with surrogates, ``n_entities`` the mentions replaced,
+    ``entity_types`` their types (distinct, sorted, comma-joined). Null and empty
+    texts stay as they are, with 0 and "". Repeated rows are treated alike.
     """
-    text = F.col(text_col)
-    found = docs.withColumn("_found", F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    plain = (docs.filter(~F.coalesce(text.rlike(ANY), F.lit(False)))
-             .withColumn("n_entities", F.lit(0).cast("long")).withColumn("entity_types", F.lit("")))
-    hits = staged(found.filter(F.size("_found") > 0).withColumn("_row", F.monotonically_increasing_id()), "hits")
-    held = hits.select("_row", F.explode(F.array_distinct("_found")).alias("m"))
+    text = F.col("text")
+    rest = [c for c in docs.columns if c != text_col]
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(text_col).alias("text"))
+    plain = docs.filter(~F.coalesce(text.rlike(HINT) & text.rlike(ANY), F.lit(False))).select(
+        "row", "text", F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("entity_types"))
+    hits = staged(docs.filter(text.rlike(HINT) & text.rlike(ANY))
+                  .withColumn("found", F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+                  .withColumn("nth", F.monotonically_increasing_id()), "hits")
+    held = hits.select("nth", F.explode(F.array_distinct("found")).alias("m"))
     table = staged(replacements(held.select("m").distinct()), "replacements")
-    own = (held.join(table, "m").groupBy("_row")
-           .agg(F.map_from_entries(F.collect_list(F.struct("m", F.struct("kind", "replacement")))).alias("_new")))
-    new = F.transform("_found", lambda m: F.element_at("_new", m))
-    done = hits.join(own, "_row").withColumn("_found", new)
-    done = done.withColumn(text_col, F.array_join(F.zip_with(
-        F.split(text, ANY, -1), "_found",
-        lambda p, r: F.concat(p, F.coalesce(r["replacement"], F.lit("")))), ""))
-    done = done.withColumn("n_entities", F.size("_found").cast("long")).withColumn(
-        "entity_types", F.array_join(F.array_sort(F.array_distinct(F.transform("_found", lambda r: r["kind"]))), ","))
-    return plain.unionByName(done.select(plain.columns))
+    own = (held.join(table, "m").groupBy("nth")  # a text's own mentions
+           .agg(F.map_from_entries(F.collect_list(F.struct("m", F.struct("kind", "replacement")))).alias("new")))
+    done = hits.join(own, "nth").withColumn("made", F.transform("found", lambda m: F.element_at("new", m)))
+    whole = F.array_join(F.zip_with(F.split(text, ANY, -1), "made", lambda p, r: F.concat(
+        p, F.coalesce(r["replacement"], F.lit("")))), "")
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("made", lambda r: r["kind"]))), ",")
+    return plain.unionByName(done.select("row", whole.alias("text"), F.size("made").cast("long").alias("n_entities"),
+                                         kinds.alias("entity_types")))
+
+
+def pseudonymised_documents(docs: DataFrame) -> DataFrame:
+    """``docs`` with surrogates in ``text``; ``n_chars``, where there is one, follows the new text."""
+    made = pseudonymised(docs)
+    columns = []
+    for c in docs.columns:
+        own = F.col("row")[c] if c != "text" else F.col("text")
+        if c == "n_chars":
+            own = F.when(F.col("n_entities") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(own)
+        columns.append(own.alias(c))
+    return made.select(columns)

@@ -198,4 +198,4 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents that the classifier calls toxic."""
     model = train(docs, labels)
-    return docs.withColumn("_score", score_column(model, F.col("text"))).filter("_score < 0.5").select(docs.columns)
+    return docs.filter(score_column(model, F.col("text")) < 0.5)
