@@ -9,7 +9,6 @@ last return the columns of ``documents``; the last returns the packed pieces.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from donorlens.llm import mixing, packing, simhash, surrogates, toxicity
 from donorlens.llm.common import documents, staged
@@ -26,12 +25,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by surrogates; ``n_chars``, where there is one, follows the new text."""
-    made = surrogates.pseudonymised(docs)
-    if "n_chars" in docs.columns:
-        new_length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        made = made.withColumn("n_chars", F.when(F.col("n_entities") > 0, new_length).otherwise(F.col("n_chars")))
-    return made.select(docs.columns)
+    """Replaces personal data by surrogates."""
+    return surrogates.pseudonymised_documents(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,15 +6,12 @@ none collects a group. Ordering (``arrange``) is applied only to final outputs.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from donorlens.functions import n_distinct
-from donorlens.operators.joins import sized_broadcast
-from donorlens.operators.quantiles import quantiles_at, tukey_positions, type7_positions, value_counts
+from donorlens.operators.quantiles import column_counts, column_quantiles, tukey_positions, type7_positions
 
 
 def count_by(df: DataFrame, *keys: str, name: str = "count") -> DataFrame:
@@ -40,11 +37,11 @@ def duplicate_keys(df: DataFrame, key: str, name: str = "count") -> DataFrame:
 def duplicate_rows(df: DataFrame, key: str, name: str = "count") -> DataFrame:
     """All rows whose key is duplicated, with the key count (dplyr inner join: NA matches NA).
 
-    The key table is broadcast only below a checked row count; otherwise a
-    shuffle join runs, where AQE splits a hot key's partition.
+    Two passes: one over the key column for the counts, one over the rows for
+    the join, which is a shuffle join unless Spark knows the key table to be
+    small; AQE splits a hot key's partition.
     """
     dups = duplicate_keys(df, key, name).withColumnRenamed(key, "_k")
-    dups = sized_broadcast(dups)
     j = dups.join(df, dups["_k"].eqNullSafe(df[key]), "inner")
     return j.select(key, name, *[c for c in df.columns if c != key])
 
@@ -54,6 +51,28 @@ def count_if_table(df: DataFrame, conds: dict) -> DataFrame:
     return df.agg(*[F.count_if(c).alias(n) for n, c in conds.items()])
 
 
+_SUMMARY = ("min", "q1", "median", "mean", "q3", "max", "n_na")
+
+
+def summaries(df: DataFrame, columns: dict) -> dict[str, dict]:
+    """R ``summary(x)`` of several numeric columns from one pass: ``{name: {min, q1,
+    median, mean, q3, max, n_na}}`` (type-7 quartiles; None without any value)."""
+    counts = column_counts(df, columns)
+    v, c = F.col("v"), F.col("c")
+    rows = counts.groupBy("column").agg(
+        F.min("v").alias("min"), F.max("v").alias("max"), (F.sum(v * c) / F.sum(F.when(v.isNotNull(), c))).alias("mean"),
+        F.coalesce(F.sum(F.when(v.isNotNull(), c)), F.lit(0)).alias("n"),
+        F.coalesce(F.sum(F.when(v.isNull(), c)), F.lit(0)).alias("n_na")).collect()  # a row per column
+    at = {r["column"]: type7_positions(r["n"], (0.25, 0.5, 0.75)) for r in rows if r["n"]}
+    quartiles = column_quantiles(counts, at) if at else {}
+    out = {n: dict.fromkeys(_SUMMARY) | {"n_na": 0} for n in columns}
+    for r in rows:
+        q1, median, q3 = quartiles.get(r["column"], (None,) * 3)
+        out[r["column"]] = {"min": r["min"], "q1": q1, "median": median, "mean": r["mean"], "q3": q3,
+                            "max": r["max"], "n_na": r["n_na"], "rows": r["n"] + r["n_na"]}
+    return out
+
+
 def summary(df: DataFrame, col: str, where=None) -> DataFrame:
     """R ``summary(x)``: min, q1, median, mean, q3, max (type-7 quartiles) and NA count.
 
@@ -64,35 +83,24 @@ def summary(df: DataFrame, col: str, where=None) -> DataFrame:
     if where is not None:
         df = df.filter(F.coalesce(where, F.lit(True)))
         x = F.when(where, x)
-    base = df.select(x.alias("x"))
-    agg = base.agg(F.min("x").alias("min"), F.avg("x").alias("mean"), F.max("x").alias("max"),
-                   F.count("x").alias("_n"), F.count_if(F.col("x").isNull()).alias("n_na"))
-    row = agg.collect()[0]
-    n = row["_n"]
-    if n:
-        q1, med, q3 = quantiles_at(base, "x", type7_positions(n, (0.25, 0.5, 0.75)))
-    else:
-        q1 = med = q3 = None
-    return agg.select("min", F.lit(q1).cast("double").alias("q1"), F.lit(med).cast("double").alias("median"),
-                      "mean", F.lit(q3).cast("double").alias("q3"), "max", "n_na")
+    got = summaries(df, {col: x})[col]
+    return df.sparkSession.createDataFrame([tuple(got[k] for k in _SUMMARY)],
+                                           ", ".join(f"{k} {'long' if k == 'n_na' else 'double'}" for k in _SUMMARY))
 
 
 def box_stats(df: DataFrame, col: str, method: str = "tukey", coef: float = 1.5) -> DataFrame:
-    """Box-plot statistics of the non-null values of ``col``.
+    """Box-plot statistics of the non-null values of ``col``, from one pass over the rows.
 
     ``tukey`` = ``boxplot()`` (hinges of ``fivenum``), ``type7`` = ggplot's
     ``geom_boxplot`` (type-7 quartiles). Whiskers reach the most extreme values
     within ``coef`` x IQR of the box; everything beyond is counted as outlier.
     """
-    base = df.select(F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull())
-    vc = value_counts(base, "x")
+    vc = column_counts(df, {col: F.col(col)}).filter("v is not null")
     n = vc.agg(F.sum("c")).collect()[0][0] or 0
     if n == 0:
         raise ValueError("no values")
-    if method == "tukey":
-        _, lo, med, hi, _ = quantiles_at(base, "x", tukey_positions(n), vc=vc)
-    else:
-        lo, med, hi = quantiles_at(base, "x", type7_positions(n, (0.25, 0.5, 0.75)), vc=vc)
+    at = tukey_positions(n)[1:4] if method == "tukey" else type7_positions(n, (0.25, 0.5, 0.75))
+    lo, med, hi = column_quantiles(vc, {col: at})[col]
     iqr = hi - lo
     f_lo, f_hi = lo - coef * iqr, hi + coef * iqr
     inside = (F.col("v") >= f_lo) & (F.col("v") <= f_hi)
@@ -111,30 +119,23 @@ def table_summary(df: DataFrame) -> DataFrame:
     """R ``summary(data.frame)`` in long form: (column, stat, value, text).
 
     Numeric columns: Min, 1st Qu., Median, Mean, 3rd Qu., Max, NA's.
-    Other columns: Length, Class, Mode.
+    Other columns: Length, Class, Mode. One pass over the table gives the value
+    counts of all numeric columns, from which everything else follows.
     """
-    spark = df.sparkSession
-    parts = []
-    for f in df.schema.fields:
-        c = f.name
-        if isinstance(f.dataType, _NUMERIC):
-            s = summary(df, c)
-            parts.append(s.select(F.stack(F.lit(7), F.lit("Min."), F.col("min"), F.lit("1st Qu."), F.col("q1"),
-                                          F.lit("Median"), F.col("median"), F.lit("Mean"), F.col("mean"),
-                                          F.lit("3rd Qu."), F.col("q3"), F.lit("Max."), F.col("max"),
-                                          F.lit("NA's"), F.col("n_na").cast("double")).alias("stat", "value"))
-                         .select(F.lit(c).alias("column"), "stat", "value", F.lit(None).cast("string").alias("text")))
+    numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, _NUMERIC)]
+    got = summaries(df, {c: F.col(f"`{c}`") for c in numeric}) if numeric else {}
+    n_rows = next((g["rows"] for g in got.values() if "rows" in g), None)
+    if n_rows is None:
+        n_rows = df.count()
+    names = {"Min.": "min", "1st Qu.": "q1", "Median": "median", "Mean": "mean", "3rd Qu.": "q3", "Max.": "max",
+             "NA's": "n_na"}
+    out = []
+    for c in df.columns:
+        if c in got:
+            out += [(c, stat, None if got[c][k] is None else float(got[c][k]), None) for stat, k in names.items()]
         else:
-            parts.append(df.agg(F.count(F.lit(1)).cast("double").alias("value"))
-                         .select(F.lit(c).alias("column"), F.lit("Length").alias("stat"), "value",
-                                 F.lit(None).cast("string").alias("text")))
-            parts.append(spark.range(1).select(F.lit(c).alias("column"), F.lit("Class").alias("stat"),
-                                               F.lit(None).cast("double").alias("value"),
-                                               F.lit("character").alias("text")))
-            parts.append(spark.range(1).select(F.lit(c).alias("column"), F.lit("Mode").alias("stat"),
-                                               F.lit(None).cast("double").alias("value"),
-                                               F.lit("character").alias("text")))
-    return reduce(DataFrame.unionByName, parts)
+            out += [(c, "Length", float(n_rows), None), (c, "Class", None, "character"), (c, "Mode", None, "character")]
+    return df.sparkSession.createDataFrame(out, "column string, stat string, value double, text string")
 
 
 def column_profile(df: DataFrame) -> DataFrame:

@@ -3,17 +3,16 @@
 Spark's exact ``percentile`` aggregate keeps every distinct value of a group in
 one task's memory, which does not hold for a global quantile over billions of
 rows. Here the k-th smallest value is found without any single task seeing the
-whole column:
-
-1. ``groupBy(x).count()``: distinct values with multiplicities (a hot value
-   collapses to one row, partial aggregation on the map side);
-2. the distinct values are cut into ``buckets`` contiguous ranges with bounds
-   from ``approxQuantile`` (a small sample-based job; only the bounds reach
-   the driver);
-3. per-bucket totals (one row per bucket) give each bucket's offset;
-4. inside each bucket a running sum (window partitioned by bucket; a bucket
-   holds about 1/buckets of the *distinct* values) gives every distinct value
-   its rank interval; the requested ranks are matched against those intervals.
+whole column, and for several columns in one pass over the rows:
+
+1. ``groupBy(column, value).count()``: distinct values with multiplicities (a hot
+   value collapses to one row, partial aggregation on the map side); written
+   once, everything below reads it;
+2. the distinct values are range-partitioned (Spark samples the bounds, they
+   never become part of an expression) and tagged with their partition number;
+3. per-partition totals give each partition's offset;
+4. inside each partition a running sum gives every distinct value its rank
+   interval; the requested ranks are matched against those intervals.
 
 Only the handful of requested order statistics come back to the driver.
 """
@@ -22,20 +21,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from donorlens.session import materialize
 
-DEFAULT_BUCKETS = 64
-
-
-def _buckets(spark) -> int:
-    try:
-        return max(DEFAULT_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    except Exception:  # pragma: no cover
-        return DEFAULT_BUCKETS
-
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """Distinct non-null values of ``col`` with their counts (``v``, ``c``)."""
@@ -43,58 +33,58 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
             .groupBy("v").agg(F.count(F.lit(1)).alias("c")))
 
 
-def ordered_prefix_sums(vc: DataFrame, key: str, cols: list[str], buckets: int | None = None) -> DataFrame:
-    """Add ``<c>_before`` = sum of ``c`` over all rows with a smaller ``key``.
+def column_counts(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``(column, v, c)``: the distinct values of several numeric columns with their
+    counts, NULL included, from one pass over ``df``; written once."""
+    each = F.array(*[F.struct(F.lit(n).alias("column"), x.cast("double").alias("v")) for n, x in columns.items()])
+    long = df.select(F.explode(each).alias("e")).select("e.column", "e.v")
+    return materialize(long.groupBy("column", "v").agg(F.count(F.lit(1)).alias("c")))
 
-    ``vc`` must have distinct ``key`` values (e.g. a ``groupBy(key)`` result).
-    The keys are cut into contiguous ranges with ``approxQuantile`` bounds;
-    per-range totals (one row per range) give offsets, and a running sum runs
-    inside each range only. No task sees more than about 1/buckets of the keys.
+
+def ordered_prefix_sums(vc: DataFrame, key: str, cols: list[str], buckets: int | None = None,
+                        by: tuple = ()) -> DataFrame:
+    """Add ``<c>_before`` = sum of ``c`` over all rows with a smaller ``key`` (and equal ``by``).
+
+    ``vc`` must have distinct ``(by, key)`` values (e.g. a ``groupBy(key)`` result).
+    The rows are range-partitioned; partition totals (one row per partition and
+    ``by`` value) give offsets, and a running sum runs inside each partition only.
     """
-    spark = vc.sparkSession
-    nb = buckets or _buckets(spark)
-    # read by two jobs (the bounds, then the sums): computed once, from the shared checkpoint
-    vc = materialize(vc)
-    bounds = []
-    if nb > 1:  # one range needs no bounds
-        bounds = sorted(set(b for b in vc.approxQuantile(key, [i / nb for i in range(1, nb)], 1.0 / (4 * nb))
-                            if b is not None))
-    bucket = F.lit(0)
-    if bounds:
-        arr = F.array(*[F.lit(float(b)) for b in bounds])
-        bucket = F.size(F.filter(arr, lambda b: b < F.col(key)))
-    bv = vc.withColumn("_bk", bucket)
-    totals = bv.groupBy("_bk").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
-    # offsets over at most `nb` rows: a window over this tiny table is fine
-    before = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_bk", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}")
-                                    for c in cols])
-    w = Window.partitionBy("_bk").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    out = bv.join(F.broadcast(offsets), "_bk")
+    by = list(by)
+    parts = buckets or int(vc.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(vc.repartitionByRange(parts, *by, key).withColumn("_part", F.spark_partition_id()))
+    totals = ranged.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
+    # offsets over at most `parts` rows of each `by` value
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, "_part", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}")
+                                            for c in cols])
+    w = Window.partitionBy(*by, "_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.join(offsets, [*by, "_part"])
     for c in cols:
         out = out.withColumn(f"{c}_before", F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(w), F.lit(0)))
-    return out.drop("_bk", *[f"_o_{c}" for c in cols])
+    return out.drop("_part", *[f"_o_{c}" for c in cols])
+
+
+def column_order_statistics(counts: DataFrame, ranks: dict[str, set[int]], buckets: int | None = None) -> dict:
+    """``{column: {rank: value}}`` at the 1-based ranks of each column of a ``(column, v, c)`` table."""
+    wanted = [(c, int(r)) for c, rs in ranks.items() for r in sorted(set(rs))]
+    if not wanted:
+        return {}
+    cum = ordered_prefix_sums(counts.filter("v is not null"), "v", ["c"], buckets, by=("column",))
+    spark = counts.sparkSession
+    want = spark.createDataFrame(wanted, "column string, rank long")  # a few ranks for each column
+    hits = cum.join(F.broadcast(want), "column").filter("rank > c_before and rank <= c_before + c")
+    out: dict = {}
+    for h in hits.select("column", "rank", "v").collect():
+        out.setdefault(h["column"], {})[h["rank"]] = h["v"]
+    return out
 
 
 def order_statistics(df: DataFrame, col: str, ranks: list[int], buckets: int | None = None,
                      vc: DataFrame | None = None) -> dict[int, float]:
     """Values at the given 1-based ranks of the sorted non-null ``col``."""
-    ranks = sorted(set(int(r) for r in ranks))
-    if not ranks:
-        return {}
     vc = vc if vc is not None else value_counts(df, col)
-    cum = (ordered_prefix_sums(vc, "v", ["c"], buckets)
-           .withColumn("lo", F.col("c_before") + 1).withColumn("hi", F.col("c_before") + F.col("c")))
-    wanted = F.array(*[F.lit(r) for r in ranks])
-    hits = (cum.filter(F.exists(wanted, lambda r: (r >= F.col("lo")) & (r <= F.col("hi"))))
-               .select("v", "lo", "hi").collect())
-    out = {}
-    for r in ranks:
-        for h in hits:
-            if h["lo"] <= r <= h["hi"]:
-                out[r] = h["v"]
-                break
-    return out
+    counts = vc.select(F.lit("x").alias("column"), "v", "c")
+    return column_order_statistics(counts, {"x": set(ranks)}, buckets).get("x", {})
 
 
 def _interp(stats: dict, h: float) -> float:
@@ -113,10 +103,14 @@ def tukey_positions(n: int) -> list[float]:
     return [1, n4, (n + 1) / 2, n + 1 - n4, n]
 
 
+def column_quantiles(counts: DataFrame, positions: dict[str, list[float]], buckets: int | None = None) -> dict:
+    """``{column: [values]}``: linear interpolation between order statistics at 1-based positions."""
+    ranks = {c: {r for h in hs for r in (math.floor(h), math.ceil(h))} for c, hs in positions.items()}
+    stats = column_order_statistics(counts, ranks, buckets)
+    return {c: [_interp(stats[c], h) for h in hs] for c, hs in positions.items()}
+
+
 def quantiles_at(df: DataFrame, col: str, positions: list[float], vc: DataFrame | None = None) -> list[float]:
     """Linear interpolation between order statistics at 1-based ``positions``."""
-    ranks = set()
-    for h in positions:
-        ranks.update({math.floor(h), math.ceil(h)})
-    stats = order_statistics(df, col, sorted(ranks), vc=vc)
-    return [_interp(stats, h) for h in positions]
+    vc = vc if vc is not None else value_counts(df, col)
+    return column_quantiles(vc.select(F.lit("x").alias("column"), "v", "c"), {"x": positions})["x"]

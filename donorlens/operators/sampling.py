@@ -1,6 +1,6 @@
 """Seeded, partition-independent sampling.
 
-All randomness is a hash of (key, seed): ``u01 = int(md5(key|seed)[0:8], 16) / 2^32``.
+All randomness is a hash of (key, seed): ``u01 = int(md5(key|seed)[0:13], 16) / 2^52``.
 The same expression exists in DuckDB, so samples can be checked by an
 independent engine, and results do not depend on partitioning or retries
 (a re-executed task after an executor loss draws the same numbers).
@@ -13,21 +13,26 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TWO32 = 4294967296.0
+HASH_BITS = 52
+TWO52 = float(1 << HASH_BITS)
 
 
-def hash32(key, seed) -> F.Column:
-    """32-bit unsigned hash of ``key|seed`` (first 8 hex digits of md5) as bigint."""
+def hash52(key, seed) -> F.Column:
+    """52-bit unsigned hash of ``key|seed`` (first 13 hex digits of md5) as bigint.
+
+    52 bits are exact in a double, and fine enough that every one of 10^12
+    rows can be drawn.
+    """
     k = key if isinstance(key, F.Column) else F.col(key)
     # a NULL key hashes like a fixed token, so such rows are never lost
     k = F.coalesce(k.cast("string"), F.lit("\u0000NA"))
     s = F.concat(k, F.lit("|"), seed if isinstance(seed, F.Column) else F.lit(str(seed)))
-    return F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(s), 1, 13), 16, 10).cast("long")
 
 
 def u01(key, seed) -> F.Column:
     """Uniform number in [0, 1) from ``key`` and ``seed``."""
-    return hash32(key, seed) / F.lit(TWO32)
+    return hash52(key, seed) / F.lit(TWO52)
 
 
 def _boundary(counts: list[tuple[int, int]], k: int) -> tuple[int, int]:
@@ -43,31 +48,30 @@ def _boundary(counts: list[tuple[int, int]], k: int) -> tuple[int, int]:
 def exact_split(df: DataFrame, key: str, fraction: float = 0.7, seed: int = 1287,
                 rows_per_boundary_bucket: int = 500_000) -> tuple[DataFrame, DataFrame]:
     """Exact-size split without replacement: the ``floor(fraction * n)`` rows with the
-    smallest ``(hash32(key, seed), key)`` form the first part, the rest the second.
+    smallest ``(hash52(key, seed), key)`` form the first part, the rest the second.
 
     Exact at any size without a global sort: rows are counted per hash-prefix
-    bucket (a few thousand numbers reach the driver), every bucket below the
-    boundary bucket goes to the first part, every bucket above to the second,
-    and only the one boundary bucket is ranked.
+    bucket (a few thousand numbers reach the driver, at most 2^20), and only the
+    bucket that holds the boundary is ranked, to find the last row of the first
+    part. Both parts are then one comparison with that row. ``key`` must be
+    unique for the size to be exact; a NULL key comes first among equal hashes.
     """
-    h = hash32(F.col(key), seed)
+    h = hash52(F.col(key), seed)
     n = df.count()
     k = math.floor(fraction * n)
-    nb = min(1 << 20, max(1024, 1 << max(0, math.ceil(math.log2(max(1, n / rows_per_boundary_bucket))))))
-    shift = 32 - int(math.log2(nb))
-    d = df.withColumn("_h", h).withColumn("_b", F.shiftright(F.col("_h"), shift))
-    counts = sorted((r["_b"], r["c"]) for r in d.groupBy("_b").agg(F.count(F.lit(1)).alias("c")).collect())
-    if not counts or k <= 0:
+    if k <= 0:
         return df.limit(0), df
+    nb = min(1 << 20, max(1024, 1 << max(0, math.ceil(math.log2(max(1, n / rows_per_boundary_bucket))))))
+    bucket = F.shiftright(h, HASH_BITS - int(math.log2(nb)))
+    counts = sorted((r["_b"], r["c"]) for r in df.groupBy(bucket.alias("_b")).agg(
+        F.count(F.lit(1)).alias("c")).collect())
     b_star, before = _boundary(counts, k)
-    need = k - before
-    edge = (d.filter(F.col("_b") == b_star)
-             .withColumn("_rn", F.row_number().over(Window.orderBy("_h", key))))
-    first = d.filter(F.col("_b") < b_star).drop("_h", "_b").unionByName(
-        edge.filter(F.col("_rn") <= need).drop("_h", "_b", "_rn"))
-    second = d.filter(F.col("_b") > b_star).drop("_h", "_b").unionByName(
-        edge.filter(F.col("_rn") > need).drop("_h", "_b", "_rn"))
-    return first, second
+    edge = (df.filter(bucket == b_star).select(h.alias("_h"), F.col(key).alias("_k"))
+              .withColumn("_rn", F.row_number().over(Window.orderBy("_h", F.col("_k").asc_nulls_first()))))
+    last = edge.filter(F.col("_rn") == k - before).first()
+    tied = F.col(key).isNull() if last["_k"] is None else F.col(key).isNull() | (F.col(key) <= F.lit(last["_k"]))
+    first = (h < F.lit(last["_h"])) | ((h == F.lit(last["_h"])) & tied)
+    return df.filter(first), df.filter(~first)
 
 
 def sample_with_replacement(df: DataFrame, size: int, seed: int, key: str,

@@ -6,147 +6,253 @@ Semantics of ``SMOTE(form, data, perc.over, perc.under, k = 5)``:
   predictors scaled by their range over the minority cases, plus 1 for each
   nominal predictor that differs;
 * for each minority case, ``perc.over / 100`` synthetic cases: pick one of its
-  ``k`` nearest minority neighbours at random; numeric values are
-  ``x + gap * (neighbour - x)`` with one uniform ``gap`` per synthetic case, a
-  nominal value is taken from either parent at random;
+  ``k`` nearest minority neighbours at random (of all of them, if there are
+  fewer); numeric values are ``x + gap * (neighbour - x)`` with one uniform
+  ``gap`` per synthetic case, a nominal value is taken from either parent at
+  random; with ``perc.over`` under 100 that share of the minority cases, drawn
+  at random, gets one synthetic case each;
 * ``perc.under / 100 * n_synthetic`` majority cases drawn with replacement;
 * result = drawn majority + original minority + synthetic cases.
 
 Randomness is hash-seeded (identical on retries and at any partitioning).
 
-Exact k nearest neighbours without all pairs
---------------------------------------------
+Exact k nearest neighbours
+--------------------------
 1. identical feature vectors are merged into one weighted point;
-2. every point gets a random 1-D projection ``p = w . z`` (``|w| = 1``), a lower
-   bound of the distance: ``|p(a) - p(b)| <= ||z(a) - z(b)||``;
-3. points are cut into buckets of bounded size by ``p``; each point compares
-   with the points of its own and the two adjacent buckets only;
-4. a point's result is *certified* when its k-th distance ``d`` keeps the band
-   ``[p - d, p + d]`` inside those buckets; any other point gets a second,
-   exact pass against every bucket overlapping its band (a band join on
-   bucket ids). No candidate list is capped.
+2. space is cut into cells of about ``CELL_POINTS`` points by recursive median
+   splits along the widest dimension, planned on a bounded sample (eight points
+   a cell, at most ``MAX_CELLS`` cells); every point is assigned, and the exact
+   bounding box of each cell's points is taken from all of them;
+3. inside each cell every point finds its k nearest and the distance d of the
+   k-th: an upper bound of its true k-th distance;
+4. a point visits exactly the other cells whose box is no farther than d (cells
+   are first ruled out box against box), and each visit keeps at most k
+   candidates before anything is shuffled;
+5. the best k of all kept candidates are the exact neighbours, ties by id.
+
+Nothing is capped or sampled in the search itself. How many cells a point
+visits depends on the data's intrinsic dimension, not on its size.
 """
 
 from __future__ import annotations
 
 import math
-import random
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from donorlens.operators.joins import sized_broadcast
-from donorlens.operators.sampling import sample_with_replacement, u01
+from donorlens.operators.sampling import exact_split, sample_with_replacement, u01
 from donorlens.session import materialize
 
+CELL_POINTS = 256
+MAX_CELLS = 50_000
+SAMPLE_PER_CELL = 8
+
+_POINT = "_vid string, _mult long, z array<double>, n array<string>, cell int"
+_HIT = "_vid string, _nvid string, _d2 double, _nm long"
+
 
 def _vector_key(numeric, nominal):
     return F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000"))
                                           for c in list(numeric) + list(nominal)]), 256)
 
 
-def _points(minority: DataFrame, numeric, nominal, ranges: dict, seed: int, bucket_size: int):
-    """Distinct scaled vectors with multiplicity, projection and bucket."""
-    rng = random.Random(seed)
-    w = {c: rng.gauss(0.0, 1.0) for c in numeric}
-    norm = math.sqrt(sum(v * v for v in w.values())) or 1.0
-    scaled = {c: (F.col(c).cast("double") / F.lit(ranges[c]) if ranges[c] else F.lit(0.0)) for c in numeric}
-    proj = sum((scaled[c] * F.lit(w[c] / norm) for c in numeric), F.lit(0.0))
-    pts = materialize(minority.withColumn("_vid", _vector_key(numeric, nominal))
-           .groupBy("_vid").agg(F.count(F.lit(1)).alias("_mult"),
-                                *[F.first(scaled[c]).alias(f"z_{c}") for c in numeric],
-                                *[F.first(F.col(c)).alias(f"n_{c}") for c in nominal],
-                                F.first(proj).alias("_p")))
-    n_pts = pts.count()
-    nb = max(1, math.ceil(n_pts / bucket_size))
-    bounds = sorted(set(b for b in pts.approxQuantile("_p", [i / nb for i in range(1, nb)], 1.0 / (4 * nb))
-                        if b is not None)) if nb > 1 else []
-    bucket = F.lit(0)
-    if bounds:
-        bucket = F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b < F.col("_p")))
-    pts = materialize(pts.withColumn("_b", bucket))
-    edges = pts.groupBy("_b").agg(F.min("_p").alias("_lo"), F.max("_p").alias("_hi"))
-    return pts, edges
-
-
-def _dist2(numeric, nominal):
-    d = sum(((F.col(f"a_z_{c}") - F.col(f"b_z_{c}")) ** 2 for c in numeric), F.lit(0.0))
-    for c in nominal:
-        d = d + F.when(F.col(f"a_n_{c}").eqNullSafe(F.col(f"b_n_{c}")), 0.0).otherwise(1.0)
-    return d
-
-
-def _side(pts: DataFrame, p: str, numeric, nominal) -> DataFrame:
-    return pts.select(F.col("_vid").alias(f"_{p}vid"), F.col("_mult").alias(f"_{p}mult"),
-                      *[F.col(f"z_{c}").alias(f"{p}_z_{c}") for c in numeric],
-                      *[F.col(f"n_{c}").alias(f"{p}_n_{c}") for c in nominal])
-
-
-def _knn_from_pairs(pairs: DataFrame, k: int) -> DataFrame:
-    """Cut each point's candidate list (weighted by multiplicity) after k neighbours.
-
-    The window partition is one point's candidates: bounded by three buckets
-    (first pass) or by its band (second pass).
-    """
+def _points(minority: DataFrame, numeric, nominal, key: str) -> DataFrame:
+    """``(_vkey, _vid, _mult, z, n)``: distinct vectors, named by their smallest case key;
+    ``z`` the numeric values over their range (0 for a constant column)."""
+    ranges = minority.agg(*[(F.max(c) - F.min(c)).cast("double").alias(c) for c in numeric]).first() if numeric else {}
+    z = F.array(*[F.col(c).cast("double") / F.lit(ranges[c]) if ranges[c] else F.lit(0.0) for c in numeric]).cast(
+        "array<double>")
+    n = F.array(*[F.col(c).cast("string") for c in nominal]).cast("array<string>")
+    return (minority.select(_vector_key(numeric, nominal).alias("_vkey"), F.col(key).cast("string").alias("_key"),
+                            z.alias("z"), n.alias("n"))
+            .groupBy("_vkey").agg(F.min("_key").alias("_vid"), F.count(F.lit(1)).alias("_mult"),
+                                  F.first("z").alias("z"), F.first("n").alias("n")))
+
+
+def _plan_cells(sample: np.ndarray, cells: int) -> list[tuple]:
+    """Split nodes ``(dimension, threshold, left, right)``; a negative child is the leaf ``-1 - child``."""
+    nodes: list = []
+    leaves = 0
+
+    def build(points: np.ndarray, want: int) -> int:
+        nonlocal leaves
+        spread = np.ptp(points, axis=0) if len(points) and points.shape[1] else np.zeros(0)
+        if want <= 1 or not len(spread) or spread.max() <= 0:
+            leaves += 1
+            return -leaves
+        dim = int(spread.argmax())
+        cut = float(np.median(points[:, dim]))
+        low = points[:, dim] < cut
+        if not low.any():  # the median is the smallest value: keep it alone on the left
+            cut = float(np.nextafter(cut, np.inf))
+            low = points[:, dim] < cut
+        at = len(nodes)
+        nodes.append(None)
+        left = build(points[low], want // 2)
+        nodes[at] = (dim, cut, left, build(points[~low], want - want // 2))
+        return at
+
+    root = build(sample, cells)
+    return nodes if root >= 0 else []
+
+
+def _cell_of(nodes: list[tuple], z: np.ndarray) -> np.ndarray:
+    at = np.zeros(len(z), np.int64) if nodes else np.full(len(z), -1)
+    while (live := np.flatnonzero(at >= 0)).size:
+        table = np.array([n[:1] + n[2:] for n in nodes], np.int64)
+        cuts = np.array([n[1] for n in nodes])
+        node = at[live]
+        low = z[live, table[node, 0]] < cuts[node]
+        at[live] = np.where(low, table[node, 1], table[node, 2])
+    return -1 - at
+
+
+def _matrix(col: pd.Series) -> np.ndarray:
+    return np.array(col.tolist(), np.float64).reshape(len(col), -1)
+
+
+def _nearest(a_id, a_z, a_n, b_id, b_mult, b_z, b_n, k: int, within: np.ndarray | None = None) -> pd.DataFrame:
+    """Per row of ``a`` the nearest rows of ``b``, until they stand for ``k`` cases."""
+    of, near_id, dist, mult = [], [], [], []
+    step = max(1, 2_000_000 // max(1, len(b_id)))
+    for s in range(0, len(a_id), step):
+        e = min(len(a_id), s + step)
+        d2 = np.zeros((e - s, len(b_id)))
+        for c in range(a_z.shape[1]):
+            d2 += (a_z[s:e, c, None] - b_z[None, :, c]) ** 2
+        for c in range(a_n.shape[1] if a_n.ndim > 1 else 0):
+            d2 += (a_n[s:e, c, None] != b_n[None, :, c]).astype(float)
+        keep = a_id[s:e, None] != b_id[None, :]
+        if within is not None:
+            keep &= d2 <= within[s:e, None]
+        for i in range(e - s):
+            j = np.flatnonzero(keep[i])
+            if len(j) > 4 * k:
+                near = j[np.argpartition(d2[i, j], k - 1)[:k]]
+                j = j[d2[i, j] <= d2[i, near].max()]
+            j = j[np.lexsort((b_id[j], d2[i, j]))]
+            if len(j):
+                before = np.cumsum(b_mult[j]) - b_mult[j]
+                j = j[before < k]
+                of += [a_id[s + i]] * len(j)
+                near_id += b_id[j].tolist()
+                dist += d2[i, j].tolist()
+                mult += b_mult[j].tolist()
+    return _hits(of, near_id, dist, mult)
+
+
+def _hits(of: list, near: list, dist: list, mult: list) -> pd.DataFrame:
+    return pd.DataFrame({"_vid": pd.Series(of, dtype=object), "_nvid": pd.Series(near, dtype=object),
+                         "_d2": pd.Series(dist, dtype="float64"), "_nm": pd.Series(mult, dtype="int64")})
+
+
+def _arrays(pdf: pd.DataFrame):
+    n = np.array([["\0" if x is None else x for x in v] for v in pdf["n"]], object).reshape(len(pdf), -1)
+    return pdf["_vid"].to_numpy(object), _matrix(pdf["z"]), n
+
+
+def visits(pts: DataFrame, first: DataFrame, k: int) -> DataFrame:
+    """``(visited, _vid, _mult, z, n, d)``: the cells beside its own that each point must look into."""
+    boxes = (pts.select("cell", F.posexplode("z").alias("c", "x")).groupBy("cell", "c")
+             .agg(F.min("x").alias("lo"), F.max("x").alias("hi")).groupBy("cell")
+             .agg(F.array_sort(F.collect_list(F.struct("c", "lo", "hi"))).alias("r"))
+             .select("cell", "r.lo", "r.hi").collect())  # a row per cell, at most MAX_CELLS
+    cell = np.array([b["cell"] for b in boxes], np.int64)
+    low, high = (np.array([b[x] for b in boxes], np.float64).reshape(len(boxes), -1) for x in ("lo", "hi"))
+    kth = first.groupBy("_vid").agg(F.max("_d2").alias("far"), F.sum("_nm").alias("got"))
+    d = F.when(F.col("got") >= k, F.col("far")).otherwise(F.lit(float("inf")))
+    own = pts.join(kth, "_vid", "left").withColumn("d", F.coalesce(d, F.lit(float("inf"))))
+
+    def look(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        _, z, _ = _arrays(pdf)
+        d = pdf["d"].to_numpy()
+        inside_low, inside_high = z.min(0), z.max(0)
+        gap = np.maximum(0, np.maximum(low - inside_high, inside_low - high))
+        near = np.flatnonzero(((gap ** 2).sum(1) * (1 - 1e-12) <= d.max()) & (cell != key[0]))
+        rows, cells = [], []
+        for b in near.tolist():
+            gap = np.maximum(0, np.maximum(low[b] - z, z - high[b]))
+            hit = np.flatnonzero((gap ** 2).sum(1) * (1 - 1e-12) <= d)
+            rows.append(hit)
+            cells.append(np.full(len(hit), cell[b]))
+        at = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        out = pdf.iloc[at][["_vid", "z", "n", "d"]].astype({"_vid": object})
+        return out.assign(visited=np.concatenate(cells) if cells else np.zeros(0, np.int64))
+
+    return own.groupBy("cell").applyInPandas(look, "visited int, _vid string, z array<double>, n array<string>, d double")
+
+
+def cells_of(pts: DataFrame, cell_points: int = CELL_POINTS, max_cells: int = MAX_CELLS) -> DataFrame:
+    """``pts`` with the number of its cell, written once."""
+    n = pts.count()
+    cells = min(max_cells, max(1, math.ceil(n / cell_points)))
+    nodes: list[tuple] = []
+    if cells > 1:
+        sample = pts.orderBy(F.xxhash64("_vid")).limit(SAMPLE_PER_CELL * cells).select("z").collect()
+        nodes = _plan_cells(np.array([r["z"] for r in sample], np.float64).reshape(len(sample), -1), cells)
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(cell=_cell_of(nodes, _matrix(pdf["z"])))
+
+    return materialize(pts.select("_vid", "_mult", "z", "n").mapInPandas(assign, _POINT))
+
+
+def first_pass(pts: DataFrame, k: int) -> DataFrame:
+    """Each point's nearest in its own cell, its own duplicates first."""
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, z, n = _arrays(pdf)
+        mult = pdf["_mult"].to_numpy()
+        many = np.flatnonzero(mult > 1)
+        same = _hits(ids[many].tolist(), ids[many].tolist(), [0.0] * len(many), (mult[many] - 1).tolist())
+        return pd.concat([same, _nearest(ids, z, n, ids, mult, z, n, k)])
+
+    found = pts.groupBy("cell").applyInPandas(inside, _HIT)
+    return materialize(_best(found, k))
+
+
+def _best(hits: DataFrame, k: int) -> DataFrame:
+    """The candidates of each point, nearest first, until they stand for ``k`` cases."""
     w = Window.partitionBy("_vid").orderBy("_d2", "_nvid").rowsBetween(Window.unboundedPreceding, -1)
-    c = pairs.withColumn("_before", F.coalesce(F.sum("_nm").over(w), F.lit(0)))
+    c = hits.withColumn("_before", F.coalesce(F.sum("_nm").over(w), F.lit(0)))
     return c.filter(F.col("_before") < k)
 
 
-def knn(minority: DataFrame, numeric, nominal, k: int = 5, seed: int = 1, bucket_size: int = 256,
-        max_buckets: int = 100_000):
+def knn(minority: DataFrame, numeric, nominal, k: int = 5, key: str = "donor", cell_points: int = CELL_POINTS):
     """Exact k nearest neighbours among the minority cases (with multiplicities).
 
-    Returns ``(pairs, points)``: one row per (point, neighbour point) with
-    ``_vid, _nvid, _d2, _nm, _before`` where ``_before`` is the number of
-    neighbour cases closer in the order (a point's own duplicates come first,
-    at distance 0), and the weighted points.
+    Returns ``(pairs, names)``: one row ``(_vid, _nvid, _d2, _nm, _before)`` per (point,
+    neighbour point), where ``_before`` is the number of neighbour cases closer in
+    the order (a point's own duplicates come first, at distance 0), and the
+    points with ``_vkey`` and ``_vid``.
     """
-    ranges_row = minority.agg(F.count(F.lit(1)).alias("_n"),
-                              *[(F.max(c) - F.min(c)).cast("double").alias(c) for c in numeric]).collect()[0]
-    ranges = {c: (ranges_row[c] or 0.0) for c in numeric}
-    n_min = ranges_row["_n"]
-    bucket_size = max(bucket_size, math.ceil(n_min / max_buckets))
-    pts, edges = _points(minority, numeric, nominal, ranges, seed, bucket_size)
-    nb_max = edges.agg(F.max("_b")).collect()[0][0] or 0
-    a, b = _side(pts, "a", numeric, nominal), _side(pts, "b", numeric, nominal)
-    keys = pts.select(F.col("_vid").alias("_nvid"), F.col("_b").alias("_pb"))
-
-    def pairs_for(probe: DataFrame) -> DataFrame:
-        cand = probe.join(keys, "_pb").filter(F.col("_vid") != F.col("_nvid"))
-        return (cand.join(a, F.col("_vid") == F.col("_avid")).join(b, F.col("_nvid") == F.col("_bvid"))
-                    .select("_vid", "_nvid", _dist2(numeric, nominal).alias("_d2"), F.col("_bmult").alias("_nm")))
-
-    selfs = pts.filter(F.col("_mult") > 1).select("_vid", F.col("_vid").alias("_nvid"), F.lit(0.0).alias("_d2"),
-                                                 (F.col("_mult") - 1).alias("_nm"))
-    # pass 1: own and adjacent buckets
-    probe = pts.select("_vid", F.explode(F.array(F.col("_b") - 1, F.col("_b"), F.col("_b") + 1)).alias("_pb"))
-    first = _knn_from_pairs(pairs_for(probe).unionByName(selfs), k)
-    # certification: the band [p - d_k, p + d_k] must lie inside the probed buckets
-    kth = first.groupBy("_vid").agg(F.max("_d2").alias("_dk"),
-                                    F.max(F.col("_before") + F.col("_nm")).alias("_got"))
-    e_prev = edges.select(F.col("_b").alias("_eb"), F.col("_lo").alias("_prev_lo"))
-    e_next = edges.select(F.col("_b").alias("_eb2"), F.col("_hi").alias("_next_hi"))
-    radius = F.sqrt(F.col("_dk"))
-    enough = F.coalesce(F.col("_got"), F.lit(0)) >= k
-    ok = (enough
-          & ((F.col("_b") == 0) | F.coalesce(F.col("_p") - radius >= F.col("_prev_lo"), F.lit(False)))
-          & ((F.col("_b") == nb_max) | F.coalesce(F.col("_p") + radius <= F.col("_next_hi"), F.lit(False))))
-    status = (pts.select("_vid", "_p", "_b").join(kth, "_vid", "left")
-                 .join(F.broadcast(e_prev), F.col("_eb") == F.col("_b") - 1, "left")
-                 .join(F.broadcast(e_next), F.col("_eb2") == F.col("_b") + 1, "left")
-                 .withColumn("_ok", ok).withColumn("_r", F.when(enough, radius)))
-    good = first.join(status.filter("_ok").select("_vid"), "_vid", "left_semi")
-    # pass 2 (exact): every bucket overlapping the band; all buckets when fewer than k were found.
-    # The edge table has one row per bucket (at most `max_buckets`), so it is broadcast.
-    bad = status.filter(~F.col("_ok")).select("_vid", "_p", "_r")
-    overlap = F.col("_r").isNull() | ((F.col("_hi") >= F.col("_p") - F.col("_r"))
-                                      & (F.col("_lo") <= F.col("_p") + F.col("_r")))
-    band = bad.join(F.broadcast(edges), overlap, "inner").select("_vid", F.col("_b").alias("_pb"))
-    selfs2 = selfs.join(bad.select("_vid"), "_vid", "left_semi")
-    second = _knn_from_pairs(pairs_for(band).unionByName(selfs2), k)
-    # at most k rows per point, read by several joins: written once
-    return materialize(good.unionByName(second)), pts
+    named = materialize(_points(minority, numeric, nominal, key))
+    pts = cells_of(named, cell_points)
+    first = first_pass(pts, k)
+    other = pts.select(F.col("cell").alias("own"), F.col("_vid").alias("b_id"), F.col("_mult").alias("b_mult"),
+                       F.col("z").alias("b_z"), F.col("n").alias("b_n"))
+
+    def meet(asks: pd.DataFrame, cell: pd.DataFrame) -> pd.DataFrame:
+        if not len(asks) or not len(cell):
+            return _hits([], [], [], [])
+        ids, z, n = _arrays(asks)
+        b = cell.rename(columns={"b_id": "_vid", "b_z": "z", "b_n": "n"})
+        b_id, b_z, b_n = _arrays(b)
+        return _nearest(ids, z, n, b_id, cell["b_mult"].to_numpy(), b_z, b_n, k, asks["d"].to_numpy())
+
+    far = (visits(pts, first, k).groupBy("visited").cogroup(other.groupBy("own")).applyInPandas(meet, _HIT))
+    return materialize(_best(first.drop("_before").unionByName(far), k)), named.select("_vkey", "_vid")
+
+
+def _minority(train: DataFrame, label: str) -> tuple:
+    counts = {r[label]: r["c"] for r in train.groupBy(label).agg(F.count(F.lit(1)).alias("c")).collect()}
+    least = min(counts, key=lambda c: (counts[c], str(c)))
+    return train.filter(F.col(label) == least), train.filter(F.col(label) != least), counts[least]
 
 
 def smote(train: DataFrame, label: str, numeric: list[str], nominal: list[str], perc_over: int = 1600,
@@ -156,37 +262,33 @@ def smote(train: DataFrame, label: str, numeric: list[str], nominal: list[str],
     Adds a column ``origin`` (``majority`` / ``minority`` / ``synthetic``).
     Synthetic cases get the key ``<parent key>#<n>``.
     """
-    counts = {r[label]: r["c"] for r in train.groupBy(label).agg(F.count(F.lit(1)).alias("c")).collect()}
-    min_cls = min(counts, key=lambda c: (counts[c], str(c)))
-    minority = train.filter(F.col(label) == min_cls)
-    majority = train.filter(F.col(label) != min_cls)
-    n_new = int(perc_over / 100)
-    nn, pts = knn(minority, numeric, nominal, k, seed)
-    # Neighbour lists (<= k rows per distinct vector) and representatives are
-    # broadcast when their size is proven small: many identical minority rows
-    # share one vector id, which would be a hot join key. Above the bound the
-    # joins stay shuffle joins and AQE splits the skewed partitions.
-    nn = sized_broadcast(nn.select("_vid", "_nvid", "_before", "_nm"))
-    # draws: each minority case x n_new, neighbour position j in 1..k, gap, nominal coin
-    rows = minority.withColumn("_vid", _vector_key(numeric, nominal))
+    minority, majority, m = _minority(train, label)
+    if m < 2:
+        raise ValueError("SMOTE needs at least two minority cases: there is no neighbour to interpolate with")
+    n_new, parents, n_parents = perc_over // 100, minority, m
+    if perc_over < 100:
+        n_new, n_parents = 1, math.floor(m * perc_over / 100)
+        parents = exact_split(minority, key, perc_over / 100, seed)[0]
+    nn, names = knn(minority, numeric, nominal, k, key)
+    choice = min(k, m - 1)  # with few cases all others are neighbours
+    rows = parents.withColumn("_vkey", _vector_key(numeric, nominal)).join(names, "_vkey")
     draws = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_new))).alias("_n"))
     rk = F.concat_ws("#", F.col(key).cast("string"), F.col("_n").cast("string"))
-    draws = (draws.withColumn("_j", (F.floor(u01(rk, f"{seed}:nn") * k) + 1).cast("long"))
+    draws = (draws.withColumn("_j", (F.floor(u01(rk, f"{seed}:nn") * choice) + 1).cast("long"))
                   .withColumn("_gap", u01(rk, f"{seed}:gap"))
                   .withColumn("_coin", u01(rk, f"{seed}:nom")))
-    pick = draws.join(nn, (draws["_vid"] == nn["_vid"]) & (F.col("_j") > F.col("_before"))
-                      & (F.col("_j") <= F.col("_before") + F.col("_nm")), "inner").drop(nn["_vid"])
-    # neighbour values: one representative row per neighbour vector
-    rep = sized_broadcast(rows.groupBy(F.col("_vid").alias("_nvid"))
-               .agg(*[F.first(F.col(c)).alias(f"_nb_{c}") for c in numeric + nominal]))
+    near = nn.select(F.col("_vid").alias("_of"), "_nvid", "_before", "_nm")
+    pick = draws.join(near, (F.col("_vid") == F.col("_of")) & (F.col("_j") > F.col("_before"))
+                      & (F.col("_j") <= F.col("_before") + F.col("_nm")), "inner").drop("_of", "_vkey", "_vid")
+    # neighbour values: the case that names the neighbour vector
+    rep = minority.select(F.col(key).cast("string").alias("_nvid"),
+                          *[F.col(c).alias(f"_nb_{c}") for c in numeric + nominal])
     syn = pick.join(rep, "_nvid")
     out_cols = []
     for c in train.columns:
-        dt = train.schema[c].dataType
         if c in numeric:
-            out_cols.append((F.col(c).cast("double") + F.col("_gap") * (F.col(f"_nb_{c}").cast("double")
-                                                                       - F.col(c).cast("double")))
-                            .cast(dt if dt.typeName() == "double" else "double").alias(c))
+            x, nb = F.col(c).cast("double"), F.col(f"_nb_{c}").cast("double")
+            out_cols.append((x + F.col("_gap") * (nb - x)).alias(c))
         elif c in nominal:
             out_cols.append(F.when(F.col("_coin") < 0.5, F.col(f"_nb_{c}")).otherwise(F.col(c)).alias(c))
         elif c == key:
@@ -194,9 +296,9 @@ def smote(train: DataFrame, label: str, numeric: list[str], nominal: list[str],
         else:
             out_cols.append(F.col(c))
     synthetic = syn.select(*out_cols)
-    n_syn = counts[min_cls] * n_new
-    drawn = sample_with_replacement(majority, int(perc_under / 100 * n_syn), seed, key)
-    drawn = drawn.withColumn(key, F.concat_ws("#", F.col(key), F.lit("draw"), F.col("_draw").cast("string")))
+    drawn = sample_with_replacement(majority, int(perc_under / 100 * n_parents * n_new), seed, key)
+    if "_draw" in drawn.columns:
+        drawn = drawn.withColumn(key, F.concat_ws("#", F.col(key), F.lit("draw"), F.col("_draw").cast("string")))
     base_types = {c: ("double" if c in numeric else train.schema[c].dataType) for c in train.columns}
 
     def norm(df, origin):
@@ -205,16 +307,13 @@ def smote(train: DataFrame, label: str, numeric: list[str], nominal: list[str],
     return norm(drawn, "majority").unionByName(norm(minority, "minority")).unionByName(norm(synthetic, "synthetic"))
 
 
-def neighbour_distances(train: DataFrame, label: str, numeric, nominal, k: int = 5, seed: int = 1287,
-                        key: str = "donor") -> DataFrame:
+def neighbour_distances(train: DataFrame, label: str, numeric, nominal, k: int = 5, key: str = "donor") -> DataFrame:
     """Squared scaled distance to the 1st..k-th nearest minority neighbour, per minority case."""
-    counts = {r[label]: r["c"] for r in train.groupBy(label).agg(F.count(F.lit(1)).alias("c")).collect()}
-    min_cls = min(counts, key=lambda c: (counts[c], str(c)))
-    minority = train.filter(F.col(label) == min_cls)
-    nn, _ = knn(minority, numeric, nominal, k, seed)
-    rows = minority.select(key, _vector_key(numeric, nominal).alias("_vid"))
+    minority, _, _ = _minority(train, label)
+    nn, names = knn(minority, numeric, nominal, k, key)
+    rows = minority.select(key, _vector_key(numeric, nominal).alias("_vkey")).join(names, "_vkey")
     ranks = rows.select(key, "_vid", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("rank"))
-    nn = sized_broadcast(nn)
-    j = ranks.join(nn, (ranks["_vid"] == nn["_vid"]) & (F.col("rank") > F.col("_before"))
+    near = nn.withColumnRenamed("_vid", "_of")
+    j = ranks.join(near, (F.col("_vid") == F.col("_of")) & (F.col("rank") > F.col("_before"))
                    & (F.col("rank") <= F.col("_before") + F.col("_nm")))
     return j.select(F.col(key), F.col("rank").cast("int").alias("rank"), F.col("_d2").alias("distance"))

@@ -1,12 +1,12 @@
 """Donation tables and the labelled per-program datasets.
 
-``program_dataset`` (A6-A9) is the flagship. Its plan reads and shuffles the
-payment fact ONCE for the whole table: a single aggregate with six grouping
-sets (:func:`payment_profile`) yields every partial result keyed by donor or
-host; the window features, host counts, payment-method mode, per-program and
-overall totals and the label are all derived from that small result
-(:func:`base_from_profile`). The reference's ten feature tables and their ten
-joins never exist; the only other input is the commitments table.
+``program_dataset`` (A6-A9) is the flagship. Its plan joins the payments with
+their programs once, into a narrow Parquet table of the rows and columns that
+any feature needs (:func:`payment_rows`). Each consumer reads its own columns of
+it: one additive aggregate per donor (counts, sums, dates, program totals,
+label), one narrow distinct per distinct count, keyed by donor and value, the
+payment-method mode, and the host counts. No row is expanded, and a donor who
+owns a large share of all payments becomes one partial row per task.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from donorlens.functions import date_as_number, na_sum
 from donorlens.plans import features as ft
 from donorlens.plans.features import DONOR, FEATURE_YEAR, RECENT_LITERAL, SENTINEL_DATE
-from donorlens.session import materialize
+from donorlens.session import staged
 
 # --- fixed values: the four modelled programs and their column suffixes ------
 PROGRAMS = {
@@ -30,8 +30,8 @@ LABEL_YEAR = 2018
 PROCESSED = "Processed"
 # ---------------------------------------------------------------------------
 
-# Pivot refuses more distinct programs than this (each one is two columns).
-MAX_PIVOT_VALUES = 500
+# Programs of a wide table (each one is two columns); more is an error, never a cut.
+MAX_PIVOT_VALUES = 2000
 
 
 def _processed() -> F.Column:
@@ -73,12 +73,11 @@ def donor_total(pe: DataFrame, as_of_year: int | None = None) -> DataFrame:
                  F.count(F.lit(1)).alias("total_count")))
 
 
-def program_values(pe: DataFrame, limit: int = MAX_PIVOT_VALUES) -> list:
-    """Distinct programs of processed payments (a tiny aggregate; bounded)."""
-    rows = (pe.filter(_processed()).select("ProgramName").distinct()
-            .limit(limit + 1).collect())
+def program_values(by_program: DataFrame, limit: int = MAX_PIVOT_VALUES) -> list:
+    """Distinct programs of a donor x program table, a missing one first (at most ``limit``)."""
+    rows = by_program.select("ProgramName").distinct().limit(limit + 1).collect()
     if len(rows) > limit:
-        raise ValueError(f"more than {limit} programs: refusing to pivot")
+        raise ValueError(f"more than {limit} programs: raise the limit of program_values to pivot them")
     vals = [r[0] for r in rows]
     return sorted(vals, key=lambda v: (v is not None, v or ""))
 
@@ -93,15 +92,13 @@ def donor_donations(pe: DataFrame, programs: list | None = None,
 
     Columns ``total_amt_<program>`` and ``count_<program>`` (spaces become
     underscores, a missing program is ``NA``), missing cells filled with 0.
-    The program list is passed to ``pivot`` explicitly, so Spark does not run
-    its own distinct job, and the pivot is a single hash aggregate.
+    The payments are aggregated once, by donor and program; the program list and
+    the pivot both come from that table.
     """
-    programs = programs if programs is not None else program_values(pe)
-    wide = (pe.filter(_processed() & _before(as_of_year))
-            .groupBy("DonorConstituentID")
-            .pivot("ProgramName", programs)
-            .agg(na_sum("PaymentAmount").alias("total_amt"),
-                 F.count(F.lit(1)).alias("count")))
+    by_program = staged(donations_by_program(pe, as_of_year), "by_program")
+    programs = programs if programs is not None else program_values(by_program)
+    wide = (by_program.groupBy("DonorConstituentID").pivot("ProgramName", programs)
+            .agg(F.first("total_amt").alias("total_amt"), F.first("count").alias("count")))
     cols = [F.col("DonorConstituentID")]
     for measure in ("total_amt", "count"):
         for p in programs:
@@ -134,144 +131,98 @@ def const_base(spark: SparkSession, sf_dir: str, year: int = FEATURE_YEAR, last_
     return base.select(*ft.CONST_BASE_COLUMNS)
 
 
-# -- one pass over the payments for the whole base table ----------------------
-
-_L1_COLS = ["_donor", "_type", "_prog", "_year", "_mo", "_yr", "_inst", "_host"]
-_SETS = {
-    "type": ["_donor", "_type"],
-    "prog": ["_donor", "_prog"],
-    "year": ["_donor", "_year"],
-    "card": ["_donor", "_mo", "_yr"],
-    "inst": ["_donor", "_inst"],
-    "host": ["_host"],
-}
-
-
-def _gid(cols: list[str]) -> int:
-    """``grouping_id()`` of a grouping set: bit set for every column not grouped."""
-    n = len(_L1_COLS)
-    return sum(1 << (n - 1 - i) for i, c in enumerate(_L1_COLS) if c not in cols)
+# -- the base table from one narrow table of payments ----------------------------
 
+def payment_rows(pe: DataFrame, year: int = FEATURE_YEAR) -> DataFrame:
+    """The payments that any feature, total or label needs, with only the columns they use.
 
-GID = {k: _gid(v) for k, v in _SETS.items()}
-
-
-def payment_profile(pe: DataFrame, year: int = FEATURE_YEAR, label_year: int = LABEL_YEAR,
-                    as_of_year: int | None = None) -> DataFrame:
-    """Level 1: ONE aggregate over the payments with six grouping sets.
-
-    (donor, method), (donor, program), (donor, year), (donor, card month,
-    card year), (donor, instance), (host). A distinct count of x per donor is
-    then the number of (donor, x) rows with a window payment -- NA forms its
-    own group, exactly R's ``n_distinct`` -- and every other feature is a sum /
-    min / max of these partial results. Spark expands each payment into the
-    six sets before the map-side partial aggregate, so the fact is scanned and
-    shuffled once for the whole base table.
+    Payments in the feature window or processed, of real donors or hosts; written
+    once as Parquet, so every consumer reads its own columns.
     """
-    d = F.col("DonationDateSKey")
     win = F.coalesce(ft.in_feature_window(year), F.lit(False))
-    proc = _processed() & (F.coalesce(_before(as_of_year), F.lit(False)) if as_of_year else F.lit(True))
-    amt = F.col("PaymentAmount")
-    rows = pe.filter(win | _processed()).select(
-        F.col("DonorConstituentID").alias("_donor"), F.col("PaymentMethodType").alias("_type"),
-        F.col("ProgramName").alias("_prog"), F.year(d).alias("_year"),
-        F.col("CreditCardExpirationMonth").alias("_mo"), F.col("CreditCardExpirationYear").alias("_yr"),
-        F.col("InstanceDetailSKey").alias("_inst"), F.col("PrimaryConstituentID").alias("_host"),
-        d.alias("_d"), win.alias("_win"), proc.alias("_proc"), _processed().alias("_processed"),
-        F.col("PaymentStatus").alias("_status"), amt.alias("_amt"))
-    dd, w, pr = F.col("_d"), F.col("_win"), F.col("_proc")
-    valid = F.when(w & (dd != F.lit(SENTINEL_DATE).cast("date")), dd)
-    return (rows.groupingSets([_SETS[k] for k in _SETS], *_L1_COLS)
-            .agg(F.grouping_id().alias("_g"),
-                 F.count_if(w).alias("n_win"),
-                 F.count_if(w & (F.col("_status") == "Error")).alias("n_fail"),
-                 F.count_if(w & F.col("_processed")).alias("n_succ"),
-                 F.min(valid).alias("min_valid"), F.max(valid).alias("max_valid"),
-                 F.max(F.when(w, dd)).alias("max_win"),
-                 F.count_if(pr).alias("n_proc"),
-                 F.count_if(pr & F.col("_amt").isNull()).alias("n_proc_null"),
-                 F.sum(F.when(pr, F.col("_amt"))).alias("sum_proc"),
-                 F.count_if(F.col("_processed") & (F.year(dd) == label_year)).alias("n_label")))
-
-
-def base_from_profile(prof: DataFrame, programs: dict | None = None) -> DataFrame:
-    """Level 2: one row per donor with a window payment (sentinels dropped).
-
-    Columns: the base-table features (except host counts, mode and instance
-    counts), both recency flags, overall processed totals and, per program
-    suffix ``s``: ``total_amt_s``, ``count_s``, ``status_s``.
-    """
-    programs = programs if programs is not None else PROGRAMS
-    g = F.col("_g")
-    t, pg = g == GID["type"], g == GID["prog"]
-    nw = F.col("n_win")
+    return staged(pe.filter(win | _processed()).select(
+        F.col("DonorConstituentID").alias("donor"), F.col("PaymentMethodType").alias("type"),
+        F.col("ProgramName").alias("prog"), F.col("DonationDateSKey").alias("d"),
+        F.col("CreditCardExpirationMonth").alias("mo"), F.col("CreditCardExpirationYear").alias("yr"),
+        F.col("InstanceDetailSKey").alias("inst"), F.col("PrimaryConstituentID").alias("host"),
+        F.col("PaymentStatus").alias("status"), F.col("PaymentAmount").alias("amt"), win.alias("win")), "payments")
+
+
+def donor_sums(rows: DataFrame, programs: dict, label_year: int = LABEL_YEAR,
+               as_of_year: int | None = None) -> DataFrame:
+    """Everything additive, one row per donor with a window payment (sentinels dropped)."""
+    w, d, amt = F.col("win"), F.col("d"), F.col("amt")
+    processed = F.col("status") == PROCESSED
+    total = processed & (F.coalesce(d < F.lit(f"{as_of_year}-01-01").cast("date"), F.lit(False))
+                         if as_of_year else F.lit(True))
+    valid = F.when(w & (d != F.lit(SENTINEL_DATE).cast("date")), d)
+    last = F.max(F.when(w, d))
+    n_total = F.count_if(total)
+
+    def money(cond):  # NA as soon as one amount is missing
+        return F.when(F.count_if(cond & amt.isNull()) == 0, F.sum(F.when(cond, amt)))
 
-    def on(cond, c):
-        return F.when(cond, F.col(c) if isinstance(c, str) else c)
-
-    n_proc_all = F.sum(on(t, "n_proc"))
-    max_win = F.max(on(t, "max_win"))
     aggs = [
-        F.sum(on(t, "n_win")).alias("_n_win"),
-        F.count_if(pg & (nw > 0)).alias("dist_events"),
-        F.datediff(F.max(on(t, "max_valid")), F.min(on(t, "min_valid"))).alias("tenure"),
-        F.count_if((g == GID["year"]) & (nw > 0)).alias("yrs_donated"),
-        F.count_if((g == GID["card"]) & (nw > 0)).alias("dist_cards"),
-        F.count_if((g == GID["inst"]) & (nw > 0)).alias("paid_instances"),
-        F.sum(on(t, "n_win")).alias("participated_events"),
-        F.when(date_as_number(max_win) > RECENT_LITERAL, 1).otherwise(0).alias("last_3"),
-        F.when(F.year(max_win) > RECENT_LITERAL, 1).otherwise(0).alias("last_3_recent"),
-        F.coalesce(F.try_divide(F.sum(on(t, "n_fail")), F.sum(on(t, "n_succ"))), F.lit(0.0))
+        F.count_if(w).alias("participated_events"),
+        F.datediff(F.max(valid), F.min(valid)).alias("tenure"),
+        F.when(date_as_number(last) > RECENT_LITERAL, 1).otherwise(0).alias("last_3"),
+        F.when(F.year(last) > RECENT_LITERAL, 1).otherwise(0).alias("last_3_recent"),
+        F.coalesce(F.try_divide(F.count_if(w & (F.col("status") == "Error")), F.count_if(w & processed)), F.lit(0.0))
          .cast("double").alias("fail_ratio"),
-        F.when(n_proc_all > 0, F.when(F.sum(on(t, "n_proc_null")) == 0, F.sum(on(t, "sum_proc"))))
-         .alias("total_donated"),
-        F.when(n_proc_all > 0, n_proc_all).alias("total_count"),
+        F.when(n_total > 0, money(total)).alias("total_donated"),
+        F.when(n_total > 0, n_total).alias("total_count"),
     ]
     for p, s in programs.items():
-        is_p = pg & (F.col("_prog") == p)
-        amt_p = F.when(F.coalesce(F.sum(on(is_p, "n_proc_null")), F.lit(0)) == 0, F.sum(on(is_p, "sum_proc")))
-        aggs += [
-            F.when(n_proc_all > 0, F.coalesce(amt_p, F.lit(0.0))).alias(f"total_amt_{s}"),
-            F.when(n_proc_all > 0, F.coalesce(F.sum(on(is_p, "n_proc")), F.lit(0))).alias(f"count_{s}"),
-            F.coalesce(F.max(F.when(is_p & (F.col("n_label") > 0), 1)), F.lit(0)).alias(f"status_{s}"),
-        ]
-    donors = prof.filter((g != GID["host"]) & ft._not_sentinel("_donor"))
-    return (donors.groupBy(F.col("_donor").alias(DONOR)).agg(*aggs)
-                  .filter(F.col("_n_win") > 0).drop("_n_win"))
+        own = total & F.coalesce(F.col("prog") == p, F.lit(False))
+        labelled = processed & F.coalesce((F.col("prog") == p) & (F.year(d) == label_year), F.lit(False))
+        paid = F.when(F.count_if(own & amt.isNull()) == 0, F.coalesce(F.sum(F.when(own, amt)), F.lit(0.0)))
+        aggs += [F.when(n_total > 0, F.coalesce(paid, F.lit(0.0))).alias(f"total_amt_{s}"),
+                 F.when(n_total > 0, F.count_if(own)).alias(f"count_{s}"),
+                 F.when(F.count_if(labelled) > 0, 1).otherwise(0).alias(f"status_{s}")]
+    return (rows.filter(ft._not_sentinel("donor")).groupBy(F.col("donor").alias(DONOR)).agg(*aggs)
+            .filter(F.col("participated_events") > 0))
+
+
+def distinct_per_donor(rows: DataFrame, name: str, *values) -> DataFrame:
+    """Distinct window values per donor (a missing value counts): distinct by donor and
+    value first, so a hot donor stays spread, then a count per donor."""
+    own = rows.filter(F.col("win") & ft._not_sentinel("donor")).select("donor", *values).distinct()
+    return own.groupBy(F.col("donor").alias(DONOR)).agg(F.count(F.lit(1)).alias(name))
 
 
-def mode_from_profile(prof: DataFrame) -> DataFrame:
-    """F10 from the (donor, method) rows: most window payments, ties to the first method, NA last."""
-    rows = prof.filter((F.col("_g") == GID["type"]) & (F.col("n_win") > 0) & ft._not_sentinel("_donor"))
-    best = F.min(F.struct((-F.col("n_win")).alias("k1"), F.col("_type").isNull().alias("k2"),
-                          F.col("_type").alias("k3")))
-    return rows.groupBy(F.col("_donor").alias(DONOR)).agg(best["k3"].alias("pay_type"))
+def usual_method(rows: DataFrame) -> DataFrame:
+    """most window payments, ties to the first method, NA last."""
+    per = (rows.filter(F.col("win") & ft._not_sentinel("donor")).groupBy("donor", "type")
+           .agg(F.count(F.lit(1)).alias("n")))
+    best = F.min(F.struct((-F.col("n")).alias("k1"), F.col("type").isNull().alias("k2"), F.col("type").alias("k3")))
+    return per.groupBy(F.col("donor").alias(DONOR)).agg(best["k3"].alias("pay_type"))
 
 
-def hosts_from_profile(prof: DataFrame) -> DataFrame:
-    """F7 from the (host) rows: window payments per host."""
-    return (prof.filter((F.col("_g") == GID["host"]) & (F.col("n_win") > 0) & ft._not_sentinel("_host"))
-                .select(F.col("_host").alias(DONOR), F.col("n_win").alias("hosted_events")))
+def hosted(rows: DataFrame) -> DataFrame:
+    """window payments per host."""
+    return (rows.filter(F.col("win") & ft._not_sentinel("host")).groupBy(F.col("host").alias(DONOR))
+            .agg(F.count(F.lit(1)).alias("hosted_events")))
 
 
 def donor_base(spark: SparkSession, sf_dir: str, programs: dict | None = None, year: int = FEATURE_YEAR,
                label_year: int = LABEL_YEAR, as_of_year: int | None = None,
                last_3_variant: str = "literal", pe: DataFrame | None = None) -> DataFrame:
-    """Base table + program columns from one pass over the payments (plus the commitments).
+    """Base table + program columns from the narrow payment table (plus the commitments).
 
-    The level-1 result feeds three consumers (donor aggregate, method mode,
-    host counts) that each need different columns, so Spark could not share
-    its shuffle; it is written once to the shared checkpoint folder instead
-    (reliable checkpoint: survives executor loss, cuts the lineage) and the
-    consumers read it.
+    The parts are joined on the donor: all have one row per donor and the same
+    hash partitioning, so each is shuffled once, after its partial aggregation.
     """
     pe = pe if pe is not None else ft.pay_events(spark, sf_dir)
-    prof = materialize(payment_profile(pe, year, label_year, as_of_year))
-    base = base_from_profile(prof, programs)
+    rows = payment_rows(pe, year)
+    base = donor_sums(rows, programs if programs is not None else PROGRAMS, label_year, as_of_year)
     if last_3_variant == "recent":
         base = base.drop("last_3").withColumnRenamed("last_3_recent", "last_3")
     else:
         base = base.drop("last_3_recent")
-    return (base.join(hosts_from_profile(prof), DONOR, "left")
-                .join(mode_from_profile(prof), DONOR, "left")
-                .join(ft.feat_instance_count(spark, sf_dir), DONOR, "left"))
+    for part in (distinct_per_donor(rows, "dist_events", "prog"),
+                 distinct_per_donor(rows, "yrs_donated", F.year("d").alias("y")),
+                 distinct_per_donor(rows, "dist_cards", "mo", "yr"),
+                 distinct_per_donor(rows, "paid_instances", "inst"),
+                 hosted(rows), usual_method(rows), ft.feat_instance_count(spark, sf_dir)):
+        base = base.join(part, DONOR, "left")
+    return base

@@ -2,9 +2,8 @@
 
 Every feature of the reference is available as its own function (``feat_*``,
 one aggregate each, for use on its own). The base table of all features,
-:func:`const_base`, does not join these back together: it is derived from ONE
-grouping-sets aggregate over the payments (``datasets.payment_profile``), so
-the payment fact is scanned and shuffled once for all of them.
+:func:`const_base`, is built from one narrow table of payments
+(``datasets.payment_rows``), so the fact is joined with its programs once.
 
 Skew: a single donor may own a large share of all payments. Every aggregate
 here is algebraic (partial + final), and the distinct counts go through
@@ -18,7 +17,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from donorlens.functions import date_as_number, n_distinct, paste
-from donorlens.operators.joins import sized_broadcast
 from donorlens.sources import tables
 
 # --- fixed values of the workflow ------------------------------------------
@@ -34,13 +32,12 @@ DONOR = "donor"
 def pay_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """payments left-joined with their iteration (program).
 
-    dplyr joins match NA keys, hence the null-safe condition. The iteration
-    dimension is broadcast only when its row count is proven small.
+    dplyr joins match NA keys, hence the null-safe condition. Spark broadcasts
+    the iteration dimension where its size in bytes is known to be small.
     """
     pay = tables.payment(spark, sf_dir)
-    it = sized_broadcast(tables.iteration(spark, sf_dir)
-                         .select(F.col("IterationSKey").alias("_it_key"),
-                                 "IterationGroupingName", "ProgramName"))
+    it = tables.iteration(spark, sf_dir).select(F.col("IterationSKey").alias("_it_key"),
+                                                "IterationGroupingName", "ProgramName")
     return (pay.join(it, pay.IterationSKey.eqNullSafe(it._it_key), "left")
                .drop("_it_key"))
 
@@ -60,33 +57,6 @@ def window_payments(pe: DataFrame, year: int = FEATURE_YEAR, key: str = "DonorCo
     return pe.filter(in_feature_window(year) & _not_sentinel(key))
 
 
-# -- the fused donor aggregate ------------------------------------------------
-
-def donor_window_aggregate(pe: DataFrame, year: int = FEATURE_YEAR) -> DataFrame:
-    """F3-F6, F8, F9, F11, F12 in one ``groupBy(donor)``.
-
-    Columns: donor, dist_events, tenure, yrs_donated, dist_cards,
-    paid_instances, participated_events, last_3, last_3_recent, fail_ratio.
-    """
-    d = F.col("DonationDateSKey")
-    valid = F.when(d != F.lit(SENTINEL_DATE).cast("date"), d)
-    card = paste("CreditCardExpirationMonth", F.lit("-"), "CreditCardExpirationYear")
-    fails = F.count_if(F.col("PaymentStatus") == "Error")
-    succ = F.count_if(F.col("PaymentStatus") == "Processed")
-    return (window_payments(pe, year)
-            .groupBy(F.col("DonorConstituentID").alias(DONOR))
-            .agg(n_distinct("ProgramName").alias("dist_events"),
-                 F.datediff(F.max(valid), F.min(valid)).alias("tenure"),
-                 n_distinct(F.year(d)).alias("yrs_donated"),
-                 n_distinct(card).alias("dist_cards"),
-                 n_distinct("InstanceDetailSKey").alias("paid_instances"),
-                 F.count(F.lit(1)).alias("participated_events"),
-                 F.when(date_as_number(F.max(d)) > RECENT_LITERAL, 1).otherwise(0).alias("last_3"),
-                 F.when(F.year(F.max(d)) > RECENT_LITERAL, 1).otherwise(0).alias("last_3_recent"),
-                 # failed / successful; undefined (no success) or no failure -> 0
-                 F.coalesce(F.try_divide(fails, succ), F.lit(0.0)).cast("double").alias("fail_ratio")))
-
-
 # -- features with their own key or shape -------------------------------------
 
 def feat_hosted_events(pe: DataFrame, year: int = FEATURE_YEAR) -> DataFrame:
@@ -120,10 +90,6 @@ def feat_instance_count(spark: SparkSession, sf_dir: str) -> DataFrame:
             .agg(n_distinct("InstanceDetailSKey").alias("instance_count")))
 
 
-def _pick(agg: DataFrame, *cols: str) -> DataFrame:
-    return agg.select(DONOR, *cols)
-
-
 def feat_dist_events(pe, year=FEATURE_YEAR):
     """distinct programs donated to (a missing program counts as one)."""
     return (window_payments(pe, year).groupBy(F.col("DonorConstituentID").alias(DONOR))
@@ -169,7 +135,9 @@ def feat_fail_ratio(pe, year=FEATURE_YEAR):
     Only donors with at least one payment in the window appear (the row set of
     the base table); the ratio is filled with 0 where it is undefined.
     """
-    return _pick(donor_window_aggregate(pe, year), "fail_ratio")
+    fails, succ = (F.count_if(F.col("PaymentStatus") == s) for s in ("Error", "Processed"))
+    return (window_payments(pe, year).groupBy(F.col("DonorConstituentID").alias(DONOR))
+            .agg(F.coalesce(F.try_divide(fails, succ), F.lit(0.0)).cast("double").alias("fail_ratio")))
 
 
 def feat_last_3(pe, year=FEATURE_YEAR, variant: str = "literal"):
@@ -192,6 +160,6 @@ CONST_BASE_COLUMNS = ["donor", "dist_events", "tenure", "yrs_donated", "dist_car
 
 def const_base(spark: SparkSession, sf_dir: str, year: int = FEATURE_YEAR,
                last_3_variant: str = "literal", pe: DataFrame | None = None) -> DataFrame:
-    """the donor base table, from the one-pass plan in :mod:`donorlens.plans.datasets`."""
+    """the donor base table, from the narrow payment table of :mod:`donorlens.plans.datasets`."""
     from donorlens.plans import datasets
     return datasets.const_base(spark, sf_dir, year, last_3_variant, pe)

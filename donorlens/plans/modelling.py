@@ -10,7 +10,7 @@ Deliberate differences from the R workflow (see README):
 * Spark forests have no out-of-bag estimate: seeded k-fold *out-of-fold*
   predictions stand in for it and are named as such;
 * forest probabilities are mean leaf class shares, not vote shares, and trees
-  are depth-limited.
+  stop at Spark's limit of 30 levels.
 """
 
 from __future__ import annotations
@@ -19,15 +19,17 @@ from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import RFormula, StringIndexer
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import UnsupportedOperationException
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from donorlens.operators import metrics as M
-from donorlens.operators.sampling import exact_split, hash32, u01
+from donorlens.operators.sampling import exact_split, hash52, u01
 from donorlens.plans import datasets as ds
 from donorlens.session import checkpoint_dir, materialize
 
@@ -43,7 +45,7 @@ RAW_FOREST_VARS = ("pay_type", "fail_ratio", "dist_events", "count_{s}", "dist_c
 # variables of the three partial dependence plots
 PDP_VARS = ("count_{s}", "dist_cards", "yrs_donated")
 PDP_GRID = 51
-MAX_DEPTH = 15
+MAX_DEPTH = 30
 # ------------------------------------------------------------------------------
 
 NOT_PREDICTORS = ("donor", "status", "pred")
@@ -69,18 +71,69 @@ def formula_predictors(df: DataFrame, suffix: str) -> list[str]:
     return [c for c in df.columns if c not in NOT_PREDICTORS and c not in drops]
 
 
-def _rformula(predictors: list[str], handle_invalid: str = "skip") -> RFormula:
-    # Factor levels alphabetical with the first level as baseline: index
-    # descending and let the encoder drop the last index.
-    return RFormula(formula=f"{LABEL} ~ " + " + ".join(predictors), featuresCol="features",
-                    labelCol="label", stringIndexerOrderType="alphabetDesc", handleInvalid=handle_invalid)
+def _stages(train: DataFrame, predictors: list[str], one_hot: bool) -> tuple[list, list[str]]:
+    """Feature stages and the names of the feature vector's entries, in formula order.
+
+    Factor levels are indexed from the training rows. For the regression a
+    factor becomes dummies without its alphabetically first level (the
+    baseline); a tree sees it as one categorical feature.
+    """
+    stages, inputs, names = [], [], []
+    for p in predictors:
+        if p not in FACTORS:
+            inputs.append(p)
+            names.append(p)
+            continue
+        indexer = StringIndexer(inputCol=p, outputCol=f"{p}__i", handleInvalid="error",
+                                stringOrderType="alphabetDesc" if one_hot else "alphabetAsc").fit(train)
+        stages.append(indexer)
+        if one_hot:  # the encoder drops the last index: the alphabetically first level
+            stages.append(OneHotEncoder(inputCol=f"{p}__i", outputCol=f"{p}__v", dropLast=True))
+            inputs.append(f"{p}__v")
+            names += [f"{p}_{level}" for level in indexer.labels[:-1]]
+        else:
+            inputs.append(f"{p}__i")
+            names.append(p)
+    stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="error"))
+    return stages, names
+
+
+def _complete(df: DataFrame, predictors: list[str]) -> F.Column:
+    return reduce(lambda a, b: a & b, [F.col(p).isNotNull() for p in predictors if p in FACTORS], F.lit(True))
+
+
+def _fit(train: DataFrame, predictors: list[str], estimator, one_hot: bool):
+    """Pipeline model fitted on the rows without a missing factor; it carries the
+    feature names and the factor levels it knows."""
+    rows = train.filter(_complete(train, predictors)).withColumn("label", F.col(LABEL).cast("double"))
+    stages, names = _stages(rows, predictors, one_hot)
+    if not one_hot:
+        levels = max([len(s.labels) for s in stages if hasattr(s, "labels")], default=2)
+        estimator = estimator.setMaxBins(max(32, levels))
+    model = Pipeline(stages=[*stages, estimator]).fit(rows)
+    model._feature_names = names
+    model._levels = {p: s.labels for p, s in zip([p for p in predictors if p in FACTORS],
+                                                 [s for s in stages if hasattr(s, "labels")])}
+    return model
+
+
+def _scored(model, df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``df`` split into the scored rows and those with a factor level that the model cannot score."""
+    known = reduce(lambda a, b: a & b, [F.coalesce(F.col(p).isin(v), F.lit(False))
+                                        for p, v in model._levels.items()], F.lit(True))
+    df = df.withColumn("label", F.col(LABEL).cast("double"))
+    return model.transform(df.filter(known)), df.filter(~known)
 
 
 def fit_logit(train: DataFrame, predictors: list[str], max_iter: int = 25):
-    """M4: binomial GLM with logit link (IRLS), like ``glm(..., family = binomial())``."""
+    """M4: binomial GLM with logit link (IRLS), like ``glm(..., family = binomial())``.
+
+    Rows with a missing factor level are left out of the fit (R's ``na.omit``);
+    the training set is written once, since every iteration reads it.
+    """
     glr = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=max_iter, regParam=0.0,
                                       featuresCol="features", labelCol="label", predictionCol="probability_1")
-    return _with_names(Pipeline(stages=[_rformula(predictors), glr]).fit(train), train)
+    return _fit(materialize(train), predictors, glr, one_hot=True)
 
 
 def logit_coefficients(model) -> DataFrame:
@@ -94,7 +147,7 @@ def logit_coefficients(model) -> DataFrame:
         se, z, p = list(s.coefficientStandardErrors), list(s.tValues), list(s.pValues)
         # Spark lists the intercept last
         se, z, p = [se[-1]] + se[:-1], [z[-1]] + z[:-1], [p[-1]] + p[:-1]
-    except Exception:  # singular fit or L-BFGS fallback: no standard errors
+    except (Py4JJavaError, UnsupportedOperationException):  # singular fit: Spark has no standard errors
         se = z = p = [None] * len(est)
     rows = [(n, float(e), _f(a), _f(b), _f(c)) for n, e, a, b, c in zip(names, est, se, z, p)]
     return spark.createDataFrame(rows, "term string, estimate double, std_error double, "
@@ -119,29 +172,21 @@ def _feature_names(model) -> list[str]:
     return list(getattr(model, "_feature_names", []))
 
 
-def _with_names(model, df: DataFrame):
-    """Attach the expanded feature names (from the vector's ML attributes) to the model."""
-    out = model.stages[0].transform(df.limit(1))
-    attrs = out.schema["features"].metadata.get("ml_attr", {}).get("attrs", {})
-    flat = sorted([a for group in attrs.values() for a in group], key=lambda a: a["idx"])
-    model._feature_names = [a["name"] for a in flat]
-    return model
-
-
 def logit_scores(model, df: DataFrame, split_name: str) -> DataFrame:
-    """M6: P(status = 1) per donor."""
-    out = model.transform(df)
-    return out.select("donor", F.lit(split_name).alias("split"), F.col(LABEL).cast("int").alias(LABEL),
-                      F.col("probability_1").alias("probability"))
+    """M6: P(status = 1) per donor; NULL where a factor level is missing or unknown to the model."""
+    good, rest = _scored(model, df)
+    columns = ["donor", F.lit(split_name).alias("split"), F.col(LABEL).cast("int").alias(LABEL)]
+    return good.select(*columns, F.col("probability_1").alias("probability")).unionByName(
+        rest.select(*columns, F.lit(None).cast("double").alias("probability")))
 
 
 def fit_forest(train: DataFrame, predictors: list[str], n_trees: int = N_TREES, seed: int = SEED,
                max_depth: int = MAX_DEPTH):
     """Random forest classifier, sqrt(p) candidate features per split.
 
-    R grows every tree until its leaves are pure; Spark trees need a depth
-    limit. Each extra level costs a full distributed pass over the data, so the
-    default is 15 (about 3x faster than 20 at sf0.1, with leaves of a few rows).
+    R grows every tree until its leaves are pure; Spark trees have at most 30
+    levels, which is the default. Fewer levels (``max_depth``) are faster: each
+    one is a pass over the data.
     """
     # node ids cached per row instead of shipping every tree to the executors
     # each level (about 2x faster for deep trees); the cache is checkpointed
@@ -151,15 +196,17 @@ def fit_forest(train: DataFrame, predictors: list[str], n_trees: int = N_TREES,
                                  maxMemoryInMB=512, cacheNodeIds=True, checkpointInterval=10,
                                  minInstancesPerNode=1, seed=seed, featuresCol="features", labelCol="label",
                                  probabilityCol="prob_vec", rawPredictionCol="raw", predictionCol="pred_label")
-    return _with_names(Pipeline(stages=[_rformula(predictors), rfc]).fit(train), train)
+    return _fit(train, predictors, rfc, one_hot=False)
 
 
 def forest_scores(model, df: DataFrame, split_name: str) -> DataFrame:
     """M15 + M16: probability of class 1 and the predicted class."""
-    out = model.transform(df)
-    return out.select("donor", F.lit(split_name).alias("split"), F.col(LABEL).cast("int").alias(LABEL),
-                      vector_to_array("prob_vec")[1].alias("probability"),
-                      F.col("pred_label").cast("int").alias("predicted"))
+    good, rest = _scored(model, df)
+    columns = ["donor", F.lit(split_name).alias("split"), F.col(LABEL).cast("int").alias(LABEL)]
+    return good.select(*columns, vector_to_array("prob_vec")[1].alias("probability"),
+                       F.col("pred_label").cast("int").alias("predicted")).unionByName(
+        rest.select(*columns, F.lit(None).cast("double").alias("probability"),
+                    F.lit(None).cast("int").alias("predicted")))
 
 
 def scored_metrics(scores: DataFrame, prob: str = "probability", label: str = LABEL) -> DataFrame:
@@ -172,108 +219,97 @@ def scored_metrics(scores: DataFrame, prob: str = "probability", label: str = LA
 
 
 def forest_gini_importance(model) -> DataFrame:
-    """Impurity importance per predictor (one-hot parts summed; Spark normalises to 1)."""
+    """Impurity importance per predictor (Spark normalises to 1)."""
     spark = SparkSession.getActiveSession()
-    rf = model.stages[-1]
-    imp = list(rf.featureImportances.toArray())
-    names = getattr(model, "_feature_names", None) or [f"f{i}" for i in range(len(imp))]
-    by_var = {}
-    for n, v in zip(names, imp):
-        # one-hot parts of a factor are named <factor>_<level>: sum them back
-        base = next((f for f in FACTORS if n.startswith(f + "_")), n)
-        by_var[base] = by_var.get(base, 0.0) + float(v)
-    return spark.createDataFrame(sorted(by_var.items(), key=lambda kv: -kv[1]),
-                                 "variable string, mean_decrease_gini double")
-
-
-def _permuted(df: DataFrame, col: str, seed: int, n_rows: int, rows_per_bucket: int = 1_000_000) -> DataFrame:
-    """``df`` with the values of ``col`` randomly permuted among rows.
-
-    Rows are dealt into hash buckets of bounded size; inside a bucket two
-    independent hash orders pair each row with the row whose value it takes.
-    No global sort, no single task holding all rows.
-    """
-    n_b = max(1, -(-n_rows // rows_per_bucket))
-    d = df.withColumn("_pb", F.pmod(hash32(F.col("donor"), f"{seed}:bucket"), F.lit(n_b)))
-    wa = Window.partitionBy("_pb").orderBy(u01(F.col("donor"), f"{seed}:a"), "donor")
-    wb = Window.partitionBy("_pb").orderBy(u01(F.col("donor"), f"{seed}:{col}"), "donor")
-    d = d.withColumn("_ra", F.row_number().over(wa)).withColumn("_rb", F.row_number().over(wb))
-    vals = d.select("_pb", F.col("_ra").alias("_rb"), F.col(col).alias("_pv"))
-    return (d.join(vals, ["_pb", "_rb"]).drop(col, "_pb", "_ra", "_rb")
-             .withColumnRenamed("_pv", col))
+    imp = model.stages[-1].featureImportances.toArray()
+    rows = sorted(((n, float(v)) for n, v in zip(_feature_names(model), imp)), key=lambda kv: -kv[1])
+    return spark.createDataFrame(rows, "variable string, mean_decrease_gini double")
 
 
-def permutation_importance(model, df: DataFrame, predictors: list[str], seed: int = SEED) -> DataFrame:
-    """Drop in accuracy when one predictor's values are permuted.
+def permutation_importance(model, df: DataFrame, predictors: list[str], seed: int = SEED,
+                           rows_per_bucket: int = 1_000_000) -> DataFrame:
+    """Drop in accuracy, overall and per class, when one predictor's values are permuted.
 
-    All permuted copies are unioned and scored by one ``transform``, then one
-    aggregate per variant gives the accuracies.
+    Rows are dealt into hash buckets of bounded size and numbered once inside
+    their bucket, in hash order. Predictor ``j`` takes its value from the row
+    whose number is a hashed shift away (a cyclic permutation of the bucket,
+    another one for each predictor): one join per predictor on (bucket, number),
+    no further sort. All variants are scored by one ``transform``.
     """
-    n_rows = df.count()
-    variants = [df.withColumn("_variant", F.lit("(none)"))]
+    good = df.filter(_complete(df, predictors))
+    n_rows = good.count()
+    n_b = max(1, -(-n_rows // rows_per_bucket))
+    h = u01(F.col("donor"), f"{seed}:order")
+    d = good.withColumn("_pb", F.pmod(hash52(F.col("donor"), f"{seed}:bucket"), F.lit(n_b)))
+    d = d.withColumn("_rn", F.row_number().over(Window.partitionBy("_pb").orderBy(h, "donor")) - 1)
+    d = materialize(d.join(d.groupBy("_pb").agg(F.count(F.lit(1)).alias("_size")), "_pb"))
+    variants = [d.select(*df.columns).withColumn("_variant", F.lit("(none)"))]
     for p in predictors:
-        variants.append(_permuted(df, p, seed, n_rows).select(*df.columns).withColumn("_variant", F.lit(p)))
-    allv = reduce(DataFrame.unionByName, variants)
-    scored = model.transform(allv)
-    acc = scored.groupBy("_variant").agg(
-        F.avg((F.col("pred_label") == F.col("label")).cast("double")).alias("accuracy"))
-    base = acc.filter(F.col("_variant") == "(none)").select(F.col("accuracy").alias("_base"))
-    return (acc.filter(F.col("_variant") != "(none)").withColumn("_one", F.lit(1))
-               .join(base.withColumn("_one", F.lit(1)), "_one")
-               .select(F.col("_variant").alias("variable"),
-                       (F.col("_base") - F.col("accuracy")).alias("mean_decrease_accuracy"),
-                       "accuracy"))
-
-
-def out_of_fold_error(train: DataFrame, predictors: list[str], folds: int = 5, n_trees: int = N_TREES,
-                      seed: int = SEED) -> DataFrame:
-    """M12 stand-in for the out-of-bag error: seeded k-fold out-of-fold predictions.
-
-    Each row is predicted by a forest that did not see it (fold = hash of donor).
-    Returns the overall error rate and the per-class error rates.
-    """
-    d = train.withColumn("_fold", F.pmod(hash32(F.col("donor"), f"{seed}:fold"), F.lit(folds)))
+        step = F.floor(u01(F.col("_pb"), f"{seed}:{p}") * (F.col("_size") - 1)) + 1
+        taken = d.select("_pb", F.pmod(F.col("_rn") + step, F.col("_size")).alias("_rn"), F.col(p).alias("_pv"))
+        variants.append(d.join(taken, ["_pb", "_rn"]).withColumn(p, F.col("_pv")).select(*df.columns)
+                        .withColumn("_variant", F.lit(p)))
+    scored, _ = _scored(model, reduce(DataFrame.unionByName, variants))
+    right = (F.col("pred_label") == F.col("label")).cast("double")
+    acc = scored.groupBy("_variant").agg(F.avg(right).alias("accuracy"),
+                                         F.avg(F.when(F.col("label") == 0, right)).alias("a0"),
+                                         F.avg(F.when(F.col("label") == 1, right)).alias("a1"))
+    rows = {r["_variant"]: r for r in acc.collect()}  # a row per predictor
+    base = rows.pop("(none)", None)
+
+    def drop(name: str, r) -> float | None:
+        return None if base is None or base[name] is None or r[name] is None else base[name] - r[name]
+
+    out = [(v, drop("accuracy", r), drop("a0", r), drop("a1", r), r["accuracy"]) for v, r in sorted(rows.items())]
+    return df.sparkSession.createDataFrame(
+        out, "variable string, mean_decrease_accuracy double, class0_decrease double, class1_decrease double, "
+             "accuracy double")
+
+
+def out_of_fold_predictions(train: DataFrame, predictors: list[str], folds: int = 5, n_trees: int = N_TREES,
+                            seed: int = SEED) -> DataFrame:
+    """``(donor, label, predicted)``: each training row, predicted by a forest that did not see it."""
+    d = train.filter(_complete(train, predictors)).withColumn(
+        "_fold", F.pmod(hash52(F.col("donor"), f"{seed}:fold"), F.lit(folds)))
     parts = []
     for k in range(folds):
         m = fit_forest(d.filter(F.col("_fold") != k), predictors, n_trees, seed + k)
-        parts.append(m.transform(d.filter(F.col("_fold") == k)).select("label", "pred_label"))
-    oof = reduce(DataFrame.unionByName, parts)
-    wrong = (F.col("label") != F.col("pred_label")).cast("double")
-    return oof.agg(F.avg(wrong).alias("oof_error"),
-                   F.avg(F.when(F.col("label") == 0, wrong)).alias("class0_error"),
-                   F.avg(F.when(F.col("label") == 1, wrong)).alias("class1_error"),
-                   F.count(F.lit(1)).alias("n"))
+        good, rest = _scored(m, d.filter(F.col("_fold") == k))
+        parts += [good.select("donor", F.col("label").cast("int").alias("label"),
+                              F.col("pred_label").cast("int").alias("predicted")),
+                  rest.select("donor", F.col("label").cast("int").alias("label"),
+                              F.lit(None).cast("int").alias("predicted"))]
+    return materialize(reduce(DataFrame.unionByName, parts))
+
+
+def out_of_fold_error(predictions: DataFrame) -> DataFrame:
+    """M12 stand-in for the out-of-bag error: overall and per-class error rates of held-out predictions."""
+    wrong = (F.col("label") != F.col("predicted")).cast("double")
+    return predictions.agg(F.avg(wrong).alias("oof_error"),
+                           F.avg(F.when(F.col("label") == 0, wrong)).alias("class0_error"),
+                           F.avg(F.when(F.col("label") == 1, wrong)).alias("class1_error"),
+                           F.count(F.lit(1)).alias("n"))
 
 
 def partial_dependence(model, df: DataFrame, var: str, predictors: list[str],
                        grid_size: int = PDP_GRID) -> DataFrame:
     """Average P(status = 1) with ``var`` set to each grid value, for all rows.
 
-    Grid: the distinct values when there are at most ``grid_size`` of them,
-    otherwise ``grid_size`` equally spaced values from min to max. The grid
-    (bounded by ``grid_size``) is attached by ``explode``, so each row is
-    scored once per grid value and the averages are one aggregate.
+    Grid: ``min(grid_size, distinct values)`` equal steps from min to max, as
+    doubles. The grid (bounded by ``grid_size``) is attached by ``explode``, so each
+    row is scored once per grid value and the averages are one aggregate.
     """
     if var not in predictors:
         raise ValueError(f"{var} is not a predictor of this model")
     x = F.col(var).cast("double")
-    st = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"),
-                F.approx_count_distinct(x).alias("nd")).collect()[0]
-    distinct = None
-    if st["nd"] <= grid_size * 2:
-        vals = df.select(x.alias("v")).distinct().limit(grid_size + 1).collect()
-        if len(vals) <= grid_size:
-            distinct = sorted(r["v"] for r in vals if r["v"] is not None)
-    if distinct is not None:
-        grid = distinct
-    else:
-        lo, hi = float(st["lo"]), float(st["hi"])
-        grid = [lo + (hi - lo) * i / (grid_size - 1) for i in range(grid_size)]
-    dtype = df.schema[var].dataType
-    g = (df.withColumn("_grid", F.explode(F.array(*[F.lit(float(v)) for v in grid])))
-           .withColumn(var, F.col("_grid").cast(dtype)).drop("_grid"))
-    scored = model.transform(g)
-    return (scored.groupBy(F.col(var).cast("double").alias("value"))
+    lo, hi = df.agg(F.min(x), F.max(x)).first()
+    if lo is None:
+        raise ValueError(f"{var} has no value")
+    n = df.select(x.alias("v")).filter("v is not null").distinct().limit(grid_size).count()  # at most grid_size rows
+    grid = [lo + (hi - lo) * i / (n - 1) for i in range(n)] if n > 1 else [lo]
+    g = df.withColumn(var, F.explode(F.array(*[F.lit(float(v)) for v in grid])))
+    scored, _ = _scored(model, g)
+    return (scored.groupBy(F.col(var).alias("value"))
                   .agg(F.avg(vector_to_array("prob_vec")[1]).alias("yhat")))
 
 

@@ -39,7 +39,7 @@ def dup_key_count(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dup_keys(spark, sf):
-    return P.duplicate_keys(_const(spark, sf), KEY).orderBy(F.desc("count"))
+    return P.duplicate_keys(_const(spark, sf), KEY).orderBy(F.desc("count"), KEY)
 
 
 def dup_rows(spark, sf):
@@ -53,15 +53,15 @@ def dup_status_freq(spark, sf):
 # -- geography (E5-E10) ------------------------------------------------------
 
 def subregion_counts(spark, sf):
-    return P.distinct_count_by(_const(spark, sf), "ConstituentSubRegion", KEY).orderBy(F.desc("count"))
+    return P.distinct_count_by(_const(spark, sf), "ConstituentSubRegion", KEY).orderBy(F.desc("count"), "ConstituentSubRegion")
 
 
 def region_counts(spark, sf):
-    return P.distinct_count_by(_const(spark, sf), "ConstituentRegion", KEY).orderBy(F.desc("count"))
+    return P.distinct_count_by(_const(spark, sf), "ConstituentRegion", KEY).orderBy(F.desc("count"), "ConstituentRegion")
 
 
 def lga_counts(spark, sf):
-    return P.distinct_count_by(_const(spark, sf), "LGA", KEY).orderBy(F.desc("count"))
+    return P.distinct_count_by(_const(spark, sf), "LGA", KEY).orderBy(F.desc("count"), "LGA")
 
 
 def _mapping(spark, sf, a, b):
@@ -85,7 +85,7 @@ def lga_to_subregion(spark, sf):
 
 def _counts(col):
     def q(spark, sf):
-        return P.count_by(_const(spark, sf), col).orderBy(F.desc("count"))
+        return P.count_by(_const(spark, sf), col).orderBy(F.desc("count"), col)
     q.__name__ = f"counts_{col}"
     return q
 
@@ -100,7 +100,7 @@ country_counts = _counts("Address1Country")
 
 def unknown_gender_titles(spark, sf):
     c = _const(spark, sf).filter(not_in("Gender", ["Male", "Female"]))
-    return P.count_by(c, "Title").orderBy(F.desc("count"))
+    return P.count_by(c, "Title").orderBy(F.desc("count"), "Title")
 
 
 def aboriginality_freq(spark, sf):
@@ -204,7 +204,7 @@ def _appeals_no_sentinel(spark, sf):
 
 
 def appeal_counts(spark, sf):
-    return P.count_by(_appeals_no_sentinel(spark, sf), "AppealPackageSKey").orderBy(F.desc("count"))
+    return P.count_by(_appeals_no_sentinel(spark, sf), "AppealPackageSKey").orderBy(F.desc("count"), "AppealPackageSKey")
 
 
 def contact_span(spark, sf):
@@ -218,12 +218,12 @@ def contact_span(spark, sf):
             .agg(F.count(F.lit(1)).alias("count"), latest.alias("latest_info"),
                  earliest.alias("earliest_info"),
                  (F.datediff(latest, earliest) / 365.0).alias("diff"))
-            .orderBy(F.desc("count")))
+            .orderBy(F.desc("count"), "ConstituentId"))
 
 
 def contact_counts(spark, sf):
     return (P.count_by(_appeals_no_sentinel(spark, sf), "AppealPackageSKey", "ConstituentId")
-            .orderBy(F.desc("count")))
+            .orderBy(F.desc("count"), "AppealPackageSKey", "ConstituentId"))
 
 
 appeal_row_freq = _freq("AppealContactHistoryRow", _appeals)
@@ -231,7 +231,7 @@ response_freq = _freq("AppealResponse", _appeals)
 
 
 def response_counts(spark, sf):
-    return P.count_by(_appeals(spark, sf), "AppealResponse").orderBy(F.desc("count"))
+    return P.count_by(_appeals(spark, sf), "AppealResponse").orderBy(F.desc("count"), "AppealResponse")
 
 
 def parse_date_key(spark, sf):
@@ -254,12 +254,13 @@ def column_profile(spark, sf):
 
 
 def head(spark, sf, n: int = 6):
-    """First rows (``head``) of the appeal contact table."""
-    return _appeals(spark, sf).limit(n)
+    """First rows (``head``) of the appeal contact table, in the order of all its columns."""
+    a = _appeals(spark, sf)
+    return a.orderBy(*a.columns).limit(n)
 
 
 def mapping_uniqueness(spark, sf):
-    """E8-E10 comments ("mapping isn't unique"): keys that map to more than one value.
+    """How many keys of the geography mappings have more than one value.
 
     One row: sub-regions with several regions, LGAs with several regions,
     LGAs with several sub-regions (NA is a key and a value, as in ``group_by``).

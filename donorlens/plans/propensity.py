@@ -1,8 +1,9 @@
 """The propensity workflow for one program, as query functions ``(spark, sf_dir) -> DataFrame``.
 
-Each function rebuilds its inputs from the raw tables (lazy plans; Spark
-re-executes only what the action needs). ``workflow`` caches nothing across
-calls on purpose: every result is a function of the whole tables.
+Each function rebuilds its inputs from the raw tables. Building a frame runs
+jobs where a later step reads it several times (model input, splits, balanced
+sets are written once to the shared checkpoint folder); nothing is kept across
+calls, so every result is a function of the whole tables.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from donorlens.operators import metrics as M
 from donorlens.operators import smote as S
 from donorlens.plans import modelling as md
+from donorlens.session import materialize
 
 PROGRAM = "Regular Giving"
 
@@ -79,6 +81,15 @@ def logit_scores(spark, sf):
     return _union(md.logit_scores(m, train, "train"), md.logit_scores(m, test, "test"))
 
 
+def logit_calibration(spark, sf):
+    """Positives and summed probabilities of the training rows, per payment method."""
+    m, train, _, _ = logit_fit(spark, sf)
+    scores = md.logit_scores(m, train, "train").join(train.select("donor", "pay_type"), "donor")
+    return (scores.filter("probability is not null").groupBy("pay_type")
+            .agg(F.count(F.lit(1)).alias("n_rows"), F.sum("status").alias("positives"),
+                 F.round(F.sum("probability"), 3).alias("sum_probability")))
+
+
 def logit_coefficients(spark, sf):
     m, *_ = logit_fit(spark, sf)
     return md.logit_coefficients(m)
@@ -91,8 +102,8 @@ def logit_fit_stats(spark, sf):
 
 def logit_metrics(spark, sf):
     m, train, test, _ = logit_fit(spark, sf)
-    tr = md.scored_metrics(md.logit_scores(m, train, "train")).withColumn("split", F.lit("train"))
-    te = md.scored_metrics(md.logit_scores(m, test, "test")).withColumn("split", F.lit("test"))
+    tr = md.scored_metrics(materialize(md.logit_scores(m, train, "train"))).withColumn("split", F.lit("train"))
+    te = md.scored_metrics(materialize(md.logit_scores(m, test, "test"))).withColumn("split", F.lit("test"))
     return _union(tr, te)
 
 
@@ -108,10 +119,15 @@ def rf_scores(spark, sf):
     return _union(md.forest_scores(m, train, "train"), md.forest_scores(m, test, "test"))
 
 
+def rf_class_totals(spark, sf):
+    """Rows of the scored splits, per class: every row of both splits is scored once."""
+    return rf_scores(spark, sf).groupBy("split", "status").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def rf_metrics(spark, sf):
     m, train, test, _ = forest_fit(spark, sf)
-    tr = md.scored_metrics(md.forest_scores(m, train, "train")).withColumn("split", F.lit("train"))
-    te = md.scored_metrics(md.forest_scores(m, test, "test")).withColumn("split", F.lit("test"))
+    tr = md.scored_metrics(materialize(md.forest_scores(m, train, "train"))).withColumn("split", F.lit("train"))
+    te = md.scored_metrics(materialize(md.forest_scores(m, test, "test"))).withColumn("split", F.lit("test"))
     return _union(tr, te)
 
 
@@ -128,7 +144,18 @@ def rf_permutation_importance(spark, sf):
 def rf_oof_error(spark, sf):
     train, test, s = _prep(spark, sf)
     preds = [v.format(s=s) for v in md.RAW_FOREST_VARS]
-    return md.out_of_fold_error(train, preds, folds=5)
+    return md.out_of_fold_error(md.out_of_fold_predictions(train, preds))
+
+
+def _confusion(predictions):
+    """2x2 counts and statistics of ``(label, predicted)`` rows, in one row."""
+    return M.confusion_stats(M.confusion_counts(predictions, "predicted", "label"))
+
+
+def rf_oof_confusion(spark, sf):
+    """Confusion table and statistics of the held-out predictions of the training rows."""
+    train, test, s = _prep(spark, sf)
+    return _confusion(md.out_of_fold_predictions(train, [v.format(s=s) for v in md.RAW_FOREST_VARS]))
 
 
 def _smote_cols(train, s):
@@ -141,7 +168,8 @@ def _smote_cols(train, s):
 def smote_train(spark, sf, program=PROGRAM):
     train, test, s = _prep(spark, sf, program)
     numeric, nominal = _smote_cols(train, s)
-    return S.smote(train, "status", numeric, nominal), test, s
+    # every fit, score and profile reads the balanced set: written once
+    return materialize(S.smote(train, "status", numeric, nominal)), test, s
 
 
 def smote_counts(spark, sf):
@@ -158,13 +186,70 @@ def smote_neighbours(spark, sf):
     return S.neighbour_distances(train, "status", numeric, nominal)
 
 
-def logit_smote_scores(spark, sf):
+def smote_rows(spark, sf):
+    """The synthetic cases, with all their values."""
+    bal, _, _ = smote_train(spark, sf)
+    return bal.filter(F.col("origin") == "synthetic").drop("origin")
+
+
+def _smote_logit(spark, sf):
     bal, test, s = smote_train(spark, sf)
     bal = bal.drop("origin")
-    m = md.fit_logit(bal, md.formula_predictors(bal, s))
+    return md.fit_logit(bal, md.formula_predictors(bal, s)), bal, test
+
+
+def _two(metrics, train, test):
+    return _union(metrics(train).withColumn("split", F.lit("smote_train")),
+                  metrics(test).withColumn("split", F.lit("test")))
+
+
+def logit_smote_scores(spark, sf):
+    m, bal, test = _smote_logit(spark, sf)
     return _union(md.logit_scores(m, bal, "smote_train"), md.logit_scores(m, test, "test"))
 
 
+def logit_smote_coefficients(spark, sf):
+    m, *_ = _smote_logit(spark, sf)
+    return md.logit_coefficients(m)
+
+
+def logit_smote_metrics(spark, sf):
+    """AUC, confusion table and statistics of the regression on the balanced set, on train and test."""
+    m, bal, test = _smote_logit(spark, sf)
+    return _two(md.scored_metrics, materialize(md.logit_scores(m, bal, "smote_train")),
+                materialize(md.logit_scores(m, test, "test")))
+
+
+def rf_smote_metrics(spark, sf):
+    m, bal, test, _, _ = _smote_forest(spark, sf)
+    return _two(md.scored_metrics, materialize(md.forest_scores(m, bal, "smote_train")),
+                materialize(md.forest_scores(m, test, "test")))
+
+
+def rf_smote_gini_importance(spark, sf):
+    m, *_ = _smote_forest(spark, sf)
+    return md.forest_gini_importance(m)
+
+
+def rf_smote_permutation_importance(spark, sf):
+    m, bal, test, preds, _ = _smote_forest(spark, sf)
+    return md.permutation_importance(m, test, preds)
+
+
+def _smote_out_of_fold(spark, sf):
+    bal, test, s = smote_train(spark, sf)
+    bal = bal.drop("origin")
+    return md.out_of_fold_predictions(bal, md.formula_predictors(bal, s))
+
+
+def rf_smote_oof_error(spark, sf):
+    return md.out_of_fold_error(_smote_out_of_fold(spark, sf))
+
+
+def rf_smote_oof_confusion(spark, sf):
+    return _confusion(_smote_out_of_fold(spark, sf))
+
+
 def _smote_forest(spark, sf):
     bal, test, s = smote_train(spark, sf)
     bal = bal.drop("origin")
@@ -184,6 +269,11 @@ def pdp_count(spark, sf):
     return md.partial_dependence(m, train, s, preds)
 
 
+def pdp_grid(spark, sf):
+    """The grid of :func:`pdp_count`: equal steps over the values of the training rows."""
+    return pdp_count(spark, sf).select(F.round("value", 6).alias("value"))
+
+
 def pdp_dist_cards(spark, sf):
     m, bal, test, preds, _ = _smote_forest(spark, sf)
     return md.partial_dependence(m, bal, "dist_cards", preds)

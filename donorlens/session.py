@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -78,3 +79,25 @@ def cut_lineage(df, spark: SparkSession | None = None):
 def materialize(df):
     """Cut a plan that several actions reuse (model inputs, kNN points): a reliable checkpoint."""
     return cut_lineage(df)
+
+
+def staged(df, name: str = "table"):
+    """Write ``df`` as Parquet below the shared checkpoint folder and read it back.
+
+    For tables that several consumers read: columnar, so each reads its own
+    columns only. The folder is deleted when the driver's JVM ends.
+    """
+    spark = df.sparkSession
+    root = checkpoint_dir(spark, fallback=os.environ.get("DONORLENS_CHECKPOINT_DIR"))
+    path = f"{root.rstrip('/')}/donorlens-{uuid.uuid4().hex}/{name}"
+    schema = df.schema
+    df.write.parquet(path)
+    delete_at_exit(spark, path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Remove the folder that holds ``path`` when the driver's JVM ends."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path).getParent()
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)

@@ -5,44 +5,80 @@ with one space, puts text in double quotes (embedded quotes escaped with a
 backslash) and writes missing values as an unquoted ``NA``. Numbers are not
 quoted. Parquet stays the default sink of the package; this format exists so
 that tables can be exchanged with the R workflow.
+
+A row is always one line, so files stay splittable: a line break inside a text is
+written as ``\\n`` or ``\\r`` and a backslash as two (R's own reader shows those
+escapes as they stand). The quoted text ``NA`` stays text.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from donorlens.session import checkpoint_dir
+from donorlens.session import checkpoint_dir, delete_at_exit
+
+_TEXT = (T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
+
+
+def _escaped(text: Column) -> Column:
+    for plain, safe in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r")):
+        text = F.replace(text, F.lit(plain), F.lit(safe))
+    return text
+
+
+def _unescaped(text: Column) -> Column:
+    def part(p: Column) -> Column:
+        for plain, safe in (('"', '\\"'), ("\n", "\\n"), ("\r", "\\r")):
+            p = F.replace(p, F.lit(safe), F.lit(plain))
+        return p
+
+    # cut at double backslashes first, so an escape is never read across one
+    return F.array_join(F.transform(F.split(text, r"\\\\"), part), "\\")
 
 
-def _quoted(c: str, dtype) -> F.Column:
-    col = F.col(f"`{c}`")
-    if isinstance(dtype, (T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)):
-        txt = F.regexp_replace(col.cast("string"), r'(["\\])', r"\\$1")
-        return F.when(col.isNull(), F.lit("NA")).otherwise(F.concat(F.lit('"'), txt, F.lit('"')))
-    return F.when(col.isNull(), F.lit("NA")).otherwise(col.cast("string"))
+def _field(name: str, dtype) -> Column:
+    col = F.col(f"`{name}`")
+    text = col.cast("string")
+    if isinstance(dtype, _TEXT):
+        text = F.concat(F.lit('"'), _escaped(text), F.lit('"'))
+    return F.coalesce(text, F.lit("NA"))
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write ``df`` like R ``write.table(df, path, row.names = FALSE)`` (one folder of part files)."""
-    out = df.select(*[_quoted(f.name, f.dataType).alias(f'"{f.name}"') for f in df.schema.fields])
-    (out.write.mode(mode)
-        .option("header", True).option("sep", " ").option("quote", "\u0000")
-        .csv(path))
+    """Write ``df`` like R ``write.table(df, path, row.names = FALSE)`` (one folder of
+    part files, each with the header line)."""
+    fields = df.schema.fields
+    line = F.concat_ws(" ", *[_field(f.name, f.dataType) for f in fields])
+    header = " ".join('"' + f.name.replace('"', '\\"') + '"' for f in fields)
+    # the first row of every part file carries the header line before it
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    out = df.select(line.alias("value"), first.alias("first")).select(
+        F.when(F.col("first"), F.concat(F.lit(header + "\n"), F.col("value"))).otherwise(F.col("value")).alias("value"))
+    out.write.mode(mode).text(path)
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType, sep: str = " ") -> DataFrame:
-    """Read a table written by :func:`write_table` (or by R) with an explicit schema.
+def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Read a table written by :func:`write_table` with an explicit schema.
 
     ``fread`` infers types; at scale an explicit schema avoids a full
-    inference pass. Header names are matched by position.
+    inference pass. Columns are matched by position. Lines are split into
+    quoted texts and bare fields; only a bare ``NA`` is missing.
     """
-    df = (spark.read.option("header", True).option("sep", sep).option("quote", '"')
-          .option("escape", "\\").option("nullValue", "NA").schema(schema).csv(path))
-    return df
+    # one raw line per row; the reader skips each file's header line
+    lines = (spark.read.schema("line string").option("header", True).option("enforceSchema", True)
+             .option("sep", "\u0001").option("quote", "").option("escape", "").csv(path))
+    parts = F.regexp_extract_all("line", F.lit(r'"(?:[^"\\]|\\.)*"|[^" ]+'), F.lit(0))
+    rows = lines.select(parts.alias("f"))
+    columns = []
+    for i, f in enumerate(schema.fields):
+        raw = F.get("f", F.lit(i))
+        text = F.when(raw.startswith('"'), _unescaped(F.substring(raw, F.lit(2), F.length(raw) - 2))).otherwise(raw)
+        columns.append(F.when(raw != "NA", text).cast(f.dataType).alias(f.name))
+    return rows.select(*columns)
 
 
 # separators tried when none is given, in order of preference on ties
@@ -74,9 +110,11 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str | No
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder."""
+    """A fresh folder under the cluster's shared checkpoint folder, deleted when the driver ends."""
     base = checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/donorlens-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/donorlens-{uuid.uuid4().hex[:12]}/{name}"
+    delete_at_exit(spark, path)
+    return path
 
 
 def roundtrip(spark: SparkSession, df: DataFrame, name: str = "table") -> DataFrame:
@@ -86,6 +124,20 @@ def roundtrip(spark: SparkSession, df: DataFrame, name: str = "table") -> DataFr
     return read_table(spark, path, df.schema)
 
 
+def csv_roundtrip(spark: SparkSession, df: DataFrame, name: str = "table", sep: str = ",") -> DataFrame:
+    """Write ``df`` as CSV with a header to shared scratch and scan it, the separator detected."""
+    path = scratch_path(spark, name)
+    df.write.option("header", True).option("sep", sep).option("nullValue", "NA").csv(path)
+    return read_csv(spark, path, df.schema)
+
+
+def export_roundtrip(spark: SparkSession, df: DataFrame, key: str, name: str = "export") -> DataFrame:
+    """Export ``df`` in order of ``key`` as R text and read it back."""
+    path = scratch_path(spark, name)
+    write_sorted(df, path, key, fmt="rtable")
+    return read_table(spark, path, df.schema)
+
+
 def write_sorted(df: DataFrame, path: str, key: str = "donor", fmt: str = "parquet",
                  partitions: int | None = None, mode: str = "overwrite") -> None:
     """Write a table ordered by ``key`` (the reference's ``order by`` on every result).

@@ -16,36 +16,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from donorlens.operators.joins import sized_broadcast
-
 RAW_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
-# Small-input spreading (see ``raw``): at most this many input splits (~1 GB at
-# the default 128 MB split size) are spread, over at most this many partitions.
-SPREAD_MAX_SPLITS = 8
-SPREAD_MAX_PARTITIONS = 64
-
-
-def raw(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """One raw parquet table of the test data (``<sf_dir>/<name>.parquet``).
-
-    ``spread`` (used for the fact tables): a small file written as one parquet
-    row group is read by a single task, and with a broadcast join after it the
-    whole CPU-heavy pipeline (join, grouping-sets expansion, partial
-    aggregation) would run in that task. When the scan has at most
-    ``SPREAD_MAX_SPLITS`` splits and fewer than the task slots, its rows are
-    dealt round-robin over ``min(slots, SPREAD_MAX_PARTITIONS)`` partitions --
-    a cheap shuffle for such an input. Larger inputs keep their own splits
-    (and the shuffles of their joins), so nothing is added at scale.
-    """
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if spread:
-        target = min(spark.sparkContext.defaultParallelism, SPREAD_MAX_PARTITIONS)
-        splits = df.rdd.getNumPartitions()
-        if splits < target and splits <= SPREAD_MAX_SPLITS:
-            df = df.repartition(target)
-    return df
+def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One raw parquet table of the test data (``<sf_dir>/<name>.parquet``)."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _const_id(c) -> F.Column:
@@ -75,7 +51,7 @@ def payment(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``DonationDateSKey`` is delivered already parsed to a date (the reference
     parses it with ``ymd`` right after loading).
     """
-    li = raw(spark, sf_dir, "lineitem", spread=True)
+    li = raw(spark, sf_dir, "lineitem")
     o = raw(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
     j = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
     return j.select(
@@ -114,11 +90,11 @@ def iteration(spark: SparkSession, sf_dir: str) -> DataFrame:
 def constituent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DimConstituent: one row per customer, with region names.
 
-    ``nation`` and ``region`` are joined through :func:`sized_broadcast`.
+    Spark broadcasts ``nation`` and ``region`` by their file sizes.
     """
     c = raw(spark, sf_dir, "customer")
-    n = sized_broadcast(raw(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
-    r = sized_broadcast(raw(spark, sf_dir, "region").select("r_regionkey", "r_name"))
+    n = raw(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    r = raw(spark, sf_dir, "region").select("r_regionkey", "r_name")
     j = c.join(n, c.c_nationkey == n.n_nationkey, "left").join(r, F.col("n_regionkey") == r.r_regionkey, "left")
     k = F.col("c_custkey")
     title = F.lit("NULL")
@@ -160,7 +136,7 @@ def constituent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def instance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FactInstance: one commitment per order; RG amounts are text with "NULL"."""
-    o = raw(spark, sf_dir, "orders", spread=True)
+    o = raw(spark, sf_dir, "orders")
     cid = _const_id(F.col("o_custkey"))
     rg = (F.floor(F.col("o_totalprice") / 1000).cast("int") % 20)
     urgent = F.col("o_orderpriority") == "1-URGENT"

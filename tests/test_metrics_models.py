@@ -74,7 +74,7 @@ def test_glm_matches_logistic_regression(spark):
     df = df.withColumn("status", ((F.col("x") > 0.7) != (F.col("z") > 0.9)).cast("int"))
     m = md.fit_logit(df, ["x", "z"])
     glm = m.stages[-1]
-    feats = m.stages[0].transform(df)
+    feats = m.stages[0].transform(df).withColumn("label", F.col("status").cast("double"))
     lr = LogisticRegression(regParam=0.0, featuresCol="features", labelCol="label").fit(feats)
     assert list(glm.coefficients) == pytest.approx(list(lr.coefficients), rel=1e-3, abs=1e-3)
     coef = md.logit_coefficients(m).collect()
@@ -107,7 +107,7 @@ def test_smote_counts_parents_and_exact_neighbours(spark):
     assert all(0 <= r["u"] <= 9 and 0 <= r["v"] <= 6 and r["status"] == 1 for r in syn)
     assert {r["pay_type"] for r in syn} <= {"a", "b"}
     # neighbours equal brute force (distances at ranks 1..k)
-    nd = S.neighbour_distances(df, "status", ["u", "v"], ["pay_type"], k=3, seed=5)
+    nd = S.neighbour_distances(df, "status", ["u", "v"], ["pay_type"], k=3)
     got = {(r["donor"], r["rank"]): r["distance"] for r in nd.collect()}
     ru = max(r["u"] for r in mino) - min(r["u"] for r in mino)
     rv = max(r["v"] for r in mino) - min(r["v"] for r in mino)
@@ -118,23 +118,85 @@ def test_smote_counts_parents_and_exact_neighbours(spark):
             assert got[(a["donor"], j + 1)] == pytest.approx(ds[j], abs=1e-12)
 
 
-def test_knn_second_pass_with_small_buckets(spark):
-    """Tiny buckets force the exact band pass; the result must still equal brute force."""
+def test_knn_visits_with_tiny_cells(spark):
+    """Tiny cells force visits to others; the result must still equal brute force."""
     rows = [(f"p{i}", float((i * 17) % 23), float((i * 5) % 11), "a", 1) for i in range(60)]
     df = spark.createDataFrame(rows, "donor string, u double, v double, pay_type string, status int")
-    nn, pts = S.knn(df, ["u", "v"], ["pay_type"], k=4, seed=3, bucket_size=2)
-    vid_d = {}
+    nn, _ = S.knn(df, ["u", "v"], ["pay_type"], k=4, cell_points=2)
+    got = {}
     for r in nn.collect():
-        vid_d.setdefault(r["_vid"], []).extend([r["_d2"]] * int(r["_nm"]))
-    ru, rv = 22.0, 10.0
-    pts_rows = pts.collect()
-    for p in pts_rows:
-        others = []
-        for q in pts_rows:
-            d2 = (p["z_u"] - q["z_u"]) ** 2 + (p["z_v"] - q["z_v"]) ** 2
-            others += [d2] * (q["_mult"] - (1 if q["_vid"] == p["_vid"] else 0))
-        assert sorted(vid_d[p["_vid"]])[:4] == pytest.approx(sorted(others)[:4], abs=1e-12)
-    assert ru and rv
+        got.setdefault(r["_vid"], []).extend([r["_d2"]] * int(r["_nm"]))
+    for d, u, v, *_ in rows:
+        others = sorted(((u - b) / 22.0) ** 2 + ((v - c) / 10.0) ** 2 for e, b, c, *_ in rows if e != d)
+        if d in got:  # the case that names its vector
+            assert sorted(got[d])[:4] == pytest.approx(others[:4], abs=1e-12)
+    assert len(got) == len({r[1:3] for r in rows})
+
+
+def test_knn_candidate_pairs_grow_well_below_quadratic(spark):
+    """Points of 14 predictors that depend on three quantities, as donors' counts and sums do."""
+    import numpy as np
+
+    def pairs(n):
+        rng = np.random.default_rng(0)
+        base = rng.gamma(2.0, 1.0, (n, 3))
+        x = np.hstack([base, base ** 2, np.sqrt(base), base[:, :1] + base[:, 1:2], base.sum(1, keepdims=True),
+                       base[:, 1:2] * 2 + 1, base[:, 2:3] * 3, base[:, :1] - base[:, 2:3]])
+        assert x.shape[1] == 14
+        z = x / np.ptp(x, axis=0)
+        pts = spark.createDataFrame([(f"k{i}", f"p{i:06d}", 1, r.tolist(), ["a"]) for i, r in enumerate(z)],
+                                    "_vkey string, _vid string, _mult long, z array<double>, n array<string>")
+        cells = S.cells_of(pts, 128)
+        size = {r["cell"]: r["count"] for r in cells.groupBy("cell").count().collect()}
+        asked = S.visits(cells, S.first_pass(cells, 5), 5).groupBy("visited").count().collect()
+        return sum(c * c for c in size.values()) + sum(r["count"] * size[r["visited"]] for r in asked)
+
+    small, large = pairs(5_000), pairs(20_000)
+    assert large < 0.25 * 20_000 ** 2
+    assert large / small < 9  # four times the points; all pairs would be sixteen times
+
+
+def test_smote_with_fewer_cases_than_neighbours(spark):
+    rows = [(f"d{i}", float(i), "a", 1 if i < 3 else 0) for i in range(40)]
+    df = spark.createDataFrame(rows, "donor string, u double, pay_type string, status int")
+    out = S.smote(df, "status", ["u"], ["pay_type"])
+    n = {r["origin"]: r["count"] for r in out.groupBy("origin").count().collect()}
+    assert n == {"minority": 3, "synthetic": 48, "majority": 48}
+    few = S.smote(df, "status", ["u"], ["pay_type"], perc_over=67)
+    n = {r["origin"]: r["count"] for r in few.groupBy("origin").count().collect()}
+    assert n == {"minority": 3, "synthetic": 2, "majority": 2}
+    with pytest.raises(ValueError):
+        S.smote(df.filter("donor not in ('d1', 'd2')"), "status", ["u"], ["pay_type"])
+
+
+def test_mcnemar_without_correction_where_counts_agree(spark):
+    from donorlens.operators import metrics as M
+    df = spark.createDataFrame([(40, 10, 10, 40), (40, 20, 10, 40), (5, 0, 0, 5)], "tp long, fn long, fp long, tn long")
+    got = [(r["mcnemar_statistic"], r["mcnemar_p_value"]) for r in M.confusion_stats(df).collect()]
+    assert got[0] == (0.0, 1.0)
+    assert got[1] == (pytest.approx(81 / 30), pytest.approx(0.100348, abs=1e-5))
+    assert got[2] == (None, None)
+
+
+def test_rows_with_a_missing_or_new_factor_keep_their_place(spark):
+    df = _signal_set(spark).withColumn("status", ((F.col("x") > 0.7) != (F.col("z") > 0.9)).cast("int"))
+    odd = df.limit(20).withColumn("pay_type", F.when(F.col("x") > 0.5, "new").cast("string"))
+    logit = md.fit_logit(df.unionByName(odd.filter("pay_type is null")), ["x", "z", "pay_type"])
+    forest = md.fit_forest(df.unionByName(odd.filter("pay_type is null")), ["x", "z", "pay_type"], n_trees=5)
+    for scores in (md.logit_scores(logit, odd, "test"), md.forest_scores(forest, odd, "test")):
+        assert scores.count() == 20 and scores.filter("probability is not null").count() == 0
+    assert md.logit_scores(logit, df, "train").filter("probability is null").count() == 0
+
+
+def test_partial_dependence_grid_has_equal_steps(spark):
+    df = _signal_set(spark).withColumn("k", F.floor(F.col("x") * 150).cast("int")).withColumn(
+        "u", F.when(F.col("x") < 0.3, 0).when(F.col("x") < 0.6, 1).otherwise(100))
+    m = md.fit_forest(df, ["k", "u"], n_trees=5, max_depth=4)
+    grid = sorted(r["value"] for r in md.partial_dependence(m, df, "k", ["k", "u"]).collect())
+    lo, hi = df.agg(F.min("k"), F.max("k")).first()
+    assert grid == pytest.approx([lo + (hi - lo) * i / 50 for i in range(51)])
+    grid = sorted(r["value"] for r in md.partial_dependence(m, df, "u", ["k", "u"]).collect())
+    assert grid == pytest.approx([0, 50, 100])
 
 
 def test_split_keeps_null_keys(spark):
@@ -143,15 +205,28 @@ def test_split_keeps_null_keys(spark):
     assert a.count() == 2 and b.count() == 2
 
 
-def test_write_sorted_roundtrip(spark):
+def test_write_sorted_keeps_order_on_disk(spark):
     from donorlens.sources import csv_io
     df = spark.createDataFrame([(f"Const-{i}", i * 1.5) for i in (5, 3, 9, 1, 7)], "donor string, x double")
     path = csv_io.scratch_path(spark, "sorted")
     csv_io.write_sorted(df, path, "donor", fmt="rtable", partitions=2)
-    back = csv_io.read_table(spark, path, df.schema)
-    assert sorted(r["donor"] for r in back.collect()) == sorted(r["donor"] for r in df.collect())
-    parts = spark.read.text(path).collect()
-    assert parts[0][0].startswith('"donor"')
+    files = sorted({r[0] for r in spark.read.text(path).select(F.input_file_name()).collect()})
+    lines = [[r[0] for r in spark.read.text(f).collect()] for f in files]
+    assert all(x[0] == '"donor" "x"' for x in lines)
+    assert [v for x in lines for v in x[1:]] == [f'"Const-{i}" {i * 1.5}' for i in (1, 3, 5, 7, 9)]
+    assert sorted(map(tuple, csv_io.read_table(spark, path, df.schema).collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_text_sink_keeps_every_value(spark):
+    import datetime as dt
+    from donorlens.sources import csv_io
+    texts = ["Regular Giving", 'say "hi"', "two\nlines\r\n", "NA", "", " ", "back\\slash", "\\n", "\\\\n", 'q\\"', None, "#x", "é,;\t"]
+    rows = [(t, i, i / 3 if i % 4 else None, dt.date(2020, 1, 1 + i) if i % 3 else None, bool(i % 2))
+            for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "a string, b long, c double, d date, e boolean")
+    got = csv_io.roundtrip(spark, df.repartition(3))
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == rows
+    assert csv_io.roundtrip(spark, df.filter("false")).count() == 0
 
 
 def test_read_csv_detects_separator(spark):

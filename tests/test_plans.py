@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from donorlens.operators.joins import sized_broadcast
 from donorlens.plans import datasets as ds
 from donorlens.plans import features as ft
 from tools_plans import summarise
@@ -12,20 +11,44 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_level1_is_one_expand_over_one_payment_scan(spark, sf):
-    prof = ds.payment_profile(ft.pay_events(spark, sf))
-    s = summarise(prof)
-    assert s.get("Expand") == 1
+def test_payment_table_is_one_pruned_join(spark, sf):
+    pe = ft.pay_events(spark, sf)
+    s = summarise(pe)
     assert "CartesianProduct" not in s and "BroadcastNestedLoopJoin" not in s
-    plan = _plan(prof)
-    # one scan of each raw table: lineitem, orders, part
+    plan = _plan(pe)
+    # one scan of each raw table, without the unused lineitem column; the iteration filter reaches the part scan
     assert plan.count("lineitem.parquet") == 1 and plan.count("orders.parquet") == 1
-    # column pruning: the unused lineitem column never reaches the scan schema
     assert "l_linestatus" not in plan
-    # the iteration filter is pushed into the part scan
     assert "LessThanOrEqual(p_size,45)" in plan
 
 
+def test_base_table_expands_no_rows_and_reads_own_columns(spark, sf):
+    base = ds.donor_base(spark, sf, {"Regular Giving": "rg"})
+    s = summarise(base)
+    assert "Window" not in s and "CartesianProduct" not in s
+    plan = _plan(base)
+    # payments are read from the narrow table only, each part with its own columns
+    assert "lineitem.parquet" not in plan
+    assert "ReadSchema: struct<host:string,win:boolean>" in plan
+    assert "ReadSchema: struct<donor:string,inst:bigint,win:boolean>" in plan
+
+
+def test_base_table_without_broadcasts_is_the_same(spark, sf):
+    want = sorted(map(tuple, ds.const_base(spark, sf).collect()), key=repr)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(tuple, ds.const_base(spark, sf).collect()), key=repr) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_no_single_partition_over_table_rows(spark, sf):
+    import __spark_entry__ as E
+    qs = E.queries()
+    for name in ("pay_events", "dup_rows", "dup_keys", "contact_counts", "contact_span", "past_don"):
+        assert "SinglePartition" not in _plan(qs[name](spark, sf)), name
+
+
 def test_no_cartesian_products_in_headline_queries(spark, sf):
     import __spark_entry__ as E
     qs = E.queries()
@@ -40,21 +63,6 @@ def test_single_feature_has_no_window_and_uses_partial_aggregation(spark, sf):
     assert "Window" not in s and s.get("HashAggregate", 0) >= 2
 
 
-def test_sized_broadcast_respects_the_bound(spark):
-    """With automatic broadcasting off, only a side proven under the bound is broadcast."""
-    small, big = spark.range(10), spark.range(100)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        over = big.join(sized_broadcast(big.withColumn("x", F.lit(1)), 50), "id")
-        under = big.join(sized_broadcast(small, 10), "id")
-        assert "BroadcastHashJoin" not in _plan(over)
-        assert "BroadcastHashJoin" in _plan(under)
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.unset("spark.sql.adaptive.enabled")
-
-
 def test_data_queries_read_whole_tables(spark, sf):
     """No registered data query caps or samples rows (``head`` is the only limit: it is the feature).
 
@@ -71,4 +79,4 @@ def test_data_queries_read_whole_tables(spark, sf):
         plan = _plan(qs[name](spark, sf))
         for op in ("GlobalLimit", "LocalLimit", "CollectLimit", "TakeOrderedAndProject", "Sample "):
             assert op not in plan, (name, op)
-    assert "Limit" in _plan(qs["head"](spark, sf))
+    assert "TakeOrderedAndProject" in _plan(qs["head"](spark, sf))

@@ -72,7 +72,7 @@ def test_knn_equals_brute_force(spark, pts, k, bucket_size):
     from donorlens.operators import smote as S
     rows = [(f"p{i}", float(u), float(v), c) for i, (u, v, c) in enumerate(pts)]
     df = spark.createDataFrame(rows, "donor string, u double, v double, c string")
-    nn, points = S.knn(df, ["u", "v"], ["c"], k=k, seed=11, bucket_size=bucket_size)
+    nn, names = S.knn(df, ["u", "v"], ["c"], k=k, cell_points=bucket_size)
     got = {}
     for r in nn.collect():
         got.setdefault(r["_vid"], []).extend([r["_d2"]] * int(r["_nm"]))
@@ -81,9 +81,9 @@ def test_knn_equals_brute_force(spark, pts, k, bucket_size):
 
     def z(x, r):
         return x / r if r else 0.0
-    for p in points.collect():
-        mine = [row for row in rows if z(row[1], ru) == p["z_u"] and z(row[2], rv) == p["z_v"] and row[3] == p["n_c"]]
-        a = mine[0]
+    by_id = {row[0]: row for row in rows}
+    for p in names.collect():
+        a = by_id[p["_vid"]]
         ds = sorted((z(a[1], ru) - z(b[1], ru)) ** 2 + (z(a[2], rv) - z(b[2], rv)) ** 2 + (a[3] != b[3])
                     for b in rows if b[0] != a[0])
         want = ds[:k]
