@@ -1,17 +1,30 @@
-"""Token ids of whole texts, by word, with a public BPE vocabulary.
-
-``word_bpe_49k`` splits at white space before it merges, so a text's ids are
-the ids of its white-space words, one after the other. Each worker keeps the
-ids of the words it has met (at most ``2 * CACHE_WORDS``). New words of plain
-Latin characters are cut into the vocabulary's pre-tokens here and merged by
-its BPE model in one call; all other words go through the whole tokenizer.
+"""Token ids of whole texts with a public BPE vocabulary that works word by word.
+
+``word_bpe_49k`` lower-cases, cuts a text into pre-tokens (runs of letters, single
+digits, runs of other signs) and merges within each pre-token, so a text's ids
+are its pre-tokens' ids, one after the other. Each worker keeps the ids of the
+pre-tokens it has met (at most ``2 * CACHE_ENTRIES``); new ones are merged by the
+vocabulary's BPE model, all those of a slice of texts in one call. Words with
+other than printable ASCII and Latin letters go through the whole tokenizer.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
-CACHE_WORDS = 400_000
+CACHE_ENTRIES = 400_000
+_CHUNK = 64
+_ODD = b"\0"  # marks a cache key that is a whole word, as it stands
+
+# printable ASCII, ASCII white space, and UTF-8 bytes of U+00C0 to U+024F
+_PLAIN = bytes([*range(9, 14), *range(32, 127), *range(0x80, 0xC0), *range(0xC3, 0xCA)])
+# among those: not letters (multiplication and division sign), a letter that grows when
+# lower-cased, and the start of the vocabulary's special tokens
+_NOT_PLAIN = (b"\xc3\x97", b"\xc3\xb7", b"\xc4\xb0", b"<|")
+# the vocabulary file's pre-token pattern (fixed value), for plain lower-case text in UTF-8
+_PRETOKEN = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[a-z\x80-\xff]+|[0-9]|[^a-z0-9\x80-\xff\s]+")
 
 
 def default_tokenizer() -> str:
@@ -20,66 +33,74 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _is_plain(data: bytes) -> bool:
+    return not data.translate(None, _PLAIN) and not any(x in data for x in _NOT_PLAIN)
+
+
+def _lower(data: bytes) -> bytes:
+    return data.lower() if data.isascii() else data.decode().lower().encode()
+
+
+def pretokens(data: bytes) -> list[bytes]:
+    """Cache keys of a text: pre-tokens, and marked words that only the whole tokenizer can cut."""
+    if _is_plain(data):
+        return _PRETOKEN.findall(_lower(data))
+    out = []
+    for word in data.split():
+        if _is_plain(word):
+            out += _PRETOKEN.findall(_lower(word))
+        else:
+            out.append(_ODD + word)
+    return out
+
+
 class WordTokenizer:
     """Ids of a text as little-endian unsigned 32-bit integers, without special tokens."""
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.full = Tokenizer.from_file(path)
         self.merge = Tokenizer(self.full.model)
         self.merge.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocab = self.full.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a pre-token
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        # the vocabulary file's own pre-token pattern (fixed value)
-        self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-        self.plain = regex.compile(r"[!-~¡-¬®-įı-ɏ]+").fullmatch
         self.young: dict = {}
         self.old: dict = {}
         # byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for U+0100 on
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
-        self.letters = {b: chr(256 + k) for k, b in enumerate(others)}
-
-    def _learn(self, words: list[bytes]) -> dict:
-        known, plain, rest = {}, [], []
-        for w in words:
-            s = w.decode()
-            (plain if self.plain(s) and "<|" not in s else rest).append((w, s))
-        cuts = [self.cut(s.lower()) for _, s in plain]
-        pre = list({p for c in cuts for p in c})
-        mapped = [p.encode().decode("latin-1").translate(self.letters) for p in pre]
-        ids_of = {}
-        for i in range(0, len(pre), 64):
-            part = pre[i:i + 64]
-            ids = np.array(self.merge.encode(" ".join(mapped[i:i + 64]), add_special_tokens=False).ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else []
-            if len(stops) != len(part):  # not expected of this vocabulary: ask the whole tokenizer
-                ids_of |= {p: np.array(self.full.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
-                           for p in part}
-                continue
-            raw, at = ids.tobytes(), 0
-            for p, stop in zip(part, (stops * 4).tolist()):
-                ids_of[p] = raw[at:stop]
-                at = stop
-        for (w, _), c in zip(plain, cuts):
-            known[w] = b"".join([ids_of[p] for p in c])
-        for w, s in rest:
-            known[w] = np.array(self.full.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
-        return known
+        self.letters = {b: chr(256 + k) for k, b in enumerate(others) if b != 32}
+
+    def _learn(self, new: list[bytes]) -> None:
+        odd = [w for w in new if w[:1] == _ODD]
+        for w in odd:
+            self.young[w] = np.array(self.full.encode(w[1:].decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        pre = [w for w in new if w[:1] != _ODD] if odd else new
+        chunks = [b" ".join(pre[i:i + _CHUNK]).decode("latin-1").translate(self.letters)
+                  for i in range(0, len(pre), _CHUNK)]
+        found = self.merge.encode_batch_fast(chunks, add_special_tokens=False)
+        ids = np.array([i for e in found for i in e.ids], "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else np.zeros(0, np.int64)
+        if len(stops) != len(pre):
+            raise ValueError("the vocabulary does not end every pre-token with an end-of-word token")
+        raw, at = ids.tobytes(), 0
+        for p, stop in zip(pre, (stops * 4).tolist()):
+            self.young[p] = raw[at:stop]
+            at = stop
 
     def ids(self, texts: list[bytes | None]) -> list[bytes]:
-        words = [t.split() if t else () for t in texts]
+        cut = [pretokens(t) if t else [] for t in texts]
         young, old = self.young, self.old
-        seen = set().union(*words) if words else set()
-        new = [w for w in seen if w not in young]
-        kept = {w: old[w] for w in new if w in old}
-        young |= kept
-        young |= self._learn([w for w in new if w not in kept])
-        out = [b"".join([young[w] for w in ws]) for ws in words]
-        if len(young) > CACHE_WORDS:
+        new = [p for p in set().union(*cut) if p not in young]
+        if old:
+            young |= {p: old[p] for p in new if p in old}
+            new = [p for p in new if p not in young]
+        if new:
+            self._learn(new)
+        out = [b"".join([young[p] for p in ps]) for ps in cut]
+        if len(young) > CACHE_ENTRIES:
             self.old, self.young = young, {}
         return out
 

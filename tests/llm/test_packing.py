@@ -52,7 +52,7 @@ def test_words_of_all_kinds():
 
 
 def test_cache_forgets_without_changing_ids(monkeypatch):
-    monkeypatch.setattr(tokens, "CACHE_WORDS", 3)
+    monkeypatch.setattr(tokens, "CACHE_ENTRIES", 3)
     own = tokens.WordTokenizer(tokens.default_tokenizer())
     first = own.ids([b"alpha beta gamma delta", b"beta epsilon"])
     for _ in range(4):
