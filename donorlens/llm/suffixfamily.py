@@ -326,7 +326,8 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES, hot: int = HOT) -> D
     sampled = (docs.filter(F.octet_length("text") >= LENGTH)
                .select("doc", "size", F.explode(_anchor_column(F.col("text"))).alias("p"))
                .select("p.key", "p.cid", "doc", "size", "p.a", "p.before", "p.least"))
-    twice = sampled.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    # written out, so that the join has a plain exchange on both sides and AQE can split a hot key
+    twice = staged(sampled.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "twice")
     places = staged(sampled.join(twice, "key", "left_semi"), "places")
     contexts = staged(places.groupBy("key", "cid").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "size", "a", "before", "least")).alias("at")), "contexts")
