@@ -2,34 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from donorlens.session import checkpoint_dir
-
-#: ASCII white space: the separators of the word rule ``[^\x20\x09-\x0D]+``.
-SPACES = " \t\n\x0b\x0c\r"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared checkpoint folder and read it back.
-
-    Cuts the lineage with files that every executor can read, so a lost
-    executor never means recomputing what came before. The folder is deleted
-    when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    root = checkpoint_dir(spark, fallback=os.environ.get("DONORLENS_CHECKPOINT_DIR"))
-    path = f"{root.rstrip('/')}/donorlens-llm/{uuid.uuid4().hex}/{name}"
-    schema = df.schema
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path).getParent()
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.read.schema(schema).parquet(path)
+from donorlens.session import staged  # noqa: F401  (used by every operator)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from donorlens.llm.common import global_rank, staged, word_count
+from donorlens.llm.common import global_rank, shuffle_partitions, staged, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -191,9 +191,12 @@ def mixture(docs: DataFrame, shards: int = SHARDS, weights=WEIGHTS, max_epochs:
     return out.select("row", "size", "source_size", "target", "copies", shard.alias("shards"), "h")
 
 
-def mixed_documents(docs: DataFrame, shards: int = SHARDS, lanes: int = 8, **kw) -> DataFrame:
-    """The mix itself: each row as often as it is taken, dealt to its shards
-    (in ``lanes`` parts each) and there in random order; the columns of ``docs``."""
+def mixed_documents(docs: DataFrame, shards: int = SHARDS, lanes: int | None = None, **kw) -> DataFrame:
+    """The mix itself: each row as often as it is taken, dealt to its shards and there
+    in random order; the columns of ``docs``. A shard is dealt in ``lanes`` parts, by
+    default as many as spread all shards evenly over the session's shuffle
+    partitions, so no task's share depends on the number of shards."""
+    lanes = lanes or -(-8 * shuffle_partitions(docs.sparkSession) // shards)
     taken = mixture(docs, shards, **kw).withColumn("shard", F.explode("shards"))
     taken = taken.withColumn("order", F.xxhash64(F.lit(SEED + 1), "h", "shard"))
     taken = taken.withColumn("lane", F.pmod("order", F.lit(lanes)))

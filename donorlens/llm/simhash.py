@@ -248,8 +248,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         comp.select(F.col("root").alias("fp"), "root").distinct())
     least = (linked.join(rep, "fp").groupBy("root").agg(F.min("least_id").alias("least_of_root")))
     moved = linked.join(least, "root").select("fp", "least_of_root", F.lit(True).alias("linked"))
-    of = rep.join(moved, "fp", "left").select(
-        "fp", F.when(F.col("linked"), F.col("least_of_root")).otherwise(F.col("least_id")).alias("component_id"))
+    # written out, so that both sides of the last join have a plain exchange and AQE can split a hot fingerprint
+    of = staged(rep.join(moved, "fp", "left").select(
+        "fp", F.when(F.col("linked"), F.col("least_of_root")).otherwise(F.col("least_id")).alias("component_id")),
+        "components")
     return own.join(of, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
