@@ -190,6 +190,11 @@ def distinct_per_donor(rows: DataFrame, name: str, *values) -> DataFrame:
     return own.groupBy(F.col("donor").alias(DONOR)).agg(F.count(F.lit(1)).alias(name))
 
 
+def _card() -> F.Column:
+    """Card expiry as one number (a missing part is a part of its own)."""
+    return (F.coalesce("yr", F.lit(-1)) * 100 + F.coalesce("mo", F.lit(-1))).alias("card")
+
+
 def usual_method(rows: DataFrame) -> DataFrame:
     """most window payments, ties to the first method, NA last."""
     per = (rows.filter(F.col("win") & ft._not_sentinel("donor")).groupBy("donor", "type")
@@ -221,7 +226,7 @@ def donor_base(spark: SparkSession, sf_dir: str, programs: dict | None = None, y
         base = base.drop("last_3_recent")
     for part in (distinct_per_donor(rows, "dist_events", "prog"),
                  distinct_per_donor(rows, "yrs_donated", F.year("d").alias("y")),
-                 distinct_per_donor(rows, "dist_cards", "mo", "yr"),
+                 distinct_per_donor(rows, "dist_cards", _card()),
                  distinct_per_donor(rows, "paid_instances", "inst"),
                  hosted(rows), usual_method(rows), ft.feat_instance_count(spark, sf_dir)):
         base = base.join(part, DONOR, "left")
