@@ -7,9 +7,13 @@ own words; what a source cannot take is reshared by weight among the others.
 Blocks: a keyed hash of the row permutes each source's documents and cuts them
 into ``BLOCKS`` blocks. A source is taken ``floor(target / size)`` whole times;
 of the rest, whole blocks are taken in order and the last block is cut at a
-hash value found by two more levels of exact sums; what is then still open is
-filled by the largest document that fits, ``FILL_ROUNDS`` times, and at last by
-the one document that comes nearest, if the target is then missed by less.
+hash value found by two more levels of exact sums. The document at the cut is
+passed over, and the same goes on behind it with the documents that fit into
+what is still open, until none fits; at last the one document that comes
+nearest is taken, if the target is then missed by less. So a source misses its
+target by at most half of the smallest document left out. Where that is more than
+``TOLERANCE`` of the target, the smallest document left out goes in first, the
+passes begin anew with the others, and the better of the two mixes counts.
 
 Output shards: a source's block quota is the number of blocks it takes, repeats
 counted. A binary tree over the shards splits the vector of all quotas: each
@@ -37,7 +41,7 @@ BLOCK_BITS = 10
 BLOCKS = 1 << BLOCK_BITS
 GROUPS = 4096
 SHARDS = 16
-FILL_ROUNDS = 3
+TOLERANCE = 1e-3
 SEED = 10
 _PRIME = 1_000_003  # larger than any quota of one source, so multiplying by it permutes the blocks
 
@@ -91,65 +95,104 @@ def splitting_tree(quotas: np.ndarray, shards: int, seed: int = SEED) -> np.ndar
     return out
 
 
-def _cuts(rows: DataFrame, src: DataFrame) -> DataFrame:
-    """``(source, tau, extra, quota)``: rows whose hash is under ``tau`` or in
-    ``extra`` are taken once more than the source is taken as a whole."""
-    before = Window.partitionBy("source").rowsBetween(Window.unboundedPreceding, -1)
+def _fitting(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """The rows ahead of a source's position that fit into its gap."""
+    return rows.join(cuts.withColumnRenamed("source", "s"),
+                     F.col("source").eqNullSafe(F.col("s")) & (F.col("h") >= F.col("pos")) & (F.col("size") > 0)
+                     & (F.col("size") <= F.col("gap")) & ~F.col("h").eqNullSafe(F.col("forced"))).drop("s")
+
+
+def _edge(sums: DataFrame, by: str, keep: list[str]) -> DataFrame:
+    """Per source where the sums of ``words`` pass ``left``: the first ``by`` at which they do (``stop``; null: at none),
+    that or else the last (``edge``), and what of ``left`` is open before the edge and behind all that fits."""
+    before = Window.partitionBy("source").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    cum = sums.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
+    at = F.struct(F.col(by).alias("at"), "before")
+    ends = cum.groupBy("source", *keep).agg(
+        F.min(F.when(F.col("before") + F.col("words") > F.col("left"), at)).alias("stop"), F.max(at).alias("last"),
+        F.sum("words").alias("all"), F.first("left").alias("left"))
+    edge = F.coalesce("stop", "last")
+    return ends.select("source", *keep, F.col("stop.at").alias("stop"), edge["at"].alias("edge"),
+                       (F.col("left") - edge["before"]).alias("open"),
+                       (F.col("left") - F.coalesce("stop.before", "all")).alias("rest"))
+
+
+def _passes(rows: DataFrame, want: DataFrame) -> DataFrame:
+    """``want(source, want, forced)`` -> ``(source, passes, extra, last_block, miss)``: the passes along the
+    permutation, each ``(lo, hi, most)``: the rows of ``lo <= h <= hi`` with at most ``most`` words are taken."""
+    own = ["pos", "gap", "forced"]
+    cuts = want.select(
+        "source", "forced", F.col("want").alias("gap"), F.when(F.col("want") > 0, F.lit(0).cast("long")).alias("pos"),
+        F.array().cast("array<struct<lo:bigint,hi:bigint,most:double>>").alias("passes"),
+        F.lit(None).cast("struct<used:double,block:bigint>").alias("main"))
+    while True:
+        cuts = staged(cuts, "cuts")
+        ahead = cuts.filter("pos is not null and gap > 0").select("source", *own)
+        if ahead.isEmpty():
+            break
+        one = _edge(_fitting(rows, ahead).groupBy("source", *own, F.col("gap").alias("left"), _block(1).alias("b"))
+                    .agg(F.sum("size").alias("words")), "b", own)
+        at = one.select("source", *own, F.col("edge").alias("b1"), F.col("open").alias("left"))
+        two = _edge(_fitting(rows, at).filter(_block(1) == F.col("b1")).groupBy(
+            "source", *own, "b1", "left", _block(2).alias("b")).agg(F.sum("size").alias("words")), "b", [*own, "b1"])
+        at = two.select("source", *own, "b1", F.col("edge").alias("b2"), F.col("open").alias("left"))
+        end = _edge(_fitting(rows, at).filter((_block(1) == F.col("b1")) & (_block(2) == F.col("b2")))
+                    .withColumnRenamed("size", "words"), "h", [])
+        done = end.select(F.col("source").alias("s"), "stop", "rest", F.lit(True).alias("on"))
+        hi = F.coalesce(F.col("stop") - 1, F.lit((1 << 63) - 1))
+        main = F.struct((F.col("gap") - F.col("rest")).alias("used"), F.shiftright(hi, 63 - BLOCK_BITS).alias("block"))
+        cuts = cuts.join(done, F.col("source").eqNullSafe(F.col("s")), "left").select(
+            "source", "forced", F.coalesce("rest", "gap").alias("gap"), (F.col("stop") + 1).alias("pos"),
+            F.when(F.col("on"), F.concat("passes", F.array(F.struct(
+                F.col("pos").alias("lo"), hi.alias("hi"), F.col("gap").alias("most"))))).otherwise(
+                F.col("passes")).alias("passes"),
+            F.when(F.col("on"), F.greatest("main", main)).otherwise(F.col("main")).alias("main"))
+    # at last the one document that comes nearest, if the target is then missed by less
+    c = cuts.filter("gap > 0").select(F.col("source").alias("s"), "gap", "forced", "passes")
+    off = F.abs(F.col("size") - F.col("gap"))
+    near = (rows.join(c, F.col("source").eqNullSafe(F.col("s")) & (off < F.col("gap")) & (F.col("size") > 0))
+            .filter(~_passed(F.col("size")) & ~F.col("h").eqNullSafe(F.col("forced")))
+            .groupBy("source").agg(F.min(F.struct(off.alias("off"), "size", "h")).alias("near"))
+            .select(F.col("source").alias("s"), "near"))
+    return staged(cuts.join(near, F.col("source").eqNullSafe(F.col("s")), "left").select(
+        "source", "passes", F.array_compact(F.array("forced", "near.h")).alias("extra"),
+        F.col("main.block").alias("last_block"), F.coalesce("near.off", "gap").alias("miss")), "passes")
+
+
+def _passed(size):
+    """Whether one of the passes takes the row ``h`` of that size."""
+    return F.exists("passes", lambda p: (F.col("h") >= p["lo"]) & (F.col("h") <= p["hi"]) & (size <= p["most"]))
 
-    def at_boundary(sums: DataFrame, by: str) -> DataFrame:
-        cum = sums.withColumn("before", F.coalesce(F.sum("words").over(before.orderBy(by)), F.lit(0)))
-        return cum.filter((F.col("before") <= F.col("want")) & (F.col("want") < F.col("before") + F.col("words")))
 
+def _cuts(rows: DataFrame, src: DataFrame) -> DataFrame:
+    """``(source, whole, passes, extra, quota)``: rows that a pass takes or that are in
+    ``extra`` are taken once more than the source is taken as a whole."""
     size = F.col("source_size")
     whole = F.when(size > 0, F.floor(F.col("target") / size)).otherwise(0)
-    want = src.select("source", whole.cast("int").alias("whole"),
-                      F.greatest(F.col("target") - whole * size, F.lit(0.0)).alias("want"))
-    one = staged(rows.groupBy("source", _block(1).alias("b1")).agg(F.sum("size").alias("words")), "blocks")
-    w = want.withColumnRenamed("source", "s")
-    one = at_boundary(one.join(w, F.col("source").eqNullSafe(F.col("s"))).drop("s"), "b1")
-    one = one.select("source", "b1", "whole", (F.col("want") - F.col("before")).alias("want"))
-    o = one.select(F.col("source").alias("s"), F.col("b1").alias("c1"), "want")
-    near = rows.join(o, F.col("source").eqNullSafe(F.col("s")) & (_block(1) == F.col("c1"))).drop("s")
-    two = at_boundary(near.groupBy("source", "c1", "want", _block(2).alias("b2")).agg(F.sum("size").alias("words")),
-                      "b2")
-    two = staged(two.select("source", F.col("c1").alias("b1"), "b2", (F.col("want") - F.col("before")).alias("want")),
-                 "boundary")
-    t = two.select(F.col("source").alias("s"), F.col("b1").alias("c1"), F.col("b2").alias("c2"), "want")
-    last = (rows.join(t, F.col("source").eqNullSafe(F.col("s")) & (_block(1) == F.col("c1"))
-                      & (_block(2) == F.col("c2"))).drop("s")
-            .groupBy("source", "want", "h").agg(F.sum("size").alias("words")))
-    cum = last.withColumn("before", F.coalesce(F.sum("words").over(before.orderBy("h")), F.lit(0)))
-    ends = (cum.filter(F.col("before") + F.col("words") <= F.col("want"))
-            .groupBy("source").agg(F.max("h").alias("end"), F.max(F.col("before") + F.col("words")).alias("used")))
-    start = (F.shiftleft("b1", 63 - BLOCK_BITS) + F.shiftleft("b2", 63 - 2 * BLOCK_BITS))
-    e = ends.withColumnRenamed("source", "s")
-    tau = (two.join(e, F.col("source").eqNullSafe(F.col("s")), "left")
-           .select("source", "b1", F.coalesce(F.col("end") + 1, start).alias("tau"),
-                   (F.col("want") - F.coalesce("used", F.lit(0))).alias("gap")))
-    a = tau.withColumnRenamed("source", "s")
-    # a source without words takes no row: it has no boundary, and tau 0
-    cuts = (want.join(a, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-            .withColumn("tau", F.when(F.col("want") > 0, F.coalesce("tau", F.lit(0).cast("long"))).otherwise(0))
-            .drop("want")
-            .withColumn("gap", F.coalesce("gap", F.lit(0.0))).withColumn("extra", F.array().cast("array<bigint>"))
-            .withColumn("quota", F.col("whole") * BLOCKS
-                        + F.when(F.col("tau") > 0, F.coalesce("b1", F.lit(0)) + 1).otherwise(0)))
-    # what the cut left open is filled by the largest document that fits, a few times over
-    for k in range(FILL_ROUNDS + 1):
-        cuts = staged(cuts, "cuts")
-        c = cuts.select(F.col("source").alias("s"), "tau", "gap", "extra")
-        off = F.abs(F.col("size") - F.col("gap"))
-        fits, best = (F.col("size") <= F.col("gap"), F.max(F.struct("size", "h"))) if k < FILL_ROUNDS else (
-            off < F.col("gap"), F.min(F.struct(off.alias("off"), "size", "h")))
-        fit = (rows.filter("size > 0")
-               .join(c, F.col("source").eqNullSafe(F.col("s")) & fits & (F.col("h") >= F.col("tau")))
-               .filter(~F.array_contains("extra", F.col("h"))).groupBy("source").agg(best.alias("best"))
-               .select(F.col("source").alias("s"), F.col("best.size").alias("got"), F.col("best.h").alias("h")))
-        cuts = cuts.join(fit, F.col("source").eqNullSafe(F.col("s")), "left").select(
-            "source", "whole", "b1", "tau", "quota", (F.col("gap") - F.coalesce("got", F.lit(0))).alias("gap"),
-            F.concat("extra", F.when(F.col("h").isNotNull(), F.array("h")).otherwise(
-                F.array().cast("array<bigint>"))).alias("extra"))
-    return cuts.drop("gap")
+    want = staged(src.select("source", whole.cast("int").alias("whole"), F.lit(None).cast("long").alias("forced"),
+                             F.greatest(F.col("target") - whole * size, F.lit(0.0)).alias("want"),
+                             (F.col("target") * TOLERANCE).alias("allowed")), "want")
+    cuts = _passes(rows, want)
+    # documents that are all too large are left and the smaller ones used up: the smallest of
+    # those left goes in first, and the others fill what it leaves open
+    w = want.select(F.col("source").alias("s"), "want", "allowed")
+    poor = cuts.join(w, F.col("source").eqNullSafe(F.col("s"))).filter("miss > allowed").select("s", "want", "passes", "extra")
+    left = (rows.join(poor, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") <= F.col("want")) & (F.col("size") > 0))
+            .filter(~_passed(F.col("size")) & ~F.array_contains("extra", F.col("h")))
+            .groupBy("source", "want").agg(F.min(F.struct("size", "h")).alias("d")))
+    left = staged(left.select("source", (F.col("want") - F.col("d.size")).alias("want"), F.col("d.h").alias("forced")), "left")
+    if not left.isEmpty():
+        b = _passes(rows, left)
+        b = b.select(F.col("source").alias("s"), F.struct("miss", "passes", "extra", "last_block").alias("b"))
+        both = cuts.join(b, F.col("source").eqNullSafe(F.col("s")), "left")
+        less = F.coalesce(F.col("b.miss") < F.col("miss"), F.lit(False))
+        cuts = both.select("source", *[F.when(less, F.col(f"b.{c}")).otherwise(F.col(c)).alias(c)
+                                       for c in ("passes", "extra", "last_block")])
+    some = (F.size("passes") > 0) | (F.size("extra") > 0)
+    quota = F.col("whole") * BLOCKS + F.when(some, F.coalesce("last_block", F.lit(0)) + 1).otherwise(0)
+    w = want.select(F.col("source").alias("s"), "whole")
+    return cuts.join(w, F.col("source").eqNullSafe(F.col("s"))).select("source", "whole", "passes", "extra",
+                                                                        quota.alias("quota"))
 
 
 def mixture(docs: DataFrame, shards: int = SHARDS, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS,
@@ -167,7 +210,10 @@ def mixture(docs: DataFrame, shards: int = SHARDS, weights=WEIGHTS, max_epochs:
     docs = docs.select(F.struct(*(carry or docs.columns)).alias("row"), "doc_id", "source", "text")
     # exact repeats of a row share their hash and are one entry
     rows = staged(docs.select("source", word_count(F.col("text")).alias("size"), _hash().alias("h"))
-                  .groupBy("source", "h").agg(F.sum("size").alias("size")), "sizes")
+                  .groupBy("source", "h").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")), "sizes")
+    repeats = staged(rows.filter("n > 1").select(F.col("h").alias("r_h"), F.col("source").alias("r_source"),
+                                                 F.col("size").alias("r_size")), "repeats")
+    rows = rows.drop("n")
     src = staged(source_targets(rows, weights, max_epochs), "targets")
     cuts = _cuts(rows, src).withColumnRenamed("source", "s")
     per = staged(src.join(cuts, F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -180,8 +226,9 @@ def mixture(docs: DataFrame, shards: int = SHARDS, weights=WEIGHTS, max_epochs:
     ends = spark.createDataFrame([(r["g"], run) for r, run in zip(groups, runs)], "g long, run_ends array<long>")
     per = staged(per.join(ends, "g").drop("g", "rank", "b1"), "per-source").withColumnRenamed("source", "s")
     out = (docs.select("row", "source", word_count(F.col("text")).alias("size"), _hash().alias("h"))
-           .join(per, F.col("source").eqNullSafe(F.col("s"))))
-    once_more = (F.col("h") < F.col("tau")) | F.array_contains("extra", F.col("h"))
+           .join(per, F.col("source").eqNullSafe(F.col("s")))
+           .join(repeats, (F.col("h") == F.col("r_h")) & F.col("source").eqNullSafe(F.col("r_source")), "left"))
+    once_more = _passed(F.coalesce("r_size", "size")) | F.array_contains("extra", F.col("h"))
     out = out.withColumn("copies", F.col("whole") + F.when(once_more, 1).otherwise(0))
     place = F.when(F.col("copies") > 0, F.transform(
         F.sequence(F.lit(0), F.greatest(F.col("copies") - 1, F.lit(0))),

@@ -79,3 +79,21 @@ def test_odd_rows(odd_docs, no_docs):
     assert out.columns == odd_docs.columns
     assert out.count() == sum(r["copies"] for r in rows)
     assert mixing.mixture(no_docs).count() == 0 and mixing.mixed_documents(no_docs).count() == 0
+
+
+def test_very_long_documents_do_not_end_the_cut(spark):
+    """Sources of one very long document among short ones, of which 60% or 40% are wanted (once more)."""
+    rows = [(1000 * s + i, "w " * (20_000 if i == 0 else 60), f"s{s}") for s in range(12) for i in range(1001)]
+    rows += [(1000 * s + i, "w " * (30_000 if i == 0 else 60), f"s{s}") for s in range(20, 24) for i in range(501)]
+    rows += 2 * [(1, "w " * 50, "t0"), (2, "w " * 200, "t0")] + [(i, "w " * 3, "t0") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mixing.mixture(df, weights=(0.6, 1.4)).select("row.source", "row.doc_id", "size", "target", "copies", "shards")
+    taken, target, alike = defaultdict(int), {}, defaultdict(set)
+    for r in mix.collect():
+        taken[r["source"]] += r["size"] * r["copies"]
+        target[r["source"]] = r["target"]
+        alike[r["source"], r["doc_id"], r["size"]].add(r["copies"])
+        assert all(0 <= s < mixing.SHARDS for s in r["shards"])
+    for s in target:
+        assert abs(target[s] - taken[s]) <= 30, (s, target[s], taken[s])
+    assert all(len(c) == 1 for c in alike.values())  # exact repeats are taken alike
