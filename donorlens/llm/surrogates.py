@@ -62,8 +62,8 @@ PATTERNS = {
     "EMAIL": r"(?<![^\s@<>(),;:\"'])[^\s@<>(),;:\"']++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
     "IPV4": rf"(?=\d)(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
     "IBAN": rf"(?=[A-Z]){_ALONE}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?(?![\p{{L}}\p{{N}}])",
-    "ASSIGNED": rf"(?=[tspaTSPA]){_ALONE}{_ASSIGN}[A-Za-z0-9+/_=-]{{8,128}}",
-    "SECRET": rf"(?=[0-9a-f]){_ALONE}[0-9a-f]{{32,128}}(?![\p{{L}}\p{{N}}])"
+    "ASSIGNED": rf"(?=[tspaTSPA]){_ALONE}{_ASSIGN}[A-Za-z0-9+/_=-][A-Za-z0-9+/_=.-]{{6,}}[A-Za-z0-9+/_=-]",
+    "SECRET": rf"(?=[0-9a-f]){_ALONE}[0-9a-f]{{32,}}+(?![\p{{L}}\p{{N}}])"
               rf"|(?=A){_ALONE}AKIA[0-9A-Z]{{16}}(?![\p{{L}}\p{{N}}])",
     "PHONE": r"(?=\+)(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)"
              r"|(?=\()(?<!\d)\(\d{3}\) ?\d{3}[ .-]?\d{4}(?!\d)"
@@ -75,7 +75,7 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without a match of this cheap expression has no match of ``ANY``.
-HINT = rf"[0-9@]|{PATTERNS['ASSIGNED']}|{PATTERNS['PERSON']}"
+HINT = rf"[0-9@]|{PATTERNS['ASSIGNED']}|{PATTERNS['SECRET']}|{PATTERNS['PERSON']}"
 
 
 def _type(m: Column) -> Column:

@@ -98,3 +98,20 @@ def test_odd_rows(odd_docs, no_docs):
     assert "ann@mail" not in changed["text"] and changed["n_chars"] == len(changed["text"]) and changed["size"] == "own size"
     assert got.filter("text is null").count() == 2
     assert surrogates.pseudonymised_documents(no_docs).count() == 0
+
+
+def test_long_secrets_are_taken_whole(spark):
+    run = "ab1Z" * 5000
+    jwt = "eyJhbGciOiJI.eyJzdWIiOiIxMjM0.SflKxwRJSMeKKF2QT4"
+    texts = [f"token={run} end", f"token: {jwt}. End", "sum " + "0a1b" * 50 + " end", "key AKIA" + "ABCDEFGH" * 2 + " end",
+             "sum " + "abcdefab" * 40 + " end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["row"]["doc_id"]: r for r in surrogates.pseudonymised(df).collect()}
+    for i, t in enumerate(texts):
+        new = got[i]["text"]
+        assert got[i]["n_entities"] == 1 and got[i]["entity_types"] == "SECRET"
+        assert len(new) == len(t) and new.split()[-1] == t.split()[-1] and new != t
+    new = got[0]["text"]
+    assert "ab1Z" * 3 not in new
+    assert all(a != b for a, b in zip(jwt.split("."), got[1]["text"].split()[1].split(".")))
+    assert got[3]["text"] != texts[3] and "0a1b" * 3 not in got[2]["text"]
