@@ -6,7 +6,7 @@ intervals, disjoint per entry. A capture asks for all keys of its URL (path
 prefix, host, each parent domain), and an as-of join (equality of scope and
 key, fetch time inside the interval) finds the entries active at that time. The
 most specific active entry decides: prefix before host before domain, a longer
-domain before a shorter one; "allow" entries shield what a wider entry blocks.
+prefix or domain before a shorter one; "allow" entries shield what a wider entry blocks.
 
 Only DataFrame functions: Spark broadcasts the intervals where their size is
 known to be small and otherwise shuffles both sides by key, where AQE splits a
@@ -33,6 +33,16 @@ def prefix_of(url: Column) -> Column:
     return F.when(segment != "", F.concat(host_of(url), F.lit("/"), segment))
 
 
+def prefixes_of(url: Column) -> Column:
+    """Host and the first path segments, ``host/a``, ``host/a/b`` and so on to the whole path, as (key, depth)."""
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^?#]*)", 1)
+    segments = F.split(path, "/")
+    keys = F.transform(segments, lambda x, i: F.struct(
+        F.concat(host_of(url), F.lit("/"), F.array_join(F.slice(segments, F.lit(1), i + 1), "/")).alias("key"),
+        (i + 1).alias("depth"), x.alias("last")))
+    return F.filter(keys, lambda k: k["key"].isNotNull() & (k["last"] != ""))
+
+
 def parent_domains(host: Column) -> Column:
     """All proper suffixes of a host with at least two labels, the longest first."""
     labels = F.split(host, r"\.")
@@ -53,7 +63,10 @@ def keys_of(url: Column) -> Column:
     domains = F.transform(F.coalesce(parent_domains(host_of(url)), F.array().cast("array<string>")),
                           lambda d: F.struct(F.lit("domain").alias("scope"), d.alias("key"),
                                              (F.lit(SCOPES["domain"] * 1000) + F.size(F.split(d, r"\."))).alias("rank")))
-    return F.concat(one("prefix", prefix_of(url)), one("host", host_of(url)), domains.cast(key))
+    prefixes = F.transform(F.coalesce(prefixes_of(url), F.array().cast("array<struct<key:string,depth:int,last:string>>")),
+                           lambda p: F.struct(F.lit("prefix").alias("scope"), p["key"].alias("key"),
+                                              (F.lit(SCOPES["prefix"] * 1000) + p["depth"]).alias("rank")))
+    return F.concat(prefixes.cast(key), one("host", host_of(url)), domains.cast(key))
 
 
 def intervals(changes: DataFrame) -> DataFrame:

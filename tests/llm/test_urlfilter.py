@@ -71,3 +71,14 @@ def test_intervals_are_disjoint(spark):
     got = urlfilter.intervals(spark.createDataFrame(rows, "scope string, key string, changed_on date, action string"))
     assert sorted((r["valid_from"].day, r["valid_to"].day if r["valid_to"] else None) for r in got.collect()) == [
         (1, 5), (9, None)]
+
+
+def test_prefixes_of_every_depth(spark):
+    on = dt.date(2024, 1, 1)
+    urls = ["http://h.org/a/b/c?x/y", "http://h.org/a/b/", "http://h.org/a", "http://h.org/a/bb", "http://h.org"]
+    c = spark.createDataFrame([(i, u, on) for i, u in enumerate(urls)], "page_id long, url string, fetched_on date")
+    log = spark.createDataFrame([("prefix", "h.org/a/b", on, "block"), ("prefix", "h.org/a", on, "allow")],
+                                "scope string, key string, changed_on date, action string")
+    got = {r["page_id"]: (r["n_active"], r["rule"]) for r in urlfilter.judge(c, log).collect()}
+    deep, flat = (2, "block prefix h.org/a/b"), (1, "allow prefix h.org/a")
+    assert got == {0: deep, 1: deep, 2: flat, 3: flat, 4: (0, None)}
