@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from donorlens.llm import (licenses, mixing, packing, repetition, simhash, suffixfamily, surrogates, toxicity,
+from donorlens.llm import (licenses, merkle, mixing, packing, repetition, simhash, suffixfamily, surrogates, toxicity,
                            urlfilter, vafile)
 from donorlens.llm.common import documents
 
@@ -103,6 +103,15 @@ def op8_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumn("fetched_on", F.col("fetched_on").cast("string"))
 
 
+def op11_merkle_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    made = merkle.tampered_manifest(documents(spark, sf_dir), tampered).verified()
+    hexes = {c: F.lower(F.hex(f)) for c, f in (("leaf", "leaf"), ("subroot", "subroot"), ("root", "root"),
+                                               ("proof_sha256", "proof"), ("folded_root", "version_root"))}
+    return made.select(F.col("key").alias("doc_id"), *[h.alias(c) for c, h in hexes.items()],
+                       (F.col("version_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii_surrogates": op1_pii_surrogates,
@@ -115,6 +124,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_temporal_url_filter": op8_temporal_url_filter,
         "op9_zstd_toxicity": op9_zstd_toxicity,
         "op10_mixing_tree": op10_mixing_tree,
+        "op11_merkle_versions": op11_merkle_versions,
     }
 
 
@@ -124,4 +134,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_license_rare_tokens": licenses.oracle_sql(),
         "op5_suffix_array_repetition": OP5_SQL,
         "op8_temporal_url_filter": urlfilter.SQL,
+        "op11_merkle_versions": merkle.SQL,
     }
