@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from donorlens.llm import (licenses, merkle, mixing, packing, repetition, simhash, suffixfamily, surrogates, toxicity,
-                           urlfilter, vafile)
+from donorlens.llm import (costpacking, licenses, merkle, mixing, packing, repetition, simhash, spelling, suffixfamily,
+                           surrogates, toxicity, urlfilter, vafile)
 from donorlens.llm.common import documents
 
 
@@ -112,6 +112,14 @@ def op11_merkle_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (F.col("version_root") == F.col("root")).alias("verified"))
 
 
+def op12_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return costpacking.pack_documents(documents(spark, sf_dir))
+
+
+def op13_spelling_kd_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii_surrogates": op1_pii_surrogates,
@@ -125,6 +133,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_zstd_toxicity": op9_zstd_toxicity,
         "op10_mixing_tree": op10_mixing_tree,
         "op11_merkle_versions": op11_merkle_versions,
+        "op12_cost_balanced_packing": op12_cost_balanced_packing,
+        "op13_spelling_kd_trees": op13_spelling_kd_trees,
     }
 
 
@@ -135,4 +145,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_suffix_array_repetition": OP5_SQL,
         "op8_temporal_url_filter": urlfilter.SQL,
         "op11_merkle_versions": merkle.SQL,
+        "op13_spelling_kd_trees": spelling.SQL,
     }
