@@ -29,14 +29,17 @@ def word_count(col):
 def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     """Add the 0-based position of each row in the given total order.
 
-    The rows are dealt by range, numbered inside each range and shifted by the
-    ranges' row counts: no task sees more than its own range.
+    The rows are dealt by range, numbered inside each range in sorted order and
+    shifted by the ranges' row counts: no task sees more than its own range. A row's
+    number inside its range is the lower part of its monotonically increasing id.
     """
     parts = shuffle_partitions(df.sparkSession)
-    ranged = staged(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    ranged = staged(df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+                    .withColumn("_id", F.monotonically_increasing_id()), "ranged")
+    part = F.shiftright("_id", 33)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
+    starts = ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).select(
         "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # one row per range
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return (ranged.withColumn(name, inside).join(F.broadcast(starts), "_part")
-            .withColumn(name, F.col(name) + F.col("_start") - 1).drop("_part", "_start"))
+    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_start")
+    return (ranged.join(F.broadcast(starts), part == F.col("_part")).withColumn(name, place)
+            .drop("_id", "_part", "_start"))

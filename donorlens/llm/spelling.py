@@ -347,12 +347,12 @@ steps AS (
   SELECT i AS byte, list_reduce([i::UBIGINT] || [0::UBIGINT FOR j IN range(8)],
     lambda c, j: xor(c >> 1, (c & 1) * 3988292384)) AS step FROM range(256) t(i)
 ), crc AS (
-  SELECT id, run, hex(encode(id || ':' || run)) AS bytes, 0 AS at, 4294967295::UBIGINT AS c FROM each
+  SELECT id, run, hex(encode(id || ':' || run)) AS bytes, 0 AS pos, 4294967295::UBIGINT AS c FROM each
   UNION ALL
-  SELECT id, run, bytes, at + 1, xor(c >> 8, step) FROM crc
-  JOIN steps ON byte = xor(c & 255, ('0x' || bytes[2 * at + 1:2 * at + 2])::UBIGINT) WHERE 2 * at < length(bytes)
+  SELECT id, run, bytes, pos + 1, xor(c >> 8, step) FROM crc
+  JOIN steps ON byte = xor(c & 255, ('0x' || bytes[2 * pos + 1:2 * pos + 2])::UBIGINT) WHERE 2 * pos < length(bytes)
 ), hashed AS (
-  SELECT id, run, xor(c, 4294967295) AS h FROM crc WHERE 2 * at = length(bytes)
+  SELECT id, run, xor(c, 4294967295) AS h FROM crc WHERE 2 * pos = length(bytes)
 ), words AS (
   SELECT CASE WHEN h % 31 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word,
     sum(n)::BIGINT AS n
@@ -371,10 +371,10 @@ steps AS (
     CASE WHEN best_n >= 10 * w.n THEN best_n END AS form_n
   FROM words w LEFT JOIN near USING (word)
 ), follow AS (
-  SELECT word, word AS at, form AS next FROM forms
+  SELECT word, word AS last, form AS next FROM forms
   UNION ALL
   SELECT f.word, f.next, g.form FROM follow f JOIN forms g ON g.word = f.next
 )
-SELECT f.word, f.form, r.at AS root, f.n, f.n_near, f.form_n
+SELECT f.word, f.form, r.last AS root, f.n, f.n_near, f.form_n
 FROM forms f JOIN follow r ON r.word = f.word AND r.next IS NULL
 """
