@@ -47,31 +47,40 @@ def cost(length, hidden: int = HIDDEN):
 
 def token_rests(docs: DataFrame, tokenizer: str | None = None, sequence: int = SEQUENCE) -> DataFrame:
     """``(doc_id, doc_tokens, start, length, crc, ids)`` for the whole sequences (without
-    ids) and the rest of every row; ``ids`` are little-endian unsigned 32-bit integers."""
+    ids) and the rest of every row; ``ids`` are little-endian unsigned 16-bit integers, or
+    32-bit ones where the vocabulary is larger than that."""
     path = tokenizer or default_tokenizer()
-    fields = [("start", pa.int64()), ("length", pa.int64()), ("crc", pa.int64()), ("ids", pa.binary())]
-    kind = pa.list_(pa.struct(fields))
     end = np.array([END], "<u4").tobytes()
 
-    @F.arrow_udf("array<struct<start:bigint,length:bigint,crc:bigint,ids:binary>>")
+    @F.arrow_udf("array<struct<doc_tokens:bigint,start:bigint,length:bigint,crc:bigint,ids:binary>>")
     def pieces(texts: pa.Array) -> pa.Array:
-        tok, out = worker_tokenizer(path), []
+        tok = worker_tokenizer(path)
+        kind = id_type(tok)
+        total, starts, lengths, crcs, ids, ends = [], [], [], [], [], [0]
         for part in batches(texts.cast(pa.large_binary()).to_pylist()):
             for raw in tok.ids(part):
                 raw += end
                 n = len(raw) // 4
-                rows = []
                 for s in range(0, n, sequence):
-                    own = raw[4 * s:4 * (s + sequence)]
-                    rows.append({"start": s, "length": len(own) // 4, "crc": zlib.crc32(own),
-                                 "ids": own if len(own) < 4 * sequence else None})
-                out.append(rows)
-        return pa.array(out, kind)
+                    own = raw[4 * s:4 * (s + sequence)] if n > sequence else raw
+                    total.append(n)
+                    starts.append(s)
+                    lengths.append(len(own) // 4)
+                    crcs.append(zlib.crc32(own))
+                    whole = len(own) == 4 * sequence
+                    ids.append(None if whole else own if kind == "<u4" else np.frombuffer(own, "<u4").astype(kind).tobytes())
+                ends.append(len(starts))
+        longs = [pa.array(x, pa.int64()) for x in (total, starts, lengths, crcs)]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(
+            [*longs, pa.array(ids, pa.binary())], names=["doc_tokens", "start", "length", "crc", "ids"]))
 
-    p = F.explode("pieces").alias("p")
-    return (docs.select("doc_id", pieces(F.col("text")).alias("pieces"))
-            .withColumn("doc_tokens", F.element_at("pieces", -1)["start"] + F.element_at("pieces", -1)["length"])
-            .select("doc_id", "doc_tokens", p).select("doc_id", "doc_tokens", "p.*"))
+    return (docs.select("doc_id", F.explode(pieces(F.col("text"))).alias("p"))
+            .select("doc_id", "p.doc_tokens", "p.start", "p.length", "p.crc", "p.ids"))
+
+
+def id_type(tok) -> str:
+    """How a tokenizer's ids are kept: in two bytes where they fit."""
+    return "<u2" if tok.full.get_vocab_size() <= 1 << 16 else "<u4"
 
 
 class Sequences:
@@ -177,8 +186,9 @@ def _packer(capacity: int, round_: int, last: bool, hidden: int):
         whole = pdf["length"].to_numpy()[item]
         ids, crc = out["ids"].tolist(), out["crc"].to_numpy().copy()
         for k in np.flatnonzero(n < whole).tolist():
-            ids[k] = ids[k][4 * frm[k]:4 * (frm[k] + n[k])]
-            crc[k] = zlib.crc32(ids[k])
+            width = len(ids[k]) // int(whole[k])
+            ids[k] = ids[k][width * frm[k]:width * (frm[k] + n[k])]
+            crc[k] = zlib.crc32(np.frombuffer(ids[k], f"<u{width}").astype("<u4").tobytes())
         out["crc"] = crc
         out["ids"] = [None if s >= 0 else x for x, s in zip(ids, seq.tolist())]
         out["sequence_id"] = np.where(seq < 0, -1, (round_ << 56) + (part << 20) + seq)
