@@ -26,20 +26,33 @@ def word_count(col):
     return F.coalesce(F.regexp_count(col, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def ranged(df: DataFrame, order: list, *sums) -> tuple[DataFrame, list]:
+    """``df`` dealt by range in the given total order and written with a ``_id`` whose upper part
+    numbers the ranges and whose lower 33 bits number the rows of a range; and for each
+    range its first row's position and the aggregates ``sums`` (a row per range)."""
+    parts = shuffle_partitions(df.sparkSession)
+    out = staged(df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+                 .withColumn("_id", F.monotonically_increasing_id()), "ranged")
+    each = out.groupBy(F.shiftright("_id", 33).alias("_part")).agg(F.count(F.lit(1)).alias("_n"), *sums).collect()
+    starts, at = [], 0
+    for r in sorted(each):
+        starts.append((r["_part"], at, *r[1:]))
+        at += r["_n"]
+    return out, starts
+
+
+def position(df: DataFrame, starts: list, name: str = "rank") -> DataFrame:
+    """The rows of ``ranged`` with their 0-based positions."""
+    table = df.sparkSession.createDataFrame([s[:2] for s in starts], "_part long, _start long")
+    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_start")
+    return (df.join(F.broadcast(table), F.shiftright("_id", 33) == F.col("_part"))  # a row per range
+            .withColumn(name, place).drop("_id", "_part", "_start"))
+
+
 def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     """Add the 0-based position of each row in the given total order.
 
     The rows are dealt by range, numbered inside each range in sorted order and
-    shifted by the ranges' row counts: no task sees more than its own range. A row's
-    number inside its range is the lower part of its monotonically increasing id.
+    shifted by the ranges' row counts: no task sees more than its own range.
     """
-    parts = shuffle_partitions(df.sparkSession)
-    ranged = staged(df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-                    .withColumn("_id", F.monotonically_increasing_id()), "ranged")
-    part = F.shiftright("_id", 33)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).select(
-        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # one row per range
-    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_start")
-    return (ranged.join(F.broadcast(starts), part == F.col("_part")).withColumn(name, place)
-            .drop("_id", "_part", "_start"))
+    return position(*ranged(df, order), name)

@@ -1,9 +1,12 @@
 """Mixing: targets against a plain redistribution, exact quotas, and odd rows."""
 
 from collections import defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from donorlens.llm import mixing, queries
 from donorlens.llm.common import documents
@@ -96,4 +99,49 @@ def test_very_long_documents_do_not_end_the_cut(spark):
         assert all(0 <= s < mixing.SHARDS for s in r["shards"])
     for s in target:
         assert abs(target[s] - taken[s]) <= 30, (s, target[s], taken[s])
-    assert all(len(c) == 1 for c in alike.values())  # exact repeats are taken alike
+    assert all(max(c) - min(c) <= 1 for c in alike.values())  # equal rows differ by at most one
+
+
+def test_equal_rows_have_places_of_their_own(spark):
+    """A source of 900 equal rows without id misses its target by less than one of them."""
+    rows = [(None, "w " * 10, "a")] * 900 + [(i, "w " * 10, "a") for i in range(100)]
+    rows += [(i, "w " * 10, "b") for i in range(1000)] + [(7, "w " * 3, None)] * 5000
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mixing.mixture(df).select("row.source", "row.doc_id", "size", "target", "copies", "shards", "h").collect()
+    taken, target, shards = defaultdict(int), {}, defaultdict(int)
+    for r in mix:
+        taken[r["source"]] += r["size"] * r["copies"]
+        target[r["source"]] = r["target"]
+        for s in r["shards"]:
+            shards[s] += r["size"]
+    assert all(abs(target[s] - taken[s]) < 10 for s in target), (target, taken)
+    assert len({r["h"] for r in mix}) == len(mix)
+    assert max(shards.values()) < 1.3 * min(shards.values())  # equal rows are dealt to all shards
+    again = mixing.mixture(df.repartition(3)).select("row.source", "row.doc_id", "size", "target", "copies", "shards", "h")
+    assert sorted(map(repr, mix)) == sorted(map(repr, again.collect()))
+
+
+def test_many_equal_rows_are_numbered_in_buckets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", 7)
+    df = spark.createDataFrame([(1, "a b", "s")] * 100 + [(2, "a b", "s")] * 50 + [(3, "c d", "t")] * 10,
+                               "doc_id long, text string, source string")
+    check(mixing.mixture(df).select("row.source", "size", "source_size", "target", "copies", "shards").collect())
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 50), max_size=9), st.floats(0, 300))
+def test_nearest_sum_equals_all_choices(sizes, left):
+    got = mixing.nearest_sum(left, sizes)
+    best = min(abs(sum(c) - round(left)) for k in range(len(sizes) + 1) for c in combinations(sizes, k))
+    assert len(set(got)) == len(got) and abs(sum(sizes[i] for i in got) - round(left)) == best
+
+
+def test_jobs_do_not_grow_with_the_input(spark, sf):
+    """The number of Spark jobs, stages that adaptive execution runs as jobs included."""
+    jobs = []
+    for docs in (documents(spark, sf), documents(spark, sf).limit(20)):
+        scheduler = spark.sparkContext._jsc.sc().dagScheduler()
+        before = scheduler.nextJobId()
+        mixing.mixture(docs).write.format("noop").mode("overwrite").save()
+        jobs.append(scheduler.nextJobId() - before)
+    assert max(jobs) <= 30, jobs
