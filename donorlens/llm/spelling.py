@@ -42,9 +42,10 @@ LETTERS = r"A-Za-zÀ-ÿ"
 LEAST_LETTERS = 7
 LEAST_COUNT = 2
 RATIO = 10
-CELL = 8192
+CELL = 65536
 BLOCK = 65536
-LEAF = 24
+LEAF = 16
+WIDTH = 64
 DIMS = 96
 MISSPELL = 31
 
@@ -78,19 +79,13 @@ def word_counts(docs: DataFrame, least: int = LEAST_LETTERS, least_count: int =
 
 # ---- the trees over all words -----------------------------------------------
 
+_NONE, _SHUT = "", "-"  # no letter used up by the way yet; none to be had
+_WAYS = {_NONE: -1, _SHUT: -2}
 
-def _vector():
-    """The non-zero letter counts of a word, by dimension."""
-    codes = F.transform(F.split("word", ""), F.ascii)  # a character's code point
-    place = F.transform(codes, lambda c: F.when((c >= 97) & (c < 123), c - 97).otherwise(26 + c.bitwiseAND(F.lit(63))))
-    return F.transform(F.array_distinct(place), lambda d: F.struct(
-        d.alias("letter"), F.size(F.filter(place, lambda x: x == d)).alias("c")))
 
-
-def _count_of(letter: str) -> Column:
-    """How often the split letter occurs in the row's word."""
-    own = F.filter("vec", lambda e: e["letter"] == F.col(letter))
-    return F.when(F.size(own) > 0, F.get(own, F.lit(0))["c"]).otherwise(F.lit(0))
+def _count_of(letter) -> Column:
+    """How often the letter occurs in the row's word."""
+    return F.length("word") - F.length(F.replace("word", letter, F.lit("")))
 
 
 def _splits(points: DataFrame, cell: int) -> DataFrame:
@@ -98,8 +93,9 @@ def _splits(points: DataFrame, cell: int) -> DataFrame:
     times the letter go left. Nodes of equal vectors have none."""
     sizes = points.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > cell)
     sizes = staged(sizes, "sizes")
-    held = points.join(sizes, ["tree", "node"]).select("tree", "node", "size", F.explode("vec").alias("e"))
-    counts = held.groupBy("tree", "node", "size", F.col("e.letter").alias("letter"), F.col("e.c").alias("c")).agg(
+    held = points.join(sizes, ["tree", "node"]).select(
+        "tree", "node", "size", "word", F.explode(F.array_distinct(F.split("word", ""))).alias("letter"))
+    counts = held.groupBy("tree", "node", "size", "letter", _count_of(F.col("letter")).alias("c")).agg(
         F.count(F.lit(1)).alias("k"))
     # a letter has few different counts: their totals fit one row
     per = counts.groupBy("tree", "node", "size", "letter").agg(F.collect_list(F.struct("c", "k")).alias("ks"))
@@ -115,7 +111,7 @@ def _splits(points: DataFrame, cell: int) -> DataFrame:
 
 def _moved(points: DataFrame, splits: DataFrame) -> DataFrame:
     """Words of split nodes one level down."""
-    right = _count_of("letter") > F.col("cut")
+    right = _count_of(F.col("letter")) > F.col("cut")
     return points.join(splits, ["tree", "node"], "left").withColumn(
         "node", F.when(F.col("letter").isNull(), F.col("node")).otherwise(
             2 * F.col("node") + F.when(right, 1).otherwise(0))).drop("letter", "cut")
@@ -125,38 +121,39 @@ def _searched(searches: DataFrame, splits: DataFrame) -> DataFrame:
     """Searches one level down: on their own side, and on the other where one letter more or less reaches it.
 
     ``more`` / ``less``: the letter that the way so far needs once more / once
-    less than the word has (-1: none yet, -2: not to be had at all).
+    less than the word has.
     """
-    c, a = _count_of("letter"), F.col("letter")
-    gain = (F.col("more") == -1) | (F.col("more") == a)
-    loss = (F.col("less") == -1) | (F.col("less") == a)
+    met = searches.join(splits, ["tree", "node"], "left").withColumn("c", _count_of(F.col("letter")))
+    c, a, cut, more, less = (F.col(x) for x in ("c", "letter", "cut", "more", "less"))
 
     def way(child: int, more, less) -> Column:
         return F.struct((2 * F.col("node") + child).alias("node"), more.alias("more"), less.alias("less"))
 
-    left = F.when((c <= F.col("cut")) & (F.col("more") != a), way(0, F.col("more"), F.col("less"))) \
-        .when((c <= F.col("cut")) & (c + 1 <= F.col("cut")), way(0, F.col("more"), F.col("less"))) \
-        .when((c == F.col("cut") + 1) & loss, way(0, F.col("more"), a))
-    right = F.when((c > F.col("cut")) & (F.col("less") != a), way(1, F.col("more"), F.col("less"))) \
-        .when((c > F.col("cut")) & (c - 1 > F.col("cut")), way(1, F.col("more"), F.col("less"))) \
-        .when((c == F.col("cut")) & gain, way(1, a, F.col("less")))
+    left = F.when((c <= cut) & ((more != a) | (c + 1 <= cut)), way(0, more, less)) \
+        .when((c == cut + 1) & less.isin(_NONE, a), way(0, more, a))
+    right = F.when((c > cut) & ((less != a) | (c - 1 > cut)), way(1, more, less)) \
+        .when((c == cut) & more.isin(_NONE, a), way(1, a, less))
     ways = F.when(a.isNull(), F.array(F.struct("node", "more", "less"))).otherwise(F.array_compact(F.array(left, right)))
-    return searches.join(splits, ["tree", "node"], "left").withColumn("w", F.explode(ways)).select(
-        "word", "vec", "tree", "w.node", "w.more", "w.less")
+    return met.withColumn("w", F.explode(ways)).select("word", "tree", "w.node", "w.more", "w.less")
 
 
 # ---- within a cell ------------------------------------------------------------
 
 
-def _vectors(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Count vectors of words, and the sets of their letters as bits (letters may share one)."""
-    vec = np.zeros((len(words), DIMS), np.int16)
-    for k, w in enumerate(words):
-        vec[k] = np.bincount(dimension(np.frombuffer(w.encode("utf-32-le"), "<u4").astype(np.int64)), minlength=DIMS)
+def _vectors(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of words their letter codes (0 behind the end), lengths, count vectors, and sets of letters as bits (letters may share one)."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    code = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
+    row = np.repeat(np.arange(len(words)), size)
+    vec = np.bincount(row * DIMS + dimension(code), minlength=len(words) * DIMS).reshape(-1, DIMS).astype(np.int16)
     bits = np.zeros(len(words), np.uint64)
     for d in range(DIMS):
         bits |= (vec[:, d] > 0).astype(np.uint64) << np.uint64(d % 64)
-    return vec, bits
+    codes = np.zeros((len(words), min(int(size.max(initial=0)) + 1, WIDTH)), np.uint32)
+    at = np.arange(len(code)) - np.repeat(size.cumsum() - size, size)
+    short = at < codes.shape[1]
+    codes[row[short], at[short]] = code[short]
+    return codes, size, vec, bits
 
 
 def one_edit(a: str, b: str) -> bool:
@@ -169,6 +166,16 @@ def one_edit(a: str, b: str) -> bool:
     return a[k + 1:] == b[k + 1:] if len(a) == len(b) else a[k:] == b[k + 1:]
 
 
+def one_edits(a: np.ndarray, b: np.ndarray, change: int) -> np.ndarray:
+    """``one_edit`` for rows of letter codes, those of ``b`` longer than those of ``a`` by ``change`` (-1, 0 or 1) letters."""
+    if not change:
+        return (a != b).sum(1) == 1
+    short, long = (a, b) if change > 0 else (b, a)
+    short = short[:, :-1]
+    behind = np.logical_or.accumulate(short != long[:, :-1], axis=1)  # where they part, the longer is one letter on
+    return (~behind | (short == long[:, 1:])).all(1)
+
+
 class CellTree:
     """A k-d tree in memory: per node a split (letter, cut), or a leaf's run of words."""
 
@@ -244,18 +251,29 @@ def _cell_search(points: pa.Table, searches: pa.Table) -> pa.Table:
     """Per search of a cell's block: how many of the cell's words are near, and the best of them."""
     points = sorted(zip(points["n"].to_pylist(), points["word"].to_pylist()), key=lambda p: (-p[0], p[1]))
     texts, asked = [w for _, w in points], searches["asked"].to_pylist()  # a lower number is a better word
-    vec, bits = _vectors(texts)
-    q_vec, q_bits = _vectors(asked)
+    codes, size, vec, bits = _vectors(texts)
+    q_codes, q_size, q_vec, q_bits = _vectors(asked)
+    width = max(codes.shape[1], q_codes.shape[1])
+    codes, q_codes = (np.pad(c, ((0, 0), (0, width - c.shape[1]))) for c in (codes, q_codes))
     near = np.zeros(len(asked), np.int64)
     best = np.full(len(asked), len(texts), np.int64)
-    for q, p in CellTree(vec).reached(q_vec, searches["gain"].to_numpy(), searches["loss"].to_numpy()):
+    letters = {x: _WAYS.get(x) or int(dimension(np.array(ord(x)))) for c in ("gain", "loss") for x in set(searches[c].to_pylist())}
+    more, less = (np.array([letters[x] for x in searches[c].to_pylist()], np.int64) for c in ("gain", "loss"))
+    for q, p in CellTree(vec).reached(q_vec, more, less):
         close = np.bitwise_count(q_bits[q] ^ bits[p]) <= 2  # one letter more, one less
         q, p = q[close], p[close]
-        close = np.abs(q_vec[q] - vec[p]).sum(1) <= 2
-        for i, j in zip(q[close].tolist(), p[close].tolist()):
-            if one_edit(asked[i], texts[j]):
-                near[i] += 1
-                best[i] = min(best[i], j)
+        if width >= WIDTH:  # verifying long words costs more than comparing their vectors
+            close = np.abs(q_vec[q] - vec[p]).sum(1, dtype=np.int16) <= 2
+            q, p = q[close], p[close]
+        for change in (-1, 0, 1):
+            own = np.flatnonzero(size[p] - q_size[q] == change)
+            i, j = q[own], p[own]
+            if width < WIDTH:
+                hit = one_edits(q_codes[i], codes[j], change)
+            else:  # words too long to lie side by side
+                hit = np.array([one_edit(asked[x], texts[y]) for x, y in zip(i.tolist(), j.tolist())], bool)
+            np.add.at(near, i[hit], 1)
+            np.minimum.at(best, i[hit], j[hit])
     found = np.flatnonzero(near).tolist()
     return pa.table([[asked[i] for i in found], near[found], [points[best[i]][0] for i in found],
                      [points[best[i]][1] for i in found]], schema=_NEAR)
@@ -265,14 +283,12 @@ def near_words(words: DataFrame, cell: int = CELL, block: int = BLOCK) -> DataFr
     """``words(word, n)``, distinct words -> ``(word, n_near, best_n, best)`` for the words that have a
     near one; ``best`` is the near word of largest ``n`` (ties: the smallest by code points)."""
     tasks = shuffle_partitions(words.sparkSession)
-    points = staged(words.select("word", "n", _vector().alias("vec"), F.length("word").alias("tree"))
-                    .withColumn("node", F.lit(1).cast("long")), "points")
-    own = points.select("word", "vec", F.col("tree").alias("size"))
-    free, shut = F.lit(-1), F.lit(-2)
-    kinds = F.array(*[F.struct((F.col("size") + d).alias("tree"), m.alias("more"), s.alias("less"))
+    points = words.select("word", "n", F.length("word").alias("tree"), F.lit(1).cast("long").alias("node"))
+    free, shut = F.lit(_NONE), F.lit(_SHUT)
+    kinds = F.array(*[F.struct((F.length("word") + d).alias("tree"), m.alias("more"), s.alias("less"))
                       for d, m, s in ((-1, shut, free), (0, free, free), (1, free, shut))])
-    searches = own.withColumn("k", F.explode(kinds)).select(
-        "word", "vec", "k.tree", F.lit(1).cast("long").alias("node"), "k.more", "k.less")
+    searches = words.withColumn("k", F.explode(kinds)).select(
+        "word", "k.tree", F.lit(1).cast("long").alias("node"), "k.more", "k.less")
     searches = searches.join(points.select("tree").distinct(), "tree", "left_semi")
     while True:
         splits = staged(_splits(points, cell), "splits")
