@@ -94,11 +94,14 @@ def box_stats(df: DataFrame, col: str, method: str = "tukey", coef: float = 1.5)
     ``tukey`` = ``boxplot()`` (hinges of ``fivenum``), ``type7`` = ggplot's
     ``geom_boxplot`` (type-7 quartiles). Whiskers reach the most extreme values
     within ``coef`` x IQR of the box; everything beyond is counted as outlier.
+    A column without values gives one row of nulls and two counts of 0.
     """
     vc = column_counts(df, {col: F.col(col)}).filter("v is not null")
     n = vc.agg(F.sum("c")).collect()[0][0] or 0
     if n == 0:
-        raise ValueError("no values")
+        return df.sparkSession.createDataFrame([(0, None, None, None, None, None, 0)], (
+            "n long, lower_whisker double, lower_hinge double, median double, upper_hinge double, upper_whisker double, "
+            "n_out long"))
     at = tukey_positions(n)[1:4] if method == "tukey" else type7_positions(n, (0.25, 0.5, 0.75))
     lo, med, hi = column_quantiles(vc, {col: at})[col]
     iqr = hi - lo

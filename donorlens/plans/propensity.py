@@ -100,6 +100,12 @@ def logit_fit_stats(spark, sf):
     return md.logit_fit_stats(m)
 
 
+def logit_firth_coefficients(spark, sf):
+    """The regression by penalised likelihood, which is finite whatever the data."""
+    train, _, s = _prep(spark, sf)
+    return md.firth_coefficients(md.fit_firth(train, md.formula_predictors(train, s)))
+
+
 def logit_metrics(spark, sf):
     m, train, test, _ = logit_fit(spark, sf)
     tr = md.scored_metrics(materialize(md.logit_scores(m, train, "train"))).withColumn("split", F.lit("train"))
@@ -137,14 +143,35 @@ def rf_gini_importance(spark, sf):
 
 
 def rf_permutation_importance(spark, sf):
-    m, train, test, preds = forest_fit(spark, sf)
-    return md.permutation_importance(m, test, preds)
+    m, *_ = forest_fit(spark, sf)
+    return md.permutation_importance(m)
+
+
+def rf_bags(spark, sf):
+    """Draws and rows of each tree's bag."""
+    train, _, s = _prep(spark, sf)
+    return md.bags(train, [v.format(s=s) for v in md.RAW_FOREST_VARS])
+
+
+def rf_oob_votes(spark, sf):
+    m, *_ = forest_fit(spark, sf)
+    return md.out_of_bag_votes(m)
+
+
+def rf_oob_error(spark, sf):
+    return md.error_rates(rf_oob_votes(spark, sf), "oob")
+
+
+def rf_oob_confusion(spark, sf):
+    """Confusion table and statistics of the out-of-bag classes of the training rows."""
+    return _confusion(materialize(rf_oob_votes(spark, sf)))
 
 
 def rf_oof_error(spark, sf):
+    """Errors of 5-fold predictions by forests that did not see the fold."""
     train, test, s = _prep(spark, sf)
     preds = [v.format(s=s) for v in md.RAW_FOREST_VARS]
-    return md.out_of_fold_error(md.out_of_fold_predictions(train, preds))
+    return md.error_rates(md.out_of_fold_predictions(train, preds), "oof")
 
 
 def _confusion(predictions):
@@ -213,6 +240,28 @@ def logit_smote_coefficients(spark, sf):
     return md.logit_coefficients(m)
 
 
+def logit_smote_fit_stats(spark, sf):
+    m, *_ = _smote_logit(spark, sf)
+    return md.logit_fit_stats(m)
+
+
+def _smote_firth(spark, sf):
+    bal, test, s = smote_train(spark, sf)
+    bal = bal.drop("origin")
+    return md.fit_firth(bal, md.formula_predictors(bal, s)), bal, test
+
+
+def logit_smote_firth_coefficients(spark, sf):
+    m, *_ = _smote_firth(spark, sf)
+    return md.firth_coefficients(m)
+
+
+def logit_smote_firth_scores(spark, sf):
+    """Penalised regression on the balanced set, the set that can be separated: scores on train and test."""
+    m, bal, test = _smote_firth(spark, sf)
+    return _union(md.firth_scores(m, bal, "smote_train"), md.firth_scores(m, test, "test"))
+
+
 def logit_smote_metrics(spark, sf):
     """AUC, confusion table and statistics of the regression on the balanced set, on train and test."""
     m, bal, test = _smote_logit(spark, sf)
@@ -232,8 +281,18 @@ def rf_smote_gini_importance(spark, sf):
 
 
 def rf_smote_permutation_importance(spark, sf):
-    m, bal, test, preds, _ = _smote_forest(spark, sf)
-    return md.permutation_importance(m, test, preds)
+    m, *_ = _smote_forest(spark, sf)
+    return md.permutation_importance(m)
+
+
+def rf_smote_oob_error(spark, sf):
+    m, *_ = _smote_forest(spark, sf)
+    return md.error_rates(md.out_of_bag_votes(m), "oob")
+
+
+def rf_smote_oob_confusion(spark, sf):
+    m, *_ = _smote_forest(spark, sf)
+    return _confusion(materialize(md.out_of_bag_votes(m)))
 
 
 def _smote_out_of_fold(spark, sf):
@@ -243,7 +302,7 @@ def _smote_out_of_fold(spark, sf):
 
 
 def rf_smote_oof_error(spark, sf):
-    return md.out_of_fold_error(_smote_out_of_fold(spark, sf))
+    return md.error_rates(_smote_out_of_fold(spark, sf), "oof")
 
 
 def rf_smote_oof_confusion(spark, sf):
@@ -266,7 +325,7 @@ def pdp_count(spark, sf):
     """Partial dependence on count_<program>: run on the first forest, which has it."""
     m, train, test, preds = forest_fit(spark, sf)
     s = [p for p in preds if p.startswith("count_")][0]
-    return md.partial_dependence(m, train, s, preds)
+    return md.partial_dependence(m, train, s)
 
 
 def pdp_grid(spark, sf):
@@ -276,9 +335,9 @@ def pdp_grid(spark, sf):
 
 def pdp_dist_cards(spark, sf):
     m, bal, test, preds, _ = _smote_forest(spark, sf)
-    return md.partial_dependence(m, bal, "dist_cards", preds)
+    return md.partial_dependence(m, bal, "dist_cards")
 
 
 def pdp_yrs_donated(spark, sf):
     m, bal, test, preds, _ = _smote_forest(spark, sf)
-    return md.partial_dependence(m, bal, "yrs_donated", preds)
+    return md.partial_dependence(m, bal, "yrs_donated")

@@ -87,12 +87,12 @@ def test_forest_importance_and_pdp_follow_signal(spark):
     m = md.fit_forest(df, preds, n_trees=20, max_depth=6)
     gini = {r["variable"]: r["mean_decrease_gini"] for r in md.forest_gini_importance(m).collect()}
     assert max(gini, key=gini.get) == "x"
-    perm = {r["variable"]: r["mean_decrease_accuracy"] for r in md.permutation_importance(m, df, preds).collect()}
+    perm = {r["variable"]: r["mean_decrease_accuracy"] for r in md.permutation_importance(m).collect()}
     assert max(perm, key=perm.get) == "x"
-    pdp = sorted((r["value"], r["yhat"]) for r in md.partial_dependence(m, df, "x", preds).collect())
+    pdp = sorted((r["value"], r["yhat"]) for r in md.partial_dependence(m, df, "x").collect())
     assert len(pdp) == 51 and pdp[-1][1] > pdp[0][1] + 0.5
     with pytest.raises(ValueError):
-        md.partial_dependence(m, df, "not_there", preds)
+        md.partial_dependence(m, df, "not_there")
 
 
 def test_smote_counts_parents_and_exact_neighbours(spark):
@@ -192,10 +192,10 @@ def test_partial_dependence_grid_has_equal_steps(spark):
     df = _signal_set(spark).withColumn("k", F.floor(F.col("x") * 150).cast("int")).withColumn(
         "u", F.when(F.col("x") < 0.3, 0).when(F.col("x") < 0.6, 1).otherwise(100))
     m = md.fit_forest(df, ["k", "u"], n_trees=5, max_depth=4)
-    grid = sorted(r["value"] for r in md.partial_dependence(m, df, "k", ["k", "u"]).collect())
+    grid = sorted(r["value"] for r in md.partial_dependence(m, df, "k").collect())
     lo, hi = df.agg(F.min("k"), F.max("k")).first()
     assert grid == pytest.approx([lo + (hi - lo) * i / 50 for i in range(51)])
-    grid = sorted(r["value"] for r in md.partial_dependence(m, df, "u", ["k", "u"]).collect())
+    grid = sorted(r["value"] for r in md.partial_dependence(m, df, "u").collect())
     assert grid == pytest.approx([0, 50, 100])
 
 
