@@ -4,6 +4,10 @@
 returns a DataFrame. ``run`` writes every stage's result as Parquet below the
 shared checkpoint folder and gives it to the next stage. All stages but the
 last return the columns of ``documents``; the last returns the packed pieces.
+
+Nulls in any column, empty and very long texts, repeated rows, an empty table and
+further columns are handled by each stage's operator as its docstring says: no
+stage fails on them, and a row without id or text is a row like any other.
 """
 
 from __future__ import annotations

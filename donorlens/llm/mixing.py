@@ -305,7 +305,8 @@ def mixed_documents(docs: DataFrame, shards: int = SHARDS, lanes: int | None = N
     """The mix itself: each row as often as it is taken, dealt to its shards and there
     in random order; the columns of ``docs``. A shard is dealt in ``lanes`` parts, by
     default as many as spread all shards evenly over the session's shuffle
-    partitions, so no task's share depends on the number of shards."""
+    partitions, so no task's share depends on the number of shards. Nulls, empty
+    texts and repeated rows are taken as ``mixture`` says; no row gives no row."""
     lanes = lanes or -(-8 * shuffle_partitions(docs.sparkSession) // shards)
     taken = mixture(docs, shards, **kw).withColumn("shard", F.explode("shards"))
     taken = taken.withColumn("order", F.xxhash64(F.lit(SEED + 1), "h", "shard"))

@@ -94,7 +94,9 @@ FROM f
 
 
 def op6_suffix_array_family(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixfamily.remove_repeats(documents(spark, sf_dir))
+    # the text that remains, halves of characters left out
+    cut = suffixfamily.remove_repeats(documents(spark, sf_dir))
+    return cut.withColumn("text", suffixfamily.as_text(F.col("kept"))).drop("kept")
 
 
 def op8_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

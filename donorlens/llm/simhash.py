@@ -241,28 +241,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     own = staged(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col), k).alias("fp")),
                  "fingerprints")
-    rep = staged(own.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
+    rep = staged(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    of = _least_of_component(rep, radius, blocks, tree_rows)
+    return own.join(of, "fp").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
+
+
+def _least_of_component(rep: DataFrame, radius: int, blocks: int = BLOCKS, tree_rows: int = TREE_ROWS) -> DataFrame:
+    """``rep(fp, least)``, one row per fingerprint, with the smallest ``least`` of each fingerprint's component."""
     comp = connected_components(fingerprint_links(rep.select("fp"), radius, blocks, tree_rows))
-    # only linked fingerprints need another component than their own smallest id
+    # only linked fingerprints need another value than their own
     linked = comp.select(F.col("vertex").alias("fp"), "root").union(
         comp.select(F.col("root").alias("fp"), "root").distinct())
-    least = (linked.join(rep, "fp").groupBy("root").agg(F.min("least_id").alias("least_of_root")))
+    least = linked.join(rep, "fp").groupBy("root").agg(F.min("least").alias("least_of_root"))
     moved = linked.join(least, "root").select("fp", "least_of_root", F.lit(True).alias("linked"))
-    # written out, so that both sides of the last join have a plain exchange and AQE can split a hot fingerprint
-    of = staged(rep.join(moved, "fp", "left").select(
-        "fp", F.when(F.col("linked"), F.col("least_of_root")).otherwise(F.col("least_id")).alias("component_id")),
-        "components")
-    return own.join(of, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # written out, so that both sides of the next join have a plain exchange and AQE can split a hot fingerprint
+    return staged(rep.join(moved, "fp", "left").select(
+        "fp", F.when(F.col("linked"), F.col("least_of_root")).otherwise(F.col("least")).alias("least")), "components")
 
 
 def keep_one(docs: DataFrame, k: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: that of the smallest id.
+    """``docs`` with one row of each near-duplicate group: that of the smallest id, rows without id last,
+    of several with that id the one of the smallest text hash.
 
-    Rows that repeat a kept id are kept once. A row without id is kept, as
-    nothing can name it in a group.
+    Rows that repeat an id with other texts are rows of their own groups. Exact
+    repeats of the row that stays are kept once; where they differ in further
+    columns, the smallest values stay. Null and wordless texts form a group. An
+    empty table gives no row.
     """
-    groups = near_duplicates(docs, k=k, radius=radius)
-    keep = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    texts = docs.select("doc_id", "text")
+    own = staged(texts.select("doc_id", F.xxhash64("text").alias("th"), fingerprint_column(F.col("text"), k).alias("fp")),
+                 "fingerprints")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th")
+    rep = staged(own.groupBy("fp").agg(F.min(place).alias("least")), "distinct")
+    stays = _least_of_component(rep, radius).select("least.doc_id", "least.th").distinct()
+    stays = stays.select(F.col("doc_id").alias("s_id"), F.col("th").alias("s_th"))
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       F.xxhash64("text").alias("th"), F.col("doc_id").alias("id")).join(
+        stays, F.col("id").eqNullSafe(F.col("s_id")) & (F.col("th") == F.col("s_th")), "left_semi")
+    return kept.groupBy("id", "th").agg(F.min("row").alias("row")).select("row.*")

@@ -292,32 +292,42 @@ def _hot_runs(contexts: DataFrame) -> DataFrame:
 
 
 def _cut_text():
-    @F.arrow_udf("struct<n_bytes:bigint,n_removed:bigint,n_spans:bigint,kept_sha256:string>")
+    @F.arrow_udf("struct<n_bytes:bigint,n_removed:bigint,n_spans:bigint,kept_sha256:string,kept:binary>")
     def cut(zipped: pa.Array, spans: pa.Array) -> pa.Array:
         import zstandard
 
         z, out = zstandard.ZstdDecompressor(), []
         for data, ss in zip(zipped.to_pylist(), spans.to_pylist()):
             t = z.decompress(data)
-            kept, at, n_spans = hashlib.sha256(), 0, 0
+            kept, n_spans = [], 0
             end, removed = -1, 0
             for s in sorted((s["start"], s["end"]) for s in ss or ()):
                 if s[0] > end:  # spans that touch are one run
-                    kept.update(t[max(end, 0):s[0]])
+                    kept.append(t[max(end, 0):s[0]])
                     n_spans += 1
                     removed += s[1] - s[0]
                     end = s[1]
                 elif s[1] > end:
                     removed += s[1] - end
                     end = s[1]
-            kept.update(t[max(end, 0):])
-            out.append({"n_bytes": len(t), "n_removed": removed, "n_spans": n_spans, "kept_sha256": kept.hexdigest()})
+            rest = b"".join([*kept, t[max(end, 0):]])
+            out.append({"n_bytes": len(t), "n_removed": removed, "n_spans": n_spans,
+                        "kept_sha256": hashlib.sha256(rest).hexdigest(), "kept": rest})
         return pa.array(out, pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
-                                        ("kept_sha256", pa.string())]))
+                                        ("kept_sha256", pa.string()), ("kept", pa.binary())]))
 
     return cut(F.col("z"), F.col("spans"))
 
 
+def as_text(kept):
+    """Remaining bytes as text; bytes of characters that were cut through are left out."""
+    @F.arrow_udf("string")
+    def decode(data: pa.Array) -> pa.Array:
+        return pa.array([None if d is None else d.decode("utf-8", "ignore") for d in data.to_pylist()], pa.string())
+
+    return decode(kept)
+
+
 def repeated_spans(docs: DataFrame, batches: int = BATCHES, hot: int = HOT) -> DataFrame:
     """``(doc, size, spans)``: byte spans of repeated strings, for texts (by hash and
     size) that have any. Rows that repeat a text and id share one entry."""
@@ -359,7 +369,8 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES, hot: int = HOT) -> D
 
 
 def remove_repeats(docs: DataFrame, batches: int = BATCHES, hot: int = HOT) -> DataFrame:
-    """One row ``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` per row of ``docs``.
+    """One row ``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept)`` per row of ``docs``; ``kept``
+    holds the bytes that remain (a removed run may begin or end within a character).
 
     Exact copies of a text, also rows that repeat, are all removed where they
     are ``LENGTH`` bytes or longer: a string counts as repeated wherever it

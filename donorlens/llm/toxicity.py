@@ -159,7 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     ``labels(doc_id, toxic)``: rows with a null or other label are ignored. At
     most ``sample_rows`` rows of each class, those with the smallest hash of
-    their id, reach the driver; class sizes are counted over all labels.
+    their id, reach the driver (of an id on several rows the smallest text);
+    class sizes are counted over all labels.
     """
     known = (labels.filter(training_remainder(F.col("doc_id")) != 0).filter("toxic in (0, 1)")
              .select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct())
@@ -168,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
               for c in (0, 1)]
     sample = F.broadcast(picked[0].union(picked[1]))  # at most 2 * sample_rows rows
     rows = (docs.select("doc_id", "text").filter(F.length("text") <= SAMPLE_CHARS)
-            .join(sample, "doc_id").select("text", "toxic").collect())
+            .join(sample, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect())
     return fit([(r["text"], r["toxic"]) for r in rows], totals)
 
 
@@ -196,6 +197,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents that the classifier calls toxic."""
+    """``docs`` without the rows whose text the classifier calls toxic.
+
+    Repeated rows go or stay alike; null and empty texts and null ids stay unless a text without a
+    toxic window would go; without labels of both classes all stay if label 1 is the rarer. No row gives no row.
+    """
     model = train(docs, labels)
     return docs.filter(score_column(model, F.col("text")) < 0.5)

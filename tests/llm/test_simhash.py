@@ -100,3 +100,15 @@ def test_components_of_a_long_chain(spark):
     chain = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = components.connected_components(chain).collect()
     assert len(got) == 200 and {r["root"] for r in got} == {0}
+
+
+def test_one_row_of_each_group_whatever_its_id(spark):
+    """Equal ids on different texts are different rows; copies without id go; of equal rows one stays."""
+    text = "the quick brown fox jumps over the lazy dog near the river bank today " * 3
+    lone = "lonely text without any id at all here"
+    rows = [(1, text, "b"), (1, text, "a"), (1, text, "a"), (1, "wholly different words here indeed and more of them", "c"),
+            (None, text, "z"), (None, lone, "q"), (None, lone, "q"), (3, None, "f"), (4, " ", "g"), (None, "", "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = [(1, text, "a"), rows[3], (None, lone, "q"), (3, None, "f")]
+    for n in (1, 7):
+        assert sorted(map(repr, map(tuple, simhash.keep_one(df.repartition(n)).collect()))) == sorted(map(repr, want))

@@ -29,7 +29,10 @@ def check(docs, **kw):
     rows = docs.select("doc_id", "text").collect()
     want = sorted(((r["doc_id"], *b) for r, b in zip(rows, brute([r["text"] for r in rows]))), key=repr)
     got = suffixfamily.remove_repeats(docs, **kw)
-    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    for r in got.collect():  # the bytes that remain are the ones counted and hashed
+        assert hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] and len(r["kept"]) == r["n_bytes"] - r["n_removed"]
+    got = got.drop("kept")
     assert sorted((tuple(r) for r in got.collect()), key=repr) == want
 
 
