@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from donorlens.functions import date_as_number, na_sum
 from donorlens.plans import features as ft
 from donorlens.plans.features import DONOR, FEATURE_YEAR, RECENT_LITERAL, SENTINEL_DATE
-from donorlens.session import staged
+from donorlens.session import bucketed, staged
 
 # --- fixed values: the four modelled programs and their column suffixes ------
 PROGRAMS = {
@@ -217,6 +217,14 @@ def donor_base(spark: SparkSession, sf_dir: str, programs: dict | None = None, y
     The parts are joined on the donor: all have one row per donor and the same
     hash partitioning, so each is shuffled once, after its partial aggregation.
     """
+    parts = donor_parts(spark, sf_dir, programs, year, label_year, as_of_year, last_3_variant, pe)
+    return _joined(parts)
+
+
+def donor_parts(spark: SparkSession, sf_dir: str, programs: dict | None = None, year: int = FEATURE_YEAR,
+                label_year: int = LABEL_YEAR, as_of_year: int | None = None,
+                last_3_variant: str = "literal", pe: DataFrame | None = None) -> list[DataFrame]:
+    """The parts of the base table, each with one row per donor; the first has all donors."""
     pe = pe if pe is not None else ft.pay_events(spark, sf_dir)
     rows = payment_rows(pe, year)
     base = donor_sums(rows, programs if programs is not None else PROGRAMS, label_year, as_of_year)
@@ -224,10 +232,31 @@ def donor_base(spark: SparkSession, sf_dir: str, programs: dict | None = None, y
         base = base.drop("last_3").withColumnRenamed("last_3_recent", "last_3")
     else:
         base = base.drop("last_3_recent")
-    for part in (distinct_per_donor(rows, "dist_events", "prog"),
-                 distinct_per_donor(rows, "yrs_donated", F.year("d").alias("y")),
-                 distinct_per_donor(rows, "dist_cards", _card()),
-                 distinct_per_donor(rows, "paid_instances", "inst"),
-                 hosted(rows), usual_method(rows), ft.feat_instance_count(spark, sf_dir)):
+    return [base, distinct_per_donor(rows, "dist_events", "prog"),
+            distinct_per_donor(rows, "yrs_donated", F.year("d").alias("y")),
+            distinct_per_donor(rows, "dist_cards", _card()), distinct_per_donor(rows, "paid_instances", "inst"),
+            hosted(rows), usual_method(rows), ft.feat_instance_count(spark, sf_dir)]
+
+
+def _joined(parts: list[DataFrame]) -> DataFrame:
+    base, *others = parts
+    for part in others:
         base = base.join(part, DONOR, "left")
     return base
+
+
+def donor_tables(spark: SparkSession, sf_dir: str, programs: dict | None = None, buckets: int | None = None,
+                 **kw) -> list[DataFrame]:
+    """:func:`donor_parts` for all programs, written once as tables bucketed by donor, for use by many datasets."""
+    return [bucketed(p, DONOR, buckets) for p in donor_parts(spark, sf_dir, programs or PROGRAMS, **kw)]
+
+
+def program_datasets(tables: list[DataFrame], programs: dict | None = None) -> DataFrame:
+    """A6-A9 in one table: the dataset of every program, one after the other for each donor.
+
+    Joins of bucketed tables: no exchange, and one pass for all programs.
+    """
+    per = [F.struct(F.lit(p).alias("program"), F.col(f"total_amt_{s}").alias("total_amt"), F.col(f"count_{s}").alias("count"),
+                    F.col(f"status_{s}").cast("int").alias("status")) for p, s in (programs or PROGRAMS).items()]
+    base = _joined(tables).withColumn("p", F.explode(F.array(*per)))
+    return base.select("p.program", *ft.CONST_BASE_COLUMNS, "p.total_amt", "p.count", "total_donated", "total_count", "p.status")

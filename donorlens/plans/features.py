@@ -153,6 +153,38 @@ def feat_last_3(pe, year=FEATURE_YEAR, variant: str = "literal"):
             .agg(F.when(flag, 1).otherwise(0).alias("last_3")))
 
 
+# -- distinct counts of any window from stored sketches -----------------------------
+
+SKETCH_LG_K = 14  # 16384 registers: standard error 0.8 %; up to some hundreds of values counts are exact
+#: the columns of the distinct-count features
+SKETCHED = {"dist_events": "ProgramName", "paid_instances": "InstanceDetailSKey"}
+
+
+def donor_year_sketches(pe: DataFrame, columns: dict | None = None, lg_k: int = SKETCH_LG_K) -> DataFrame:
+    """``(donor, year, s_<feature>, na_<feature>, ...)``: a mergeable HyperLogLog sketch of each column per donor and
+    year, and whether a value is missing (a missing value counts as one). Payments without date have year null.
+
+    Stored once, it answers distinct counts of any span of years without the
+    payments; a new year only adds its own rows. Sketches merge on the map side, so
+    a hot donor is one small row per task.
+    """
+    aggs = []
+    for name, col in (columns or SKETCHED).items():
+        aggs += [F.hll_sketch_agg(col, lg_k).alias(f"s_{name}"), F.max(F.col(col).isNull()).alias(f"na_{name}")]
+    return (pe.filter(_not_sentinel("DonorConstituentID"))
+            .groupBy(F.col("DonorConstituentID").alias(DONOR), F.year("DonationDateSKey").alias("year")).agg(*aggs))
+
+
+def distinct_in_years(sketches: DataFrame, first: int | None = None, before: int | None = None) -> DataFrame:
+    """Approximate distinct counts per donor over the years ``first <= year < before`` (None: no bound), by union."""
+    own = sketches.filter("year is not null")
+    own = own.filter(F.col("year") >= first) if first is not None else own
+    own = own.filter(F.col("year") < before) if before is not None else own
+    names = [c[2:] for c in sketches.columns if c.startswith("s_")]
+    return own.groupBy(DONOR).agg(*[
+        (F.hll_sketch_estimate(F.hll_union_agg(f"s_{n}")) + F.max(f"na_{n}").cast("long")).alias(n) for n in names])
+
+
 CONST_BASE_COLUMNS = ["donor", "dist_events", "tenure", "yrs_donated", "dist_cards", "hosted_events",
                       "paid_instances", "participated_events", "pay_type", "last_3", "fail_ratio",
                       "instance_count"]

@@ -96,6 +96,25 @@ def staged(df, name: str = "table"):
     return spark.read.schema(schema).parquet(path)
 
 
+def bucketed(df, key: str, buckets: int | None = None):
+    """Write ``df`` as a table bucketed and sorted by ``key`` below the shared checkpoint folder, and read it back.
+
+    Tables bucketed alike are joined and grouped by the key without an exchange,
+    however often they are read. One file per bucket, by default as many as the
+    session has shuffle partitions. Rows of one key share a bucket: for tables of
+    one row per key, or few.
+    """
+    spark = df.sparkSession
+    root = checkpoint_dir(spark, fallback=os.environ.get("DONORLENS_CHECKPOINT_DIR"))
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"donorlens_{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}/bucketed"
+    (df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path)
+     .saveAsTable(name))
+    delete_at_exit(spark, path)
+    return spark.table(name)
+
+
 def delete_at_exit(spark: SparkSession, path: str) -> None:
     """Remove the folder that holds ``path`` when the driver's JVM ends."""
     jvm = spark.sparkContext._jvm

@@ -139,7 +139,7 @@ def value_class(value: Column, na_strings: tuple = ("NA",)) -> Column:
             .when(value.isin(*_LOGICAL), "logical")
             .when(whole.isNotNull() & (F.abs(whole.cast("decimal(20,0)")) < 1 << 31), "int")
             .when(whole.isNotNull(), "int64").when(value.rlike(_DECIMAL), "double")
-            .when(value.rlike(_ISO_DATE) & F.try_to_date(value, F.lit("yyyy-MM-dd")).isNotNull(), "date").otherwise("text"))
+            .when(value.rlike(_ISO_DATE) & F.try_to_date(value, "yyyy-MM-dd").isNotNull(), "date").otherwise("text"))
 
 
 def headers(spark: SparkSession, path: str) -> DataFrame:

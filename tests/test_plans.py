@@ -80,3 +80,44 @@ def test_data_queries_read_whole_tables(spark, sf):
         for op in ("GlobalLimit", "LocalLimit", "CollectLimit", "TakeOrderedAndProject", "Sample "):
             assert op not in plan, (name, op)
     assert "TakeOrderedAndProject" in _plan(qs["head"](spark, sf))
+
+
+def test_datasets_of_all_programs_need_no_exchange(spark, sf):
+    """Ten joins and four programs over bucketed donor tables, without and with broadcasts."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tables = ds.donor_tables(spark, sf, buckets=5)
+        every = ds.program_datasets(tables)
+        plan = _plan(every)
+        assert "Exchange" not in plan and plan.count("SortMergeJoin") == len(tables) - 1
+        got = every.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    def rounded(row):  # sums of amounts depend on their order in the last digits
+        return tuple(round(v, 4) if isinstance(v, float) else v for v in row)
+
+    for program in ds.PROGRAMS:
+        want = ds.program_dataset(spark, sf, program).collect()
+        own = sorted((rounded(tuple(r)[1:]) for r in got if r["program"] == program), key=repr)
+        assert own == sorted(map(rounded, map(tuple, want)), key=repr) and len(own) == len(got) // 4
+
+
+def test_sketches_of_years_merge_to_distinct_counts(spark):
+    """Unions of yearly sketches stay within 3 % of the exact counts of the rows, nulls counted once."""
+    import datetime as dt
+    rows = spark.range(120_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("d"), F.col("id") % 7)).alias("DonorConstituentID"),
+        F.when(F.col("id") % 11 != 0, F.pmod(F.xxhash64("id"), F.lit(30_000))).alias("InstanceDetailSKey"),
+        F.concat(F.lit("p"), F.col("id") % 5).alias("ProgramName"),
+        F.date_add(F.lit(dt.date(2010, 1, 1)), (F.col("id") % 2500).cast("int")).alias("DonationDateSKey"))
+    sketches = ft.donor_year_sketches(rows)
+    assert sketches.count() == 8 * 7
+    for first, before in ((None, None), (2011, 2014), (2012, 2013)):
+        got = {r["donor"]: r for r in ft.distinct_in_years(sketches, first, before).collect()}
+        own = rows.filter(F.year("DonationDateSKey").between(first or 0, (before or 9999) - 1))
+        exact = own.groupBy("DonorConstituentID").agg(
+            (F.count_distinct("InstanceDetailSKey") + F.max(F.col("InstanceDetailSKey").isNull()).cast("int")).alias("n")).collect()
+        assert len(got) == len(exact) == 8
+        for r in exact:
+            assert abs(got[r["DonorConstituentID"]]["paid_instances"] - r["n"]) <= 0.03 * r["n"]
+            assert got[r["DonorConstituentID"]]["dist_events"] == 5
