@@ -9,18 +9,17 @@ from donorlens.llm import vafile
 def brute(rows, k):
     import math
 
-    vecs = {}
+    vecs = []
     for i, v in rows:
         if i is None or not v or any(x is None or not math.isfinite(x) for x in v):
             continue
-        w = [math.floor(64 * x) for x in v]
-        vecs[i] = min(vecs.get(i, w), w)
+        vecs.append((i, [math.floor(64 * x) for x in v]))
     out = []
-    for q in sorted(vecs):
+    for n, (q, w) in enumerate(vecs):
         if q % 20 == 0:
-            s = sorted((-sum(a * b for a, b in zip(vecs[q], c)), i) for i, c in vecs.items()
-                       if i != q and len(c) == len(vecs[q]))[:k]
-            out += [(q, n + 1, i, -x) for n, (x, i) in enumerate(s)]
+            s = sorted((-sum(a * b for a, b in zip(w, c)), i) for m, (i, c) in enumerate(vecs)
+                       if m != n and len(c) == len(w))[:k]
+            out += [(q, r + 1, i, -x) for r, (x, i) in enumerate(s)]
     return sorted(out)
 
 
@@ -55,9 +54,32 @@ def test_large_components(spark):
 
 def test_bounds_hold():
     rng = np.random.default_rng(2)
-    v = rng.integers(-40, 41, (500, 8))
-    low, high = v.min(0), v.max(0)
-    first, last = vafile.cell_edges(low, high, 3)
-    cell = (v - low) // (last[:, 0] - first[:, 0] + 1)
-    each = np.arange(8)
-    assert (first[each, cell] <= v).all() and (v <= last[each, cell]).all()
+    for bits in (1, 3, 6):
+        v, q = rng.integers(-400, 401, (300, 8)), rng.integers(-400, 401, (20, 8))
+        low, width = v.min(0), vafile.cell_width(v.min(0), v.max(0), bits)
+        cells = (v - low) // width
+        assert cells.min() == 0 and cells.max() < 1 << bits
+        middle, slack = vafile.bounds(q, cells.astype(np.uint8), low, width)
+        assert (np.abs(2 * (q @ v.T) - middle) <= slack[:, None]).all()
+
+
+def test_repeated_ids_are_candidates_of_their_own(spark):
+    """The better of two rows of one id is found, and a query row meets the other row of its own id."""
+    rows = [(1, [0.5, 0.0]), (1, [0.9, 0.0]), (20, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [0.1, 0.3]), (3, [0.5, 0.0])]
+    got = run(spark, [(i, v, "x") for i, v in rows])
+    assert got == brute(rows, 20) and (20, 1, 20, 64 * 64) in got and sum(r[2] == 1 for r in got) == 6
+
+
+def test_exact_vectors_are_read_for_survivors_only():
+    """On cells of 6 bits few candidates of a block are left to read."""
+    rng = np.random.default_rng(4)
+    v = rng.integers(-64, 65, (4096, 16))
+    low, width = v.min(0), vafile.cell_width(v.min(0), v.max(0), 6)
+    q, c, lower, upper = vafile.scan_block(v[:50], np.arange(50), ((v - low) // width).astype(np.uint8), np.arange(4096),
+                                           low, width, 20)
+    exact = 2 * (v[:50] @ v.T)
+    assert ((lower <= exact[q, c]) & (exact[q, c] <= upper)).all() and (q != c).all()
+    assert len(q) < 50 * 4096 * 0.05
+    for i in range(50):  # the best twenty are among them
+        best = np.lexsort((np.arange(4096), -np.where(np.arange(4096) == i, -10**9, exact[i])))[:20]
+        assert set(best) <= set(c[q == i])
