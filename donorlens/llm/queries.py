@@ -31,7 +31,7 @@ def op7_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = surrogates.pseudonymised(documents(spark, sf_dir).select("doc_id", "text"))
+    made = surrogates.pseudonymised(documents(spark, sf_dir).select("doc_id", "text"), key=surrogates.session_key(spark))
     return made.select("row.doc_id", "text", "n_entities", "entity_types")
 
 

@@ -79,6 +79,13 @@ ALPHABETS = [
     (r"\p{IsHan}", _span(0x4E00, 0x51FF)),
 ]
 
+
+
+def session_key(spark) -> str:
+    """The key that the session names in ``spark.donorlens.surrogateKey``, or else the published trial key."""
+    return spark.conf.get("spark.donorlens.surrogateKey", TRIAL_KEY)
+
+
 _NAME = r"\p{Lu}[\p{L}'’-]*\p{L}"
 _INITIAL = r"(?:\p{Lu}\.)++|\p{Lu}(?![\p{L}\p{N}'’-])"
 _PART = rf"(?:(?:{'|'.join(sorted(PARTICLES, key=lambda w: (-len(w), w)))})[  ])*+(?:{_NAME}|{_INITIAL})"
