@@ -96,7 +96,7 @@ FROM f
 
 
 def op6_suffix_array_family(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the text that remains, halves of characters left out
+    # besides the digest the text that remains
     cut = suffixfamily.remove_repeats(documents(spark, sf_dir))
     return cut.withColumn("text", suffixfamily.as_text(F.col("kept"))).drop("kept")
 

@@ -296,36 +296,36 @@ def _cut_text():
     def cut(zipped: pa.Array, spans: pa.Array) -> pa.Array:
         import zstandard
 
-        z, out = zstandard.ZstdDecompressor(), []
-        for data, ss in zip(zipped.to_pylist(), spans.to_pylist()):
-            t = z.decompress(data)
-            kept, n_spans = [], 0
-            end, removed = -1, 0
-            for s in sorted((s["start"], s["end"]) for s in ss or ()):
-                if s[0] > end:  # spans that touch are one run
-                    kept.append(t[max(end, 0):s[0]])
-                    n_spans += 1
-                    removed += s[1] - s[0]
-                    end = s[1]
-                elif s[1] > end:
-                    removed += s[1] - end
-                    end = s[1]
-            rest = b"".join([*kept, t[max(end, 0):]])
-            out.append({"n_bytes": len(t), "n_removed": removed, "n_spans": n_spans,
-                        "kept_sha256": hashlib.sha256(rest).hexdigest(), "kept": rest})
-        return pa.array(out, pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
-                                        ("kept_sha256", pa.string()), ("kept", pa.binary())]))
+        z = zstandard.ZstdDecompressor()
+        n_bytes, n_removed, n_runs, digest, remain = [], [], [], [], []
+        for data, ss in zip(zipped, spans):
+            t = z.decompress(data.as_py())
+            kept, end, removed, runs = [], -1, 0, 0
+            for start, stop in sorted((s["start"], s["end"]) for s in ss.as_py() or ()):
+                if start > end:  # spans that touch are one run
+                    kept.append(t[max(end, 0):start])
+                    runs += 1
+                    removed += stop - start
+                    end = stop
+                elif stop > end:
+                    removed += stop - end
+                    end = stop
+            rest = b"".join([*kept, t[max(end, 0):]]) if runs else t
+            n_bytes.append(len(t))
+            n_removed.append(removed)
+            n_runs.append(runs)
+            digest.append(hashlib.sha256(rest).hexdigest())
+            remain.append(rest)
+        longs = [pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_runs)]
+        return pa.StructArray.from_arrays([*longs, pa.array(digest, pa.string()), pa.array(remain, pa.binary())], names=[
+            "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return cut(F.col("z"), F.col("spans"))
 
 
 def as_text(kept):
-    """Remaining bytes as text; bytes of characters that were cut through are left out."""
-    @F.arrow_udf("string")
-    def decode(data: pa.Array) -> pa.Array:
-        return pa.array([None if d is None else d.decode("utf-8", "ignore") for d in data.to_pylist()], pa.string())
-
-    return decode(kept)
+    """Remaining bytes as text; bytes of characters that were cut through become U+FFFD."""
+    return F.make_valid_utf8(kept.cast("string"))
 
 
 def repeated_spans(docs: DataFrame, batches: int = BATCHES, hot: int = HOT) -> DataFrame:
