@@ -33,7 +33,7 @@ from donorlens.llm.common import staged
 
 K = 20
 SCALE = 64
-BITS = 8
+BITS = 6
 CANDIDATE_BLOCK = 4096
 QUERY_BLOCK = 8192
 _SCAN = 256  # queries scanned together within a block
