@@ -197,3 +197,31 @@ def test_model_keeps_rows_with_unknown_levels(spark):
     bags = {r["tree"]: r for r in md.bags(df, ["v", "pay_type"], 9).collect()}
     assert all(r["bag_rows"] + r["oob_rows"] == 200 for r in bags.values())
     assert md.partial_dependence(m, df.withColumn("v", F.lit(None).cast("double")), "v").count() == 0
+
+
+def test_a_bag_is_drawn_from_one_hash_per_row_and_tree(spark, data):
+    """The steps of the draw, and a filter on it, do not repeat the hash: that made a draw 20 times as dear."""
+    plan = RF.with_trees(data, "donor", TREES, SEED).filter("w > 0")._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("md5(") <= 3
+
+
+def test_lists_of_few_rows_split_like_arrays(monkeypatch):
+    rng = np.random.default_rng(3)
+    for n in (5, 40, 300):
+        x = np.column_stack([rng.integers(0, 6, n), rng.random(n).round(1), rng.integers(1, 5, n)]).astype(float)
+        y, w = rng.integers(0, 2, n), rng.integers(1, 4, n)
+        got = []
+        for few in (0, 32):
+            monkeypatch.setattr(RF, "FEW", few)
+            got.append(RF.grow(x, y, w, [False, False, True], 2, [n]))
+        assert got[0] == got[1] and len(got[0]["feature"]) > 1
+
+
+@pytest.mark.parametrize("grid, wide", [(1, 4096), (128, 3)])
+def test_large_nodes_that_the_grid_cannot_split(data, rows, monkeypatch, grid, wide):
+    """A grid of one bin, or a factor too wide for it: quantiles of the nodes' own rows split them."""
+    monkeypatch.setattr(RF, "GRID", grid)
+    monkeypatch.setattr(RF, "MAX_LEVELS", wide)
+    f = RF.fit(data, "donor", NAMES, NOMINAL, 2, SEED, task_rows=120)
+    plain = Plain(f)
+    assert plain.upper and all(plain.vote(t, x) == y for key, _, y, x in rows for t in range(2) if plain_bag(key, t))
