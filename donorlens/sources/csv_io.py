@@ -168,6 +168,17 @@ def vote_separator(spark: SparkSession, path: str) -> tuple[str, list[str]]:
     return sep, next(csv.reader([got[0]["line"]], delimiter=sep), [])
 
 
+def class_counts(each: DataFrame, na_strings: tuple = ("NA",)) -> DataFrame:
+    """``each(place, position, v)`` -> ``(position, class, n, first, none)``: a column's values of each class and the first of them.
+
+    The smallest of texts alone would be found by sorting all values, which spills;
+    with a collecting aggregate beside it (``none``: of nothing), tasks keep a row per group in memory.
+    """
+    return each.groupBy("position", value_class(F.col("v"), na_strings).alias("class")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("place", "v")).alias("first"),
+        F.collect_set(F.lit(None).cast("int")).alias("none"))
+
+
 def infer_schema(spark: SparkSession, path: str, sep: str | None = None,
                  na_strings: tuple = ("NA",)) -> tuple[T.StructType, DataFrame]:
     """The types of a CSV table from all of its values (``fread``), and how they came about.
@@ -189,8 +200,7 @@ def infer_schema(spark: SparkSession, path: str, sep: str | None = None,
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("id"))
     each = raw.select(place.alias("place"), F.posexplode(F.array(*[F.col(f"`{n}`") for n in names])).alias("position", "v")) \
         if names else spark.createDataFrame([], "place struct<file:string,id:bigint>, position int, v string")
-    counts = each.groupBy("position", value_class(F.col("v"), na_strings).alias("class")).agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("place", "v")).alias("first")).collect()  # a few rows per column
+    counts = class_counts(each, na_strings).collect()  # a few rows per column
     fields, report = [], []
     for i, name in enumerate(names):
         own = {r["class"]: r for r in counts if r["position"] == i}

@@ -88,3 +88,13 @@ def test_box_statistics_of_a_column_without_values(spark):
         got = profile.box_stats(df, "x", method)
         assert got.columns == profile.box_stats(spark.createDataFrame([(1.0,)], "x double"), "x", method).columns
         assert tuple(got.first()) == (0, None, None, None, None, None, 0)
+
+
+def test_classes_are_counted_without_sorting_all_values(spark):
+    rows = [(("f", i), i % 2, v) for i, v in enumerate(["1", "x", "2", "y", "NA", "3"])]
+    each = spark.createDataFrame(rows, "place struct<file:string,id:bigint>, position int, v string")
+    counts = csv_io.class_counts(each)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" in plan and "SortAggregate" not in plan
+    got = {(r["position"], r["class"]): (r["n"], r["first"]["v"]) for r in counts.collect()}
+    assert got == {(0, "int"): (2, "1"), (0, None): (1, "NA"), (1, "text"): (2, "x"), (1, "int"): (1, "3")}
