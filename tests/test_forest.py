@@ -225,3 +225,76 @@ def test_large_nodes_that_the_grid_cannot_split(data, rows, monkeypatch, grid, w
     f = RF.fit(data, "donor", NAMES, NOMINAL, 2, SEED, task_rows=120)
     plain = Plain(f)
     assert plain.upper and all(plain.vote(t, x) == y for key, _, y, x in rows for t in range(2) if plain_bag(key, t))
+
+
+def test_bags_of_a_fit_are_the_stated_draws(spark, forest, data, rows):
+    keys = spark.createDataFrame([(k,) for k, *_ in rows] + [("é x",), ("",), (None,)], "k string")
+    both = keys.select(RF.poisson_bags(F.col("k"), 30, SEED).alias("a"), RF.drawn_bags(F.col("k"), 30, SEED).alias("b"))
+    assert both.filter("a <=> b").count() == len(rows) + 3
+    # a fit keeps them: out-of-bag votes and importances draw no second time
+    for own, again in ((RF.out_of_bag(forest), RF.out_of_bag(forest, data, "donor")),
+                       (RF.permutation_importance(forest), RF.permutation_importance(forest, data, "donor"))):
+        assert sorted(map(str, own.collect())) == sorted(map(str, again.collect()))
+
+
+def plain_grow(x, y, w, nominal, mtry, seed):
+    """A tree by sorting each node's rows and trying every cut, without ranks."""
+    rng, out = np.random.default_rng(seed), []
+
+    def node(rows):
+        at, own = len(out), [(x[i], y[i], w[i]) for i in rows]
+        n = [sum(k for _, c, k in own if c == side) for side in (0, 1)]
+        out.append(None)
+        best, tried = None, 0
+        for f in rng.permutation(x.shape[1]).tolist() if all(n) else ():
+            sums = {}
+            for v, c, k in own:
+                sums.setdefault(math.inf if math.isnan(v[f]) else v[f], [0, 0])[c] += k
+            steps = sorted(sums, key=lambda v: (sums[v][1] / sum(sums[v]), v) if nominal[f] else v)
+            cuts = []
+            for j in range(1, len(steps)):
+                if steps[j] == math.inf:
+                    continue
+                left = [sum(sums[v][c] for v in steps[:j]) for c in (0, 1)]
+                right = [n[c] - left[c] for c in (0, 1)]
+                cuts.append((sum(a * a for a in left) / sum(left) + sum(a * a for a in right) / sum(right), -j))
+            if cuts:
+                tried += 1
+                q, j = max(cuts)
+                if best is None or q > best[0]:
+                    best = q, f, steps[:-j], steps[-j]
+                if tried == mtry:
+                    break
+        if best is None:
+            out[at] = (-1, None, None, -1, -1, *n)
+            return at
+        _, f, low, high = best
+        cut = None if nominal[f] else low[-1] + (high - low[-1]) / 2
+        go = [x[i][f] in low if nominal[f] else x[i][f] <= cut for i in rows]
+        left = node([i for i, g in zip(rows, go) if g])
+        right = node([i for i, g in zip(rows, go) if not g])
+        out[at] = (f, cut, sorted(map(int, low)) if nominal[f] else None, left, right, *n)
+        return at
+
+    node(list(range(len(y))))
+    return out
+
+
+@pytest.mark.parametrize("missing", [False, True])
+def test_trees_from_packed_ranks_equal_plain_ones(missing):
+    rng = np.random.default_rng(5)
+    for n in (1, 7, 90, 500):
+        x = np.column_stack([rng.integers(0, 6, n), rng.normal(0, 1, n), rng.integers(1, 5, n)]).astype(float)
+        if missing:
+            x[::5, 1] = np.nan
+        y, w = rng.integers(0, 2, n).astype(np.int8), rng.integers(1, 8, n).astype(np.int8)
+        got = RF.grow(x, y, w, [False, False, True], 2, [n])
+        columns = ("feature", "threshold", "cats", "left", "right", "n0", "n1")
+        assert list(zip(*[got[c] for c in columns])) == plain_grow(x, y.tolist(), w.tolist(), [False, False, True], 2, [n])
+
+
+def test_packed_ranks_tell_the_values_apart():
+    x = np.array([[0.5, 3], [np.nan, 1], [-1, 3], [0.5, 2]])
+    keys, values, tops, shift = RF._packed_columns(x, np.array([1, 0, 1, 0], np.int8), np.array([1, 5, 2, 1], np.int8))
+    assert [(k >> shift).tolist() for k in keys] == [[1, 2, 0, 1], [2, 0, 2, 1]] and tops == [2, 3]
+    assert [v[:t].tolist() for v, t in zip(values, tops)] == [[-1, 0.5], [1, 2, 3]]
