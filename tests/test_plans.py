@@ -33,6 +33,17 @@ def test_base_table_expands_no_rows_and_reads_own_columns(spark, sf):
     assert "ReadSchema: struct<donor:string,inst:bigint,win:boolean>" in plan
 
 
+def test_datasets_group_by_numbers(spark, sf):
+    """Donors and hosts travel as the numbers in their ids; the result has the ids, and equals that of text ids."""
+    keyed = ds.program_dataset(spark, sf)
+    plan = _plan(keyed)
+    assert "ReadSchema: struct<host:bigint,win:boolean>" in plan
+    assert "ReadSchema: struct<donor:bigint,inst:bigint,win:boolean>" in plan
+    named = ds.program_dataset(spark, sf, pe=ft.pay_events(spark, sf))
+    assert keyed.schema == named.schema and keyed.filter("donor like 'Const-%'").count() == keyed.count() > 0
+    assert sorted(map(tuple, keyed.collect()), key=repr) == sorted(map(tuple, named.collect()), key=repr)
+
+
 def test_base_table_without_broadcasts_is_the_same(spark, sf):
     want = sorted(map(tuple, ds.const_base(spark, sf).collect()), key=repr)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
