@@ -63,7 +63,8 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EP
     parts, starts = ranged(sources, [F.col("source").asc_nulls_last()], F.sum("source_size").alias("size"), F.sum("again"))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]),
                           (F.pmod("rank", F.lit(len(weights))) + 1).cast("int"))
-    src = position(parts, starts).withColumn("weight", weight)
+    # every round below reads it, and the cuts do: written once
+    src = staged(position(parts, starts).withColumn("weight", weight), "ranked")
     n, total = sum(s[2] for s in starts), sum(s[3] or 0 for s in starts)
     rounds, rest = divmod(n, len(weights))
     level = total / (rounds * sum(weights) + sum(weights[:rest])) if total else 0.0
