@@ -71,6 +71,22 @@ def test_odd_rows(odd_docs, no_docs):
     assert suffixfamily.remove_repeats(no_docs).count() == 0
 
 
+def test_no_stage_runs_two_python_functions(spark):
+    """Each keeps workers of its own in every executor: text and spans meet one function, however small the other side is."""
+    docs = spark.createDataFrame(list(enumerate(made_texts())), "doc_id long, text string")
+    plan = suffixfamily.remove_repeats(docs)._jdf.queryExecution().executedPlan().toString()
+    # the strings of hot contexts, read by both sides of a join far below; and the cut
+    assert plan.count("ArrowEvalPython") == 3, plan
+
+
+def test_hashes_of_windows_are_made_without_an_object_each(spark):
+    rows = [(bytes(range(256)) * 3, 320, 3), (b"x" * 400, 0, 0)]
+    df = spark.createDataFrame(rows, "context binary, before int, least int")
+    got = df.select("before", suffixfamily._window_hashes().alias("w")).collect()
+    assert [[w["o"] for w in r["w"]] for r in got] == [list(range(3, 321)), [0]]
+    assert len({(w["h1"], w["h2"]) for w in got[0]["w"]}) == 256  # the context repeats after 256 bytes
+
+
 def test_levels_merge_geometrically(spark):
     rows = [(k, k, 1, 5, 0, b"x" * 405) for k in range(7)]
     family = suffixfamily.Family(4)
