@@ -70,11 +70,17 @@ def drawn_bags(key: Column, trees: int, seed: int) -> Column:
 
     @F.arrow_udf("array<tinyint>")
     def drawn(keys: pa.Array) -> pa.Array:
-        md5, out = hashlib.md5, [np.zeros(0, np.int8)]
-        for k in keys:
-            start = f"{k.as_py()}|{seed}:bag:".encode()
-            digests = np.frombuffer(b"".join([md5(start + t).digest() for t in places]), ">u8")
-            out.append(np.searchsorted(steps, (digests[::2] >> 12) / 2.0**52, "right").astype(np.int8))
+        out = [np.zeros(0, np.int8)]
+        for first in range(0, len(keys), 1000):
+            digests = []
+            for k in keys[first:first + 1000].to_pylist():
+                start = hashlib.md5(f"{k}|{seed}:bag:".encode())
+                for t in places:
+                    h = start.copy()
+                    h.update(t)
+                    digests.append(h.digest())
+            u = (np.frombuffer(b"".join(digests), ">u8")[::2] >> 12) / 2.0**52
+            out.append(np.searchsorted(steps, u, "right").astype(np.int8))
         ends = pa.array(np.arange(len(keys) + 1) * trees, pa.int32())
         return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(out)))
 

@@ -132,3 +132,28 @@ def test_sketches_of_years_merge_to_distinct_counts(spark):
         for r in exact:
             assert abs(got[r["DonorConstituentID"]]["paid_instances"] - r["n"]) <= 0.03 * r["n"]
             assert got[r["DonorConstituentID"]]["dist_events"] == 5
+
+
+def test_few_values_are_counted_beside_the_sums(spark, sf, monkeypatch):
+    """Distinct counts and the usual method of columns with few values need no pass of their own, and equal distinct rows."""
+    def rows():
+        for i in range(600):
+            day = f"{1940 + i * 7 % 90}-03-04"  # over 64 years, some after the window
+            yield (day if i % 11 else None, None if i % 7 == 0 else f"P{i % 70}", 5 + i % 9, 3 + i % 4, i % 13,
+                   None if i % 5 < 2 else f"m{i % 3}", ("Processed", "Error", "Pending")[i % 3], None if i % 19 == 0 else float(i),
+                   None if i % 6 == 0 else i % 12, 2000 + i % 9 if i % 8 else None)
+    pe = spark.createDataFrame(
+        list(rows()), "DonationDateSKey string, ProgramName string, DonorConstituentID long, PrimaryConstituentID long, "
+        "InstanceDetailSKey long, PaymentMethodType string, PaymentStatus string, PaymentAmount double, "
+        "CreditCardExpirationMonth int, CreditCardExpirationYear int").withColumn("DonationDateSKey", F.col("DonationDateSKey").cast("date"))
+
+    def made():
+        parts = ds.donor_parts(spark, sf, {"P1": "p"}, pe=pe)
+        joined = ds._joined(parts)
+        return len(parts), sorted(map(repr, joined.select(sorted(joined.columns)).collect()))
+
+    n, few = made()
+    monkeypatch.setattr(ds, "MAX_MARKED", 1)
+    monkeypatch.setattr(ds, "MAX_SUMMED", 0)
+    n_distinct, distinct = made()
+    assert (n, n_distinct) == (4, 8) and few == distinct and len(few) == 9
