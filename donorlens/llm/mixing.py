@@ -35,6 +35,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +59,15 @@ def _hash():
     return F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id", "source", "text"), 1)
 
 
+def _added(batches):
+    """The sums of both columns over a task's rows, a row for each task: no exchange, so one job."""
+    taken, open_ = 0, 0.0
+    for b in batches:
+        taken += pc.sum(b.column(0)).as_py() or 0
+        open_ += pc.sum(b.column(1)).as_py() or 0.0
+    yield pa.RecordBatch.from_arrays([pa.array([taken], pa.int64()), pa.array([open_], pa.float64())], names=["taken", "open"])
+
+
 def source_targets(sources: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> tuple[DataFrame, int]:
     """``sources(source, source_size, again, ...)``, one row each, with ``rank`` and ``target``; and the sum of ``again``."""
     parts, starts = ranged(sources, [F.col("source").asc_nulls_last()], F.sum("source_size").alias("size"), F.sum("again"))
@@ -71,8 +81,9 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EP
     # the common level (words per unit of weight) rises until no further source is capped
     while total:
         full = F.col("source_size") * max_epochs <= F.col("weight") * F.lit(level)
-        taken, open_ = src.agg(F.sum(F.when(full, F.col("source_size") * max_epochs)),
-                               F.sum(F.when(~full, F.col("weight")))).first()
+        sums = src.select(F.when(full, F.col("source_size") * max_epochs).cast("long").alias("taken"),
+                          F.when(~full, F.col("weight")).alias("open")).mapInArrow(_added, "taken long, open double").collect()
+        taken, open_ = sum(r["taken"] for r in sums), sum(r["open"] for r in sums)
         if not taken or not open_ or (total - taken) / open_ <= level:
             break
         level = (total - taken) / open_
