@@ -298,3 +298,29 @@ def test_packed_ranks_tell_the_values_apart():
     keys, values, tops, shift = RF._packed_columns(x, np.array([1, 0, 1, 0], np.int8), np.array([1, 5, 2, 1], np.int8))
     assert [(k >> shift).tolist() for k in keys] == [[1, 2, 0, 1], [2, 0, 2, 1]] and tops == [2, 3]
     assert [v[:t].tolist() for v, t in zip(values, tops)] == [[-1, 0.5], [1, 2, 3]]
+
+
+def test_large_nodes_are_split_by_one_task_as_by_levels(forest, data, rows, monkeypatch):
+    """A task that holds a tree's bins splits all its large nodes; where they are too many, levels of sums give the same."""
+    if not forest.upper:
+        return
+    calls = []
+    by_level = RF._grid_splits
+    monkeypatch.setattr(RF, "_grid_splits", lambda *a: calls.append(a[1]) or by_level(*a))
+    monkeypatch.setattr(RF, "CODED_BYTES", 150 * 5)  # nodes of more than 150 rows by sums, those below by one task
+    some = RF.fit(data, "donor", NAMES, NOMINAL, TREES, SEED, task_rows=40)
+    monkeypatch.setattr(RF, "CODED_BYTES", 0)
+    none = RF.fit(data, "donor", NAMES, NOMINAL, TREES, SEED, task_rows=40)
+    assert len(calls) > 3
+    calls.clear()
+    monkeypatch.setattr(RF, "CODED_BYTES", 150 * 500)
+    RF.fit(data, "donor", NAMES, NOMINAL, TREES, SEED, task_rows=40)
+    assert not calls  # no pass over the rows for each level
+    plain = [Plain(f) for f in (forest, some, none)]
+    assert plain[0].upper == plain[1].upper == plain[2].upper and plain[0].nodes == plain[1].nodes == plain[2].nodes
+    x = np.array([r[3] for r in rows])
+    for tree in range(TREES):  # rows go down as one by one
+        node = np.ones(len(x), np.int64)
+        for _, i, _, _, left in forest.above.steps(tree, x, node, np.arange(len(x))):
+            node[i] = 2 * node[i] + ~left
+        assert forest.above.down(tree, x).tolist() == node.tolist()
