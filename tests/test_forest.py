@@ -324,3 +324,11 @@ def test_large_nodes_are_split_by_one_task_as_by_levels(forest, data, rows, monk
         for _, i, _, _, left in forest.above.steps(tree, x, node, np.arange(len(x))):
             node[i] = 2 * node[i] + ~left
         assert forest.above.down(tree, x).tolist() == node.tolist()
+
+
+def test_hashes_of_many_keys_at_once_are_md5():
+    """Bags hash whole batches; keys that fill a block and longer ones too."""
+    keys = [b"", "é x".encode(), b"Const-12#7", *(b"k" * n for n in range(40, 70)), b"q" * 300]
+    ends = [f"|{SEED}:bag:{t}".encode() for t in (0, 7, 10, 99, 100)]
+    want = [[int(hashlib.md5(k + e).hexdigest()[:16], 16) for e in ends] for k in keys]
+    assert RF._hash_heads(keys, ends).tolist() == want and RF._hash_heads([], ends).shape == (0, 5)
