@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from donorlens.operators import forest as RF
 from donorlens.plans import modelling as md
+from donorlens.session import staged
 
 TREES, SEED = 7, 11
 NAMES, NOMINAL = ["a", "b", "c", "d"], [False, False, True, False]
@@ -332,3 +333,31 @@ def test_hashes_of_many_keys_at_once_are_md5():
     ends = [f"|{SEED}:bag:{t}".encode() for t in (0, 7, 10, 99, 100)]
     want = [[int(hashlib.md5(k + e).hexdigest()[:16], 16) for e in ends] for k in keys]
     assert RF._hash_heads(keys, ends).tolist() == want and RF._hash_heads([], ends).shape == (0, 5)
+
+
+def test_rows_meet_whole_trees_as_they_meet_subtrees(spark, forest, data, rows, monkeypatch):
+    """Votes, permuted and dependent, of whole trees and of trees taken subtree by subtree; permuted rows are written nowhere."""
+    def results():
+        return [sorted(map(str, d.collect())) for d in (
+            RF.scores(forest, data), RF.out_of_bag(forest), RF.partial_dependence(forest, data, "a", [0.1, 0.4, 0.8]))] + [
+            {r["variable"]: r.asDict() for r in RF.permutation_importance(forest, data, "donor", 30).collect()}]
+
+    written = []
+    monkeypatch.setattr(RF, "staged", lambda df, name: written.append(name) or staged(df, name))
+    monkeypatch.setattr(RF, "WHOLE_ROWS", 90)
+    monkeypatch.setattr(RF, "WHOLE_TREES", 3)
+    monkeypatch.setattr(RF, "WHOLE_BUCKETS", 2)
+    *whole, permuted = results()
+    assert "variants" not in written
+    monkeypatch.setattr(RF, "WHOLE_NODES", 0)
+    *routed, apart = results()
+    assert whole == routed and permuted.keys() == apart.keys() and "variants" in written
+    for name, row in permuted.items():
+        assert {k: v for k, v in row.items() if k != "variable"} == pytest.approx({k: v for k, v in apart[name].items() if k != "variable"}, abs=1e-12)
+
+
+def test_row_hashes_are_those_of_sql(spark):
+    ids = [0, 1, -5, 7 << 40, 2**63 - 1, -2**63]
+    df = spark.createDataFrame([(i, t) for i in ids for t in (0, 3, 99)], "rid long, t int")
+    for r in df.select("rid", "t", F.xxhash64("rid", "t", F.lit(SEED)).alias("h")).collect():
+        assert RF._row_hashes(np.array([r["rid"]]), r["t"], SEED).tolist() == [r["h"]]
